@@ -13,39 +13,39 @@ ERROR_CODE_LIMIT = 100
 ERROR_MESSAGE_LIMIT = 2000
 AUDIT_ERROR_LIMIT = 500
 
-# The loops are possessive, so the matcher neither backtracks nor recurses on long values.
+# The loops are possessive, so the matcher neither backtracks nor recurses on long values. A key
+# is told from a value first, by the colon after it; only keys are searched for the words, and
+# letters that start none of them are skipped in runs.
 _WORD = "(?i:" + "|".join(SENSITIVE_WORDS) + ")"
+_STARTS = "".join(sorted({w[0] + w[0].upper() for w in SENSITIVE_WORDS}))
 _BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 _STRING = f'"{_BODY}"'
-_KEY = rf'((?<!\\)"(?:(?!{_WORD})(?:[^"\\]|\\.))*+{_WORD}{_BODY}"\s*:\s*)'
+_SEARCH = rf'(?:[^"\\{_STARTS}]++|(?!{_WORD})[^"\\]|\\.)*+{_WORD}'
+_KEY = rf'(?<!\\)"(?={_BODY}"\s*:){_SEARCH}{_BODY}"\s*:\s*'
 _SCALAR = rf"(?:{_STRING}|-?[0-9][0-9eE+.\-]*+|true|false|null)"
-_LEAF_PATTERN = _KEY + _SCALAR
-_LIST_PATTERN = _KEY + rf"\[\s*{_SCALAR}(?:\s*,\s*{_SCALAR})*+\s*\]"
+_LIST = rf"(\[\s*){_SCALAR}(?:\s*,\s*{_SCALAR})*+(?=\s*\])"
+_LEAVES = f"({_KEY}){_SCALAR}"
+_LEAVES_AND_LISTS = f"({_KEY})(?:{_LIST}|{_SCALAR})"
 
 
 def mask_sensitive(text: Column, scalar_lists: bool = True) -> Column:
     """Replace every leaf under a sensitive key, at any depth, in JSON text.
 
-    Objects and lists under such a key are kept and searched; a list of plain values is replaced
-    too unless ``scalar_lists`` is off.
+    Objects and lists under such a key are kept and searched. The values of a list of plain values
+    are replaced by one marker, unless ``scalar_lists`` is off.
     """
-    masked = F.regexp_replace(text, _LEAF_PATTERN, f'$1"{REDACTED}"')
     if scalar_lists:
-        masked = F.regexp_replace(masked, _LIST_PATTERN, f'$1["{REDACTED}"]')
-    return masked
+        return F.regexp_replace(text, _LEAVES_AND_LISTS, f'$1$2"{REDACTED}"')
+    return F.regexp_replace(text, _LEAVES, f'$1"{REDACTED}"')
 
 
 def truncate_text(text: Column, limit: int = STATE_LIMIT) -> Column:
+    """Cut text that is too long. Mask before this, so a cut never exposes half a secret."""
     return F.when(
         F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(TRUNCATED))
     ).otherwise(text)
 
 
-def clean_state(text: Column, scalar_lists: bool = True) -> Column:
-    """Mask first, then truncate, so a cut never exposes half a secret."""
-    return truncate_text(mask_sensitive(text, scalar_lists))
-
-
 def redact_uri_password(uri: Column) -> Column:
     return F.regexp_replace(uri, r"://([^:/@]*):[^@]*@", f"://$1:{REDACTED}@")
 

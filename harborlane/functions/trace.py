@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def _parts(traceparent: Column) -> Column:
-    return F.split(F.trim(traceparent), "-")
+# Four parts, the second 32 and the third 16 characters long.
+_SHAPE = r"^\s*[^-]*-[^-]{32}-[^-]{16}-[^-]*$"
 
 
 def is_traceparent(traceparent: Column) -> Column:
-    """Four parts, the second 32 and the third 16 characters long."""
-    parts = _parts(traceparent)
-    return F.coalesce(
-        (F.size(parts) == 4)
-        & (F.length(F.try_element_at(parts, F.lit(2))) == 32)
-        & (F.length(F.try_element_at(parts, F.lit(3))) == 16),
-        F.lit(False),
-    )
+    return F.coalesce(traceparent.rlike(_SHAPE), F.lit(False))
 
 
 def header_value(headers: Column, name: str) -> Column:

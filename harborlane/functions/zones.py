@@ -25,13 +25,15 @@ def zone_names() -> tuple[str, ...]:
     return tuple(sorted(names))
 
 
-def known_zone(zone: Column) -> Column:
-    """The zone name if it is valid, else null."""
-    return F.when(zone.isin(list(zone_names())), zone)
+def is_known_zone(column: str) -> Column:
+    """Whether the named column holds a valid zone; one hash lookup per row."""
+    names = ", ".join(f"'{name}'" for name in zone_names())
+    return F.coalesce(F.expr(f"`{column}` in ({names})"), F.lit(False))
 
 
-def is_known_zone(zone: Column) -> Column:
-    return F.coalesce(zone.isin(list(zone_names())), F.lit(False))
+def known_zone(column: str) -> Column:
+    """The zone of the named column if it is valid, else null."""
+    return F.when(is_known_zone(column), F.col(column))
 
 
 def _shift(zone_from: Column, zone_to: Column, at: Column) -> Column:
@@ -127,7 +129,7 @@ def dst_transitions(zones: DataFrame, year: int, zone: str = "zone") -> DataFram
     start = F.lit(f"{year}-01-01 12:00:00").cast("timestamp_ntz")
     z = F.col(zone)
     probes = (
-        zones.select(known_zone(z).alias(zone))
+        zones.select(known_zone(zone).alias(zone))
         .where(z.isNotNull())
         .distinct()
         .select(zone, F.explode(days).alias("d"))

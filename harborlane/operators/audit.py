@@ -95,9 +95,10 @@ def tenant_store_name(guid: Column) -> Column:
 
 def clean(events: DataFrame, now: Column) -> DataFrame:
     """Mask and truncate states, fill missing fields, and add ``reject_reason`` and the month."""
-    cleaned = events.withColumns(
+    masked = events.withColumns({c: text.mask_sensitive(F.col(c)) for c in STATE_COLUMNS})
+    cleaned = masked.withColumns(
         {
-            **{c: text.clean_state(F.col(c)) for c in STATE_COLUMNS},
+            **{c: text.truncate_text(F.col(c)) for c in STATE_COLUMNS},
             **{c: F.coalesce(F.col(c), F.lit("")) for c in EMPTY_WHEN_MISSING},
             "timestamp": F.coalesce(F.col("timestamp"), now),
             "reject_reason": tenant_error(F.col("customer_guid")),

@@ -103,7 +103,7 @@ def plan(
         "integration_id", "workspace_id", "schedule_type", "missed_run"
     )
     placed = positions.with_position(missed, "integration_id", [F.col("missed_run")])
-    batch = F.floor(F.col("position") / batch_size).cast("bigint")
+    batch = F.expr(f"position div {batch_size}")
     in_batch = F.col("position") % batch_size
     offset = jitter(F.col("integration_id"), jitter_seconds)
     delay = batch_start(F.col("batch"))

@@ -85,14 +85,13 @@ def parse(records: DataFrame) -> DataFrame:
         )
     )
     parent = trace.traceparent_or_new(
-        trace.header_value(F.col("headers"), "traceparent"),
-        F.col("topic"),
-        F.col("partition"),
-        F.col("offset"),
+        F.col("_header"), F.col("topic"), F.col("partition"), F.col("offset")
     )
     return (
         records.where(F.col("value").isNotNull())
-        .withColumn("_m", message)
+        .withColumns(
+            {"_m": message, "_header": trace.header_value(F.col("headers"), "traceparent")}
+        )
         .withColumn("event_type", event_type)
         .withColumn("reason", reason)
         .withColumn("traceparent", parent)

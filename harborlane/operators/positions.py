@@ -15,12 +15,13 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in the order of ``key`` and then ``ties``.
 
-    ``key`` is an integer column with a bounded number of rows per value; ``width`` is how many
-    key values share a range.
+    ``key`` is an integer column, not negative, with a bounded number of rows per value; ``width``
+    is how many key values share a range. The rows are computed twice, once for the counts with
+    the key column only; write them first if they are costly to make.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / width).cast("bigint"))
+    ranged = df.withColumn("_range", F.expr(f"`{key}` div {width}"))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
-        "_block", F.floor(F.col("_range") / 1000)
+        "_block", F.expr("_range div 1000")
     )
     inside = W.partitionBy("_block").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     blocks = counts.groupBy("_block").agg(F.sum("_rows").alias("_block_rows"))

@@ -65,6 +65,10 @@ def with_schedule_fields(df: DataFrame, cron_column: str = "usr_sch_cron") -> Da
     )
 
 
+def _with_zone(df: DataFrame) -> DataFrame:
+    return df.withColumn("usr_timezone", F.coalesce("usr_timezone", F.lit("UTC")))
+
+
 def _with_next_run(df: DataFrame, name: str, base: Column, zone: Column) -> DataFrame:
     """Add the next run of the parsed schedule after ``base`` (UTC), as UTC.
 
@@ -94,20 +98,18 @@ def normalise(integrations: DataFrame, now: Column) -> DataFrame:
     missing day is an error and leaves both columns null.
     """
     kind = F.col("schedule_type")
-    zone_text = F.coalesce(F.col("usr_timezone"), F.lit("UTC"))
     timed = (F.coalesce(F.col("usr_sch_cron"), F.lit("")) != "") & kind.isin(
         schemas.TIMED_SCHEDULES
     )
     error = (
-        F.when(~zones.is_known_zone(zone_text), F.lit("invalid timezone"))
+        F.when(~zones.is_known_zone("usr_timezone"), F.lit("invalid timezone"))
         .when(~timed, F.lit(None))
         .when(F.col("cron_hour").isNull(), F.lit("unparsed cron"))
         .when((kind == "weekly") & F.col("cron_dow").isNull(), F.lit("missing weekday"))
         .when((kind == "monthly") & F.col("cron_dom").isNull(), F.lit("missing day of month"))
     )
     checked = (
-        with_schedule_fields(integrations)
-        .withColumn("usr_timezone", zone_text)
+        with_schedule_fields(_with_zone(integrations))
         .withColumn("sch_error", error)
     )
     readable = F.when(timed & F.col("sch_error").isNull(), F.col("usr_timezone"))
@@ -173,8 +175,7 @@ def with_advanced_run(
     if frozen_offset:
         zone, text = F.lit("UTC"), "utc_sch_cron"
     else:
-        zone = zones.known_zone(F.coalesce(F.col("usr_timezone"), F.lit("UTC")))
-        text = "usr_sch_cron"
+        df, zone, text = _with_zone(df), zones.known_zone("usr_timezone"), "usr_sch_cron"
     following = _with_next_run(with_schedule_fields(df, text), name, base, zone)
     return following.withColumn(name, F.coalesce(F.col(name), current)).drop(
         "cron_hour", "cron_dow", "cron_dom"

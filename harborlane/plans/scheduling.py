@@ -444,7 +444,7 @@ _NOON = "(timestamp '2024-01-01 12:00:00' + to_days(cast(d as int)))"
 )
 def zone_transitions(spark: SparkSession, folder: str) -> DataFrame:
     used = views.integrations(spark, folder).select(F.col("usr_timezone").alias("zone")).where(
-        zones.is_known_zone(F.col("zone"))
+        zones.is_known_zone("usr_timezone")
     )
     return zones.dst_transitions(used, 2024)
 
@@ -459,7 +459,7 @@ def workflow_names(spark: SparkSession, folder: str) -> DataFrame:
     return views.integrations(spark, folder).select(
         "integration_id",
         conf.workflow_run_target(F.col("integration_type")).alias("target"),
-        zones.is_known_zone(F.col("usr_timezone")).alias("zone_ok"),
+        zones.is_known_zone("usr_timezone").alias("zone_ok"),
     )
 
 

@@ -98,7 +98,7 @@ def landing_source_presence(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("conv_id")
     wanted = table(spark, folder, "conversations").select(c).distinct().select(
         c.alias("run_id"),
-        F.concat(F.lit("bucket-"), ((c + F.floor(c / 5)) % 3).cast("string")).alias("bucket"),
+        F.concat(F.lit("bucket-"), ((c + F.expr("conv_id div 5")) % 3).cast("string")).alias("bucket"),
         F.concat(F.lit("in/"), c.cast("string"), F.lit("/")).alias("prefix"),
     )
     return landing.source_presence(wanted, views.landing_objects(spark, folder))
@@ -311,10 +311,9 @@ def source_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
 def _written_batches(spark: SparkSession, folder: str) -> str:
     """Whole-file JSON lists on disk: one file per 50 documents."""
     path = fresh_dir(spark, "whole")
-    d = F.col("doc_id")
     lists = (
         table(spark, folder, "documents")
-        .select(F.floor(d / 50).cast("bigint").alias("batch"), F.struct("doc_id", "lang").alias("r"))
+        .select(F.expr("doc_id div 50").alias("batch"), F.struct("doc_id", "lang").alias("r"))
         .groupBy("batch")
         .agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("value"))
     )
@@ -380,7 +379,7 @@ def source_missing_objects(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract("path", "batch=([0-9]+)", 1).cast("bigint").alias("batch")
     )
     batches = table(spark, folder, "documents").select(
-        F.floor(F.col("doc_id") / 50).cast("bigint").alias("batch")
+        F.expr("doc_id div 50").alias("batch")
     ).distinct()
     manifest = batches.unionByName(batches.select((F.col("batch") + 1000000).alias("batch")))
     missing = files.missing_objects(manifest, listing, "batch").withColumn("found", F.lit(False))

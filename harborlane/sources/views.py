@@ -51,7 +51,7 @@ def workspaces(spark: SparkSession, folder: str) -> DataFrame:
 
 def integrations(spark: SparkSession, folder: str) -> DataFrame:
     i = F.col("c_custkey")
-    q = F.floor(i / 4).cast("bigint")
+    q = F.expr("c_custkey div 4")
     hour, dow, dom = q % 24, q % 7, 1 + q % 31
     kind = _pick(i % 4, ["daily", "weekly", "monthly", "on_demand"])
     cron = (
@@ -84,7 +84,7 @@ def integrations(spark: SparkSession, folder: str) -> DataFrame:
         cron.alias("usr_sch_cron"),
         F.when(F.col("c_acctbal") < 0, "paused").otherwise("active").alias("usr_sch_status"),
         F.when(i % 89 == 0, F.lit("Mars/Base"))
-        .otherwise(_pick(F.floor(i / 96).cast("bigint") % 6, ZONES))
+        .otherwise(_pick(F.expr("c_custkey div 96") % 6, ZONES))
         .alias("usr_timezone"),
         F.when(
             i % 50 != 0,
