@@ -16,7 +16,7 @@ def is_traceparent(traceparent: Column) -> Column:
 def header_value(headers: Column, name: str) -> Column:
     """The first header of that name, as text; null when it is not valid UTF-8."""
     match = F.try_element_at(F.filter(headers, lambda h: h["key"] == name), F.lit(1))
-    return F.try_validate_utf8(F.decode(match["value"], "UTF-8"))
+    return F.try_validate_utf8(match["value"].cast("string"))
 
 
 def traceparent_or_new(traceparent: Column, *identity: Column) -> Column:

@@ -82,12 +82,15 @@ def read_bytes(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 def read_text(
     spark: SparkSession, path: str, encoding: str = "UTF-8", suffix: str = ""
 ) -> DataFrame:
-    """path and text of every file in the given character set."""
-    if encoding.upper() not in DECODABLE:
+    """path and text of every file in the given character set; null where UTF-8 is not valid."""
+    charset = encoding.upper()
+    if charset not in DECODABLE:
         raise ValueError(f"Spark cannot decode {encoding}")
-    return read_bytes(spark, path, suffix).select(
-        "path", F.decode("content", encoding.upper()).alias("content")
+    raw = F.col("content")
+    decoded = (
+        F.try_validate_utf8(raw.cast("string")) if charset == "UTF-8" else F.decode(raw, charset)
     )
+    return read_bytes(spark, path, suffix).select("path", decoded.alias("content"))
 
 
 def list_objects(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:

@@ -69,32 +69,33 @@ def change_job(
     events = deduplicate(changes.parse(records))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        spark = batch.sparkSession
+
+        def write(name: str, frame: DataFrame) -> str:
+            path = f"{out}/{name}/batch_id={batch_id}"
+            frame.write.mode("overwrite").parquet(path)
+            return path
+
+        # Everything else is made from the written events, so the state is read once per batch and
+        # all outputs agree on the delivery that was kept, also when executors are lost.
+        chosen = handler(batch) if handler else batch
+        wanted = spark.read.schema(chosen.schema).parquet(write("events", chosen))
+        if wanted.isEmpty():  # as in the batch that only moves the watermark on
+            return
+        tables = lookups()
+        resolved = changes.resolve(
+            wanted, tables.integrations, tables.workspaces, tables.auths, now
+        ).persist()
         try:
-            wanted = handler(batch) if handler else batch
-            tables = lookups()
-            resolved = changes.resolve(
-                wanted, tables.integrations, tables.workspaces, tables.auths, now
-            ).persist()
-            try:
-                requests = changes.requests(resolved)
-                letters = changes.dead_letters(
-                    changes.rejects(wanted, resolved), consumer_group, now
-                )
-                outputs = {
-                    "requests": requests,
-                    "dead_letters": letters,
-                    "alerts": changes.alert_messages(letters),
-                    "audit": changes.trigger_audit(requests, now),
-                    "events": wanted.select("dedup_key", "event_type", "route", "reason"),
-                    "counters": changes.route_counts(wanted),
-                }
-                for name, frame in outputs.items():
-                    frame.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
-            finally:
-                resolved.unpersist()
+            requests = changes.requests(resolved)
+            letters = changes.dead_letters(changes.rejects(wanted, resolved), consumer_group, now)
+            write("requests", requests)
+            write("audit", changes.trigger_audit(requests, now))
+            write("dead_letters", letters)
+            write("alerts", changes.alert_messages(letters))
+            write("counters", changes.route_counts(wanted))
         finally:
-            batch.unpersist()
+            resolved.unpersist()
 
     return start(events.writeStream.foreachBatch(handle), checkpoint, available_now)
 
@@ -119,13 +120,14 @@ def audit_job(
         spark = batch.sparkSession
         batch = batch.persist()
         try:
+            # The first write fills the cache in one pass over the batch.
+            audit.rejected(batch).write.mode("overwrite").parquet(
+                f"{rejects}/batch_id={batch_id}"
+            )
             fresh = audit.unique(audit.accepted(batch))
             if storage.exists(spark, store):
                 fresh = audit.not_stored(fresh, read_store(spark, store))
             partitions.append_partitioned(fresh, store)
-            audit.rejected(batch).write.mode("overwrite").parquet(
-                f"{rejects}/batch_id={batch_id}"
-            )
         finally:
             batch.unpersist()
 
