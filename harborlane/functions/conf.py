@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from harborlane.functions.times import compact_text
+
 VARIANT_MAP = "map<string,variant>"
 
 
@@ -68,6 +70,7 @@ def run_id(tenant: Column, target: Column, source: str, at: Column, integration_
         F.coalesce(tenant, F.lit("unknown")),
         target,
         F.lit(source),
-        F.date_format(at, "yyyyMMdd_HHmmss_S"),
+        compact_text(at),
+        F.substring(F.rpad(at.cast("string"), 21, ".0"), 21, 1),
         integration_id.cast("string"),
     )

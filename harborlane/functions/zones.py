@@ -13,6 +13,8 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from harborlane.functions.times import instant, seconds_between, start_of
+
 
 
 @cache
@@ -107,13 +109,13 @@ def repair_gap(local: Column, zone: Column, strategy: str = "shift_forward") ->
 
 
 def offset_hours(local: Column, zone: Column) -> Column:
-    seconds = F.timestamp_diff("SECOND", _first_utc(local, zone), local)
+    seconds = seconds_between(_first_utc(local, zone), local)
     return seconds / F.lit(3600.0)
 
 
 def is_dst(local: Column, zone: Column) -> Column:
     """True where the offset differs from the smaller of the January and July offsets."""
-    january = F.date_trunc("year", local).cast("timestamp_ntz")
+    january = start_of("year", local)
     july = F.timestamp_add("MONTH", F.lit(6), january)
     standard = F.least(offset_hours(january, zone), offset_hours(july, zone))
     return offset_hours(local, zone) != standard
@@ -126,7 +128,7 @@ def dst_transitions(zones: DataFrame, year: int, zone: str = "zone") -> DataFram
     zone makes 366 rows, so a window per zone is small whatever the input size.
     """
     days = F.sequence(F.lit(0), F.lit(365))
-    start = F.lit(f"{year}-01-01 12:00:00").cast("timestamp_ntz")
+    start = instant(f"{year}-01-01 12:00:00")
     z = F.col(zone)
     probes = (
         zones.select(known_zone(zone).alias(zone))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from harborlane import schemas
 from harborlane.functions import text
-from harborlane.functions.times import instant
+from harborlane.functions.times import instant, month_text, utc_of_iso
 from harborlane.sources.tables import matching
 
 # Fixed values.
@@ -78,6 +78,23 @@ def build_events(
     )
 
 
+def from_topic(records: DataFrame) -> DataFrame:
+    """Audit events out of topic records, the time read as ISO text.
+
+    A message that does not parse becomes an event without a tenant, so the ingest job rejects it
+    and keeps its text.
+    """
+    fields = ", ".join(f"{name} string" for name in schemas.AUDIT_EVENT.names)
+    event = F.from_json("value", fields)
+    opened = records.where(F.col("value").isNotNull()).select("value", event.alias("e"))
+    columns = {name: F.col(f"e.{name}") for name in schemas.AUDIT_EVENT.names}
+    columns["timestamp"] = utc_of_iso(columns["timestamp"])
+    columns["metadata_json"] = F.when(columns["customer_guid"].isNull(), F.col("value")).otherwise(
+        columns["metadata_json"]
+    )
+    return opened.select(*[column.alias(name) for name, column in columns.items()])
+
+
 def tenant_error(guid: Column) -> Column:
     """Why a tenant id cannot be stored, or null."""
     missing = F.coalesce(guid, F.lit("")).isin("", "unknown")
@@ -104,7 +121,7 @@ def clean(events: DataFrame, now: Column) -> DataFrame:
             "reject_reason": tenant_error(F.col("customer_guid")),
         }
     )
-    return cleaned.withColumn("event_month", F.date_format("timestamp", "yyyy-MM"))
+    return cleaned.withColumn("event_month", month_text(F.col("timestamp")))
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:

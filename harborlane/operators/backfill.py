@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from harborlane.functions.times import seconds_between
 from harborlane.operators import positions
 
 # Fixed values.
@@ -28,7 +29,7 @@ def step_days(schedule_type: Column) -> Column:
 
 def skip_reason(now: Column, older_than: int = SKIP_OLDER_THAN_DAYS) -> Column:
     """Why an integration gets no backfill, or null."""
-    late_days = F.timestamp_diff("DAY", F.col("utc_next_run"), now)
+    late_days = F.extract(F.lit("DAY"), now - F.col("utc_next_run"))
     return F.when(F.col("usr_sch_status") != "active", F.lit("inactive")).when(
         late_days > older_than, F.lit("too old")
     )
@@ -50,7 +51,7 @@ def missed_runs(
         raise ValueError("keep is first or last")
     start = F.greatest(F.col("utc_next_run"), F.timestamp_add("DAY", F.lit(-max_days), now))
     step = step_days(F.col("schedule_type"))
-    seconds = F.timestamp_diff("SECOND", start, now)
+    seconds = seconds_between(start, now)
     # Steps that start strictly before now.
     count = F.ceil(seconds / (step * 86400)).cast("int")
     first = F.greatest(count - max_runs, F.lit(0)) if keep == "last" else F.lit(0)

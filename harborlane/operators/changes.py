@@ -268,7 +268,7 @@ def alert_messages(letters: DataFrame) -> DataFrame:
             F.struct(
                 F.col("error_type").alias("type"),
                 F.col("error_message").alias("message"),
-                F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+                F.replace(F.col("created_at").cast("string"), F.lit(" "), F.lit("T")).alias("timestamp"),
             ).alias("error"),
             "retry_count",
             "source_topic",

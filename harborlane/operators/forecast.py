@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborlane.functions import cron
-from harborlane.functions.times import instant
+from harborlane.functions.times import instant, seconds_between, start_of_hour, utc_of_iso
 
 # Fixed values.
 HOTSPOT_THRESHOLD = 100
@@ -47,8 +47,7 @@ def check_days(days: int) -> int:
 
 def start_or_now(text: Column, now: Column) -> Column:
     """ISO start time, ``Z`` accepted; the hour of ``now`` when it is missing or bad."""
-    parsed = F.try_to_timestamp(text).cast("timestamp_ntz")
-    return F.coalesce(parsed, F.date_trunc("hour", now).cast("timestamp_ntz"))
+    return F.coalesce(utc_of_iso(text), start_of_hour(now))
 
 
 def schedule_counts(integrations: DataFrame) -> DataFrame:
@@ -206,7 +205,7 @@ def summary(forecast: DataFrame, now: Column) -> DataFrame:
         F.max("total_dag_runs").alias("highest_total_dag_runs"),
         F.min_by(F.col("reason"), order).alias("highest_reason"),
     )
-    hours = F.timestamp_diff("SECOND", now, F.col("next_hotspot")) / F.lit(3600.0)
+    hours = seconds_between(now, F.col("next_hotspot")) / F.lit(3600.0)
     return first.withColumn("hours_until", F.round(hours, 1))
 
 

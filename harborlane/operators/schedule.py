@@ -10,30 +10,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from harborlane import schemas
 from harborlane.functions import cron, zones
+from harborlane.functions.times import midnight, start_of
 
 
 def _plus(unit: str, n: Column | int, at: Column) -> Column:
     return F.timestamp_add(unit, F.lit(n) if isinstance(n, int) else n, at)
 
 
-def _midnight(at: Column) -> Column:
-    return F.date_trunc("day", at).cast("timestamp_ntz")
-
-
 def _daily_after(base: Column, hour: Column) -> Column:
-    today = _plus("HOUR", hour, _midnight(base))
+    today = _plus("HOUR", hour, midnight(base))
     return F.when(today > base, today).otherwise(_plus("DAY", 1, today))
 
 
 def _weekly_after(base: Column, hour: Column, day_of_week: Column) -> Column:
     ahead = F.pmod(cron.weekday_of_cron_day(day_of_week) - F.weekday(base), F.lit(7))
-    first = _plus("HOUR", hour, _plus("DAY", ahead.cast("int"), _midnight(base)))
+    first = _plus("HOUR", hour, _plus("DAY", ahead.cast("int"), midnight(base)))
     return F.when(first > base, first).otherwise(_plus("DAY", 7, first))
 
 
 def _monthly_after(base: Column, hour: Column, day_of_month: Column) -> Column:
     """The next month that has the day; never more than two months ahead."""
-    start = F.date_trunc("month", base).cast("timestamp_ntz")
+    start = start_of("month", base)
 
     def in_month(ahead: int) -> Column:
         first = _plus("MONTH", ahead, start)

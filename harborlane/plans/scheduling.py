@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harborlane.functions import conf, zones
 from harborlane.operators import backfill, dispatch, forecast, runs, schedule
-from harborlane.functions.times import instant as at
+from harborlane.functions.times import instant as at, seconds_between
 from harborlane.plans.registry import query
 from harborlane.plans.view_sql import ZONE_LIST, local_of, next_after, utc_of
 from harborlane.sources import views
@@ -559,7 +559,7 @@ def backfill_metrics(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("is_success"), "success")
         .otherwise("failed")
         .alias("status"),
-        F.timestamp_diff("SECOND", F.col("started"), F.col("ended")).alias("duration_seconds"),
+        seconds_between(F.col("started"), F.col("ended")).alias("duration_seconds"),
     )
     return backfill.metrics(done.join(types, "integration_id"))
 

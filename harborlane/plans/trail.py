@@ -37,6 +37,20 @@ def audit_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return _clean(spark, folder)
 
 
+@query(
+    "audit_from_topic",
+    sql="""select case when event_id % 17 <> 0 then cast(event_id as varchar) end as event_id,
+      case when event_id % 17 <> 0 then ts end as timestamp,
+      case when event_id % 17 <> 0 then 'cust-' || user_id % 5 end as customer_guid,
+      case when event_id % 17 <> 0 then event_type end as event_type,
+      case when event_id % 17 <> 0 then props else '{cut' end as metadata_json from events""",
+)
+def audit_from_topic(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.from_topic(views.audit_records(spark, folder)).select(
+        "event_id", "timestamp", "customer_guid", "event_type", "metadata_json"
+    )
+
+
 @query(
     "audit_rejected",
     views="raw_audit",

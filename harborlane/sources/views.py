@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborlane import schemas
-from harborlane.functions.times import instant
+from harborlane.functions.times import compact_text, epoch_millis, instant
 from harborlane.sources.tables import table
 
 # Fixed values.
@@ -132,7 +132,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         _text(
             "ws-", F.col("o_custkey") % 25,
             "_s3_to_mongo_ondemand_", _pick(o % 2, ["manual", "scheduled"]),
-            "_", F.date_format("o_orderdate", "yyyyMMdd_HHmmss"), "_0_", o,
+            "_", compact_text(F.col("o_orderdate")), "_0_", o,
         ).alias("dag_run_id"),
         started.alias("started"),
         F.when(finished, F.timestamp_add("SECOND", length, started)).alias("ended"),
@@ -196,7 +196,7 @@ def change_value(op: Column) -> Column:
     """The message an event stands for."""
     e, u = F.col("event_id"), F.col("user_id")
     target = F.when(e % 7 == 3, u + 100000000).otherwise(u)
-    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    millis = epoch_millis(F.col("ts"))
     return _text(
         '{"integration_id":', target, ',"workspace_id":"ws-', u % 25,
         '","__op":"', op, '","__source_ts_ms":', millis,
@@ -332,6 +332,26 @@ def audit_events(spark: SparkSession, folder: str) -> DataFrame:
     return audit_events_of(table(spark, folder, "events"))
 
 
+def audit_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit events as topic records: ISO times in several offsets, and some broken messages."""
+    events = table(spark, folder, "events")
+    e = F.col("event_id")
+    wall = F.timestamp_add("HOUR", F.when(e % 3 == 1, 2).when(e % 3 == 2, -5).otherwise(0), F.col("ts"))
+    offset = F.when(e % 3 == 1, "+02:00").when(e % 3 == 2, "-0500").otherwise("Z")
+    value = F.to_json(
+        F.struct(
+            e.cast("string").alias("event_id"),
+            F.concat(F.replace(wall.cast("string"), F.lit(" "), F.lit("T")), offset).alias("timestamp"),
+            _text("cust-", F.col("user_id") % 5).alias("customer_guid"),
+            F.col("event_type"),
+            F.col("props").alias("metadata_json"),
+        )
+    )
+    return events.select(
+        F.when(e % 17 == 0, "{cut").otherwise(value).alias("value"), e.alias("offset")
+    )
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of its files."""
     schema = table(spark, folder, "events").schema

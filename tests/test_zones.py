@@ -149,3 +149,41 @@ def test_every_known_zone_converts(spark):
     assert len(zones.zone_names()) > 400
     done = df.where(zones.to_utc(at("2024-01-01"), F.col("z")).isNull()).count()
     assert done == 0
+
+
+def test_nothing_depends_on_the_session_zone(spark):
+    """A session in a zone with clock changes gives the same differences, starts and texts."""
+    from harborlane.functions import conf, times
+
+    a, b = at("2024-03-09 22:30:00"), at("2024-03-10 12:00:00.250")
+    columns = {
+        "seconds": times.seconds_between(a, b),
+        "back": times.millis_between(b, a),
+        "midnight": times.midnight(b).cast("string"),
+        "year": times.start_of("year", b).cast("string"),
+        "hour": times.start_of_hour(at("2024-03-10 02:59:59")).cast("string"),
+        "month": times.month_text(b),
+        "run": conf.run_id(F.lit("t"), F.lit("w"), "s", b, F.lit(1)),
+        "whole": conf.run_id(F.lit("t"), F.lit("w"), "s", a, F.lit(1)),
+        "epoch": times.epoch_millis(b),
+        "plain": times.utc_of_iso(F.lit("2024-03-10T02:30:00")).cast("string"),
+        "z": times.utc_of_iso(F.lit("2024-03-10T02:30:00Z")).cast("string"),
+        "offset": times.utc_of_iso(F.lit("2024-03-10T02:30:00.5+02:00")).cast("string"),
+        "minus": times.utc_of_iso(F.lit("2024-03-10T02:30:00-0530")).cast("string"),
+        "day": times.utc_of_iso(F.lit("2024-03-10")).cast("string"),
+        "bad": times.utc_of_iso(F.lit("soon")),
+    }
+    want = {
+        "seconds": 48600, "back": -48600250, "midnight": "2024-03-10 00:00:00", "year": "2024-01-01 00:00:00",
+        "hour": "2024-03-10 02:00:00", "month": "2024-03", "run": "t_w_s_20240310_120000_2_1",
+        "whole": "t_w_s_20240309_223000_0_1", "epoch": 1710072000250,
+        "plain": "2024-03-10 02:30:00", "z": "2024-03-10 02:30:00", "offset": "2024-03-10 00:30:00.5",
+        "minus": "2024-03-10 08:00:00", "day": "2024-03-10 00:00:00", "bad": None,
+    }
+    try:
+        for zone in ("UTC", "America/New_York", "Pacific/Apia"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first().asDict()
+            assert row == want, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
