@@ -169,10 +169,12 @@ def resolve(
         "topic", "partition", "offset", "value", "integration_id", "is_change",
         "source_config", "destination_config", "dedup_key", "traceparent", "trace_id",
     )
-    stored = dispatch.with_tenant(
-        integrations.select("workspace_id", "json_data", *dispatch.CONF_COLUMNS), workspaces, "left"
+    stored = integrations.select("workspace_id", "json_data", *dispatch.CONF_COLUMNS)
+    rows = (
+        wanted.join(stored, "integration_id", "left")
+        .join(dispatch.tenancy(workspaces, auths), "workspace_id", "left")
+        .withColumn("customer_guid", F.coalesce("customer_guid", F.lit("unknown")))
     )
-    rows = dispatch.with_credentials(wanted.join(stored, "integration_id", "left"), auths)
     own = conf.merge(F.col("source_config"), F.col("destination_config"))
     rows = (
         rows.withColumn("_document", conf.json_map(F.col("json_data")))

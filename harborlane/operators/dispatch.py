@@ -57,10 +57,15 @@ def with_tenant(integrations: DataFrame, workspaces: DataFrame, how: str = "inne
     return joined.withColumn("customer_guid", F.coalesce("customer_guid", F.lit("unknown")))
 
 
-def with_credentials(df: DataFrame, auths: DataFrame) -> DataFrame:
-    """Left join with the folded map: one row per workspace on the right, so rows never multiply
-    and a hot workspace can be split by the adaptive skew join."""
-    return df.join(credentials(auths), "workspace_id", "left")
+def tenancy(workspaces: DataFrame, auths: DataFrame) -> DataFrame:
+    """One row per workspace that has a customer or credentials: customer_guid and credentials.
+
+    Joining these two first leaves a single join from the many rows to their workspace, whose hot
+    keys the adaptive skew join can split; two joins in a row on the same key it could not.
+    """
+    return workspaces.select("workspace_id", "customer_guid").join(
+        credentials(auths), "workspace_id", "full_outer"
+    )
 
 
 def base_conf(*extra: str) -> Column:
@@ -79,7 +84,9 @@ def due_requests(
 ) -> DataFrame:
     """Run requests: conf, run id and the schedule's next time, one row per due integration."""
     due = integrations.where(is_due(now, integration_type))
-    rows = with_credentials(with_tenant(due, workspaces), auths)
+    rows = due.join(tenancy(workspaces, auths), "workspace_id").where(
+        F.col("customer_guid").isNotNull()
+    )
     target = conf.workflow_run_target(F.col("integration_type"))
     parent = trace.traceparent_or_new(
         F.lit(None).cast("string"), F.col("integration_id"), F.col("utc_next_run"), now
@@ -128,7 +135,9 @@ def manual_request(
     The override document wins over credentials, which win over the stored document.
     """
     asked = overrides.select("integration_id", "run_config")
-    rows = with_credentials(asked.join(integrations, "integration_id", "left"), auths)
+    rows = asked.join(integrations, "integration_id", "left").join(
+        credentials(auths), "workspace_id", "left"
+    )
     target = conf.workflow_run_target(F.col("integration_type"))
     rows = rows.withColumns(
         {

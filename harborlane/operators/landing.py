@@ -124,17 +124,24 @@ def transfer_stats(parsed: DataFrame) -> DataFrame:
 def source_presence(runs: DataFrame, objects: DataFrame) -> DataFrame:
     """Per run whether its bucket and prefix hold any object.
 
-    ``runs`` has run_id, bucket and prefix. Objects are first reduced to one row per bucket and
-    folder, so the prefix test meets folders, not files.
+    ``runs`` has run_id, bucket and prefix. Keys are cut to the prefix lengths that are asked for
+    in their bucket (a key has at most 1024 characters) and counted per prefix before the join, so
+    a large bucket is reduced in every task and runs never meet its objects in pairs.
     """
-    folders = objects.select(
-        "bucket", F.regexp_replace("key", "[^/]*$", "").alias("folder")
-    ).groupBy("bucket", "folder").agg(F.count(F.lit(1)).alias("files"))
-    hits = runs.join(folders, "bucket", "left").groupBy("run_id").agg(
-        F.sum(F.when(F.col("folder").startswith(F.col("prefix")), F.col("files"))).alias("files")
+    lengths = runs.groupBy("bucket").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    cut = objects.join(lengths, "bucket").select(
+        "bucket", "key", F.explode("lengths").alias("length")
+    )
+    counts = (
+        cut.where(F.length("key") >= F.col("length"))
+        .select("bucket", F.col("key").substr(F.lit(1), F.col("length")).alias("prefix"))
+        .groupBy("bucket", "prefix")
+        .agg(F.count(F.lit(1)).alias("files"))
     )
     n = F.coalesce("files", F.lit(0)).cast("bigint")
-    return hits.select("run_id", n.alias("files"), (n > 0).alias("has_objects"))
+    return runs.join(counts, ["bucket", "prefix"], "left").select(
+        "run_id", n.alias("files"), (n > 0).alias("has_objects")
+    )
 
 
 # What the two sink collections demand, as field -> (type, required).
