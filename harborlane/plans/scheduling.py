@@ -590,7 +590,7 @@ def runs_opened(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "runs_opened_ids",
     views="integrations",
-    sql=f"""select 1 as lowest, count(*) as highest, count(*) as ids, count(*) as n
+    sql=f"""select cast(1 as bigint) as lowest, count(*) as highest, count(*) as ids, count(*) as n
     from integrations where {_DUE}""",
 )
 def runs_opened_ids(spark: SparkSession, folder: str) -> DataFrame:

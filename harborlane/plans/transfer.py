@@ -391,7 +391,7 @@ def source_missing_objects(spark: SparkSession, folder: str) -> DataFrame:
     "endpoint_uris",
     sql="""select s_suppkey as auth_id, case when s_suppkey % 2 = 0 then 'mongodb+srv' else 'mongodb' end as scheme,
       'host' || s_suppkey || '.example.com' as host,
-      case when s_suppkey % 2 = 0 then null when s_suppkey % 3 = 0 then 27017 else 27000 + s_suppkey % 100 end as port,
+      cast(case when s_suppkey % 2 = 0 then null when s_suppkey % 3 = 0 then 27017 else 27000 + s_suppkey % 100 end as int) as port,
       case when s_suppkey % 5 = 0 then null else 'user ' || s_suppkey end as username,
       case when s_suppkey % 5 = 0 then null else 'p@s:' || s_suppkey end as password,
       case when s_suppkey % 7 = 0 then 'default' else 'db' || s_suppkey end as database,

@@ -105,7 +105,7 @@ VIEWS = {
             else 'success' end as state
         from orders, (values ('prepare'), ('validate'), ('execute')) as t(task_id)""",
     "deliveries": f"""
-        select *, event_id % 3 as part, event_id + copy * 1000000000 as off,
+        select *, cast(event_id % 3 as int) as part, event_id + copy * 1000000000 as off,
           event_id % 50 as m,
           case when event_id % 50 in (23, 43) then null when event_id % 50 in (37, 41) then null
             else {_OP} end as op,
