@@ -66,9 +66,10 @@ def epoch_millis(at: Column) -> Column:
 def utc_of_iso(text: Column) -> Column:
     """ISO text as UTC: ``Z`` and offsets are honoured, text without one is UTC already; null if bad."""
     wall = text.try_cast("timestamp_ntz")
-    sign = F.regexp_extract(text, r"([+-])\d{2}:?\d{2}$", 1)
-    hours = F.regexp_extract(text, r"[+-](\d{2}):?\d{2}$", 1).try_cast("int")
-    minutes = F.regexp_extract(text, r"[+-]\d{2}:?(\d{2})$", 1).try_cast("int")
+    offset = r"([+-])(\d{2})(?::?(\d{2}))?$"
+    sign = F.regexp_extract(text, offset, 1)
+    hours = F.regexp_extract(text, offset, 2).try_cast("int")
+    minutes = F.coalesce(F.regexp_extract(text, offset, 3).try_cast("int"), F.lit(0))
     has_time = text.contains(":")
     shift = F.when(has_time & (sign != ""), hours * 60 + minutes).otherwise(0)
     return F.timestamp_add("MINUTE", F.when(sign == "+", -shift).otherwise(shift), wall)

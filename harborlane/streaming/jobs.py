@@ -8,6 +8,7 @@ on. Infrastructure errors fail the batch and Spark runs it again; data errors ar
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from harborlane import schemas, session
 from harborlane.operators import audit, changes, deadletter
 from harborlane.sinks import partitions, storage
 
+logger = logging.getLogger(__name__)
+
 DEDUP_WINDOW = "24 hours"
 RATE_DELAY = "10 minutes"
 
@@ -58,12 +61,15 @@ def change_job(
     now: Column,
     consumer_group: str = "cdc-consumer",
     handler: Callable[[DataFrame], DataFrame] | None = None,
+    notify: Callable[[DataFrame], None] | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """The change stream to requests, dead letters, audit events and counters.
 
     ``lookups`` is called for each batch, so a batch sees the tables as they are then. A handler
-    gets the classified events of a batch and returns the ones to go on with.
+    gets the classified events of a batch and returns the ones to go on with. ``notify`` gets the
+    dead letters as key and JSON value, for an alert topic; the table is written before, and a
+    failing alert is logged and does not hold up the batch.
     """
     session.use_rocksdb(records.sparkSession)
     events = deduplicate(changes.parse(records))
@@ -92,8 +98,13 @@ def change_job(
             write("requests", requests)
             write("audit", changes.trigger_audit(requests, now))
             write("dead_letters", letters)
-            write("alerts", changes.alert_messages(letters))
+            alerts = write("alerts", changes.alert_messages(letters))
             write("counters", changes.route_counts(wanted))
+            if notify:
+                try:
+                    notify(spark.read.schema("key string, value string").parquet(alerts))
+                except Exception:
+                    logger.exception("alerts of batch %s were not delivered", batch_id)
         finally:
             resolved.unpersist()
 

@@ -72,6 +72,19 @@ def test_a_batch_written_twice_counts_once(spark, work):
     assert spark.read.parquet(f"{work}/out/requests").count() == 1
 
 
+def test_a_failing_alert_does_not_stop_the_batch(spark, work):
+    seen = []
+
+    def notify(alerts):
+        seen.extend(r["key"] for r in alerts.collect())
+        raise OSError("broker is down")
+
+    put(spark, f"{work}/in", CREATED | {"integration_id": 9}, "{bad")
+    run_changes(spark, work, notify=notify)
+    assert sorted(seen) == ["9", "unknown"]
+    assert spark.read.parquet(f"{work}/out/dead_letters").count() == 2
+
+
 def test_handler_sees_the_batch(spark, work):
     put(spark, f"{work}/in", CREATED, {"__op": "u", "integration_id": 1, "__source_ts_ms": 1})
     run_changes(spark, work, handler=lambda batch: batch.where(F.col("route") != "trigger"))

@@ -170,6 +170,7 @@ def test_nothing_depends_on_the_session_zone(spark):
         "z": times.utc_of_iso(F.lit("2024-03-10T02:30:00Z")).cast("string"),
         "offset": times.utc_of_iso(F.lit("2024-03-10T02:30:00.5+02:00")).cast("string"),
         "minus": times.utc_of_iso(F.lit("2024-03-10T02:30:00-0530")).cast("string"),
+        "hours": times.utc_of_iso(F.lit("2024-03-10T02:30:00-05")).cast("string"),
         "day": times.utc_of_iso(F.lit("2024-03-10")).cast("string"),
         "bad": times.utc_of_iso(F.lit("soon")),
     }
@@ -178,7 +179,7 @@ def test_nothing_depends_on_the_session_zone(spark):
         "hour": "2024-03-10 02:00:00", "month": "2024-03", "run": "t_w_s_20240310_120000_2_1",
         "whole": "t_w_s_20240309_223000_0_1", "epoch": 1710072000250,
         "plain": "2024-03-10 02:30:00", "z": "2024-03-10 02:30:00", "offset": "2024-03-10 00:30:00.5",
-        "minus": "2024-03-10 08:00:00", "day": "2024-03-10 00:00:00", "bad": None,
+        "minus": "2024-03-10 08:00:00", "hours": "2024-03-10 07:30:00", "day": "2024-03-10 00:00:00", "bad": None,
     }
     try:
         for zone in ("UTC", "America/New_York", "Pacific/Apia"):
