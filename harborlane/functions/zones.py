@@ -11,7 +11,8 @@ from __future__ import annotations
 import zoneinfo
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from harborlane.functions.times import instant, seconds_between, start_of
 
@@ -20,11 +21,9 @@ from harborlane.functions.times import instant, seconds_between, start_of
 @cache
 def zone_names() -> tuple[str, ...]:
     """Zone names known to both the zone database and the JVM; a fixed list of some 600 names."""
-    names = zoneinfo.available_timezones()
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        names = names & set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
-    return tuple(sorted(names))
+    jvm = SparkContext.getOrCreate()._jvm
+    in_jvm = set(jvm.java.time.ZoneId.getAvailableZoneIds())
+    return tuple(sorted(zoneinfo.available_timezones() & in_jvm))
 
 
 def is_known_zone(column: str) -> Column:

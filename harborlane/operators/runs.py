@@ -61,19 +61,22 @@ def prepare_errors(requests: DataFrame) -> DataFrame:
 def first_errors(pushed: DataFrame, most: int = ERRORS_PER_TASK) -> DataFrame:
     """The first errors of each run's task, with code and message cut to their limits.
 
-    Spark applies the rank limit in every task before the shuffle, so a task with very many
-    errors sends at most ``most`` rows from each.
+    Texts are cut first, so no long message is shuffled. Spark applies the rank limit in every
+    task before the shuffle too, so a task with very many errors sends at most ``most`` rows from
+    each.
     """
-    order = W.partitionBy("run_id", "task_id").orderBy("seq", "error_code", "message")
-    ranked = pushed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-    return ranked.select(
+    short = pushed.select(
         "run_id",
         "task_id",
         text.capped(F.coalesce("error_code", F.lit("UNKNOWN")), text.ERROR_CODE_LIMIT).alias(
             "error_code"
         ),
         text.capped(F.coalesce("message", F.lit("")), text.ERROR_MESSAGE_LIMIT).alias("message"),
+        "seq",
     )
+    order = W.partitionBy("run_id", "task_id").orderBy("seq", "error_code", "message")
+    ranked = short.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    return ranked.drop("_n", "seq")
 
 
 def state_errors(states: DataFrame, pushed: DataFrame) -> DataFrame:
