@@ -38,23 +38,30 @@ def parse_objects(objects: DataFrame, suffix: str = SUFFIX) -> DataFrame:
     document, as in a JSON Lines file with the wrong name. A list is parsed into its elements, so
     the size limit of a variant holds per record and not per file.
     """
-    content, key = F.col("content"), F.col("key")
-    wrapped = F.concat(F.lit("["), content, F.lit("]"))
-    head = F.substring(F.regexp_extract(content, r"^\s*(\S)", 1), 1, 1)
-    one = F.from_json(wrapped, "array<variant>")
-    many = F.from_json(wrapped, "array<array<variant>>")
-    records = F.when((head == "{") & (F.size(one) == 1), one).when(
-        (head == "[") & (F.size(many) == 1), F.try_element_at(many, F.lit(1))
+    key = F.col("key")
+    wrapped = F.concat(F.lit("["), F.col("content"), F.lit("]"))
+    head, one, many = F.col("_head"), F.col("_one"), F.col("_many")
+    first = F.regexp_extract("content", r"^\s*(\S)", 1)
+    parsed = (
+        objects.withColumn("skipped", skip_reason(key, suffix))
+        .withColumn("_head", F.when(F.col("skipped").isNull(), first))
+        # Columns of their own, so each file is parsed once.
+        .withColumns(
+            {
+                "_one": F.when(head != "[", F.from_json(wrapped, "array<variant>")),
+                "_many": F.when(head == "[", F.from_json(wrapped, "array<array<variant>>")),
+            }
+        )
     )
-    skipped = skip_reason(key, suffix)
-    parsed = objects.withColumn("skipped", skipped).withColumn(
-        "records", F.when(F.col("skipped").isNull(), records)
+    records = F.when((head == "{") & (F.size(one) == 1), one).when(
+        F.size(many) == 1, F.try_element_at(many, F.lit(1))
     )
-    all_objects = F.forall("records", lambda r: r.try_cast(conf.VARIANT_MAP).isNotNull())
-    scalar = ~head.isin("{", "[") & (F.size(one) == 1)
+    objects_only = F.forall("records", lambda r: r.try_cast(conf.VARIANT_MAP).isNotNull())
+    parsed = parsed.withColumn("records", records).withColumn("_objects_only", objects_only)
+    scalar = (head != "{") & (F.size(one) == 1)
     error = (
         F.when(F.col("skipped").isNotNull(), F.lit(None))
-        .when(F.col("records").isNotNull() & all_objects, F.lit(None))
+        .when(F.col("_objects_only"), F.lit(None))
         .when(
             F.col("records").isNotNull(),
             F.concat(F.lit("Error processing "), key, F.lit(": record is not an object")),
@@ -62,11 +69,15 @@ def parse_objects(objects: DataFrame, suffix: str = SUFFIX) -> DataFrame:
         .when(scalar, F.concat(F.lit("Unexpected data type in "), key))
         .otherwise(F.concat(F.lit("JSON parse error in "), key))
     )
-    return parsed.withColumn("error", error).withColumn(
-        "status",
+    status = (
         F.when(F.col("skipped").isNotNull(), "skipped")
         .when(F.col("error").isNotNull(), "error")
-        .otherwise("processed"),
+        .otherwise("processed")
+    )
+    return (
+        parsed.withColumn("error", error)
+        .withColumn("status", status)
+        .drop("_head", "_one", "_many", "_objects_only")
     )
 
 
