@@ -139,8 +139,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
             )
         ).alias("_s"),
     ).select("_s.place", "_s.value", "a")
+    # Sizes are guessed before the rows are multiplied, so a guess must not choose a broadcast.
     near = (
-        probes.join(sparse.withColumnRenamed("fingerprint", "b"), ["place", "value"])
+        probes.hint("merge")
+        .join(sparse.withColumnRenamed("fingerprint", "b"), ["place", "value"])
         .where((F.col("a") != F.col("b")) & (distance("a", "b") <= max_bits))
         .select("a", "b")
     )
@@ -189,7 +191,11 @@ def _crowded(prints: DataFrame, probes: DataFrame, parts: list, max_bits: int) -
             .where(F.col("a") != F.col("b"))
         )
         found = asked if found is None else found.unionAll(asked)
-    return found.join(prints.select(F.col("fingerprint").alias("b")), "b").select("a", "b")
+    return (
+        found.hint("merge")
+        .join(prints.select(F.col("fingerprint").alias("b")), "b")
+        .select("a", "b")
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
