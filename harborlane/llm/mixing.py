@@ -29,7 +29,7 @@ MAX_SLOT_BITS = 30
 MAX_PASSES = 3
 CYCLE = 3
 SEED = 17
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 5_000
 SLOTS_PER_RANGE_BITS = 14
 
 
@@ -161,6 +161,8 @@ def schedule(goals: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
     inside = F.row_number().over(W.partitionBy("place", "stretch").orderBy("slot")) - 1
     return (
         slots.withColumn("_inside", inside)
+        # The few sources the slots come from look small enough to broadcast; the slots are not.
+        .hint("merge")
         .join(offsets, ["place", "stretch"])
         .select("slot", "place", (F.col("_before") + F.col("_inside")).alias("rank"))
     )
@@ -173,7 +175,7 @@ def streams(sized: DataFrame, goals: DataFrame) -> DataFrame:
     ``sized`` has ``source``, ``size`` and ``order``, a hash in hexadecimal digits. A part is a range
     of the hashes, so the parts of a source follow each other in its order.
     """
-    # Twenty thousand documents a part, whatever the table's size.
+    # So many documents a part, whatever the table's size.
     parts = max(1, -(-sized.count() // ROWS_PER_RANGE))
     leading = F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint")
     placed = (
@@ -270,6 +272,7 @@ def mix(
     taken = (
         pieces(placed, slot_words, max_passes)
         .select(*row, "rank", "words")
+        .hint("merge")
         .join(schedule(goals, slot_words).select("place", "rank"), ["place", "rank"])
         .groupBy(*row)
         .agg(F.sum("words").alias("words"))
