@@ -28,6 +28,58 @@ from harborlane.llm.common import pieces
 
 REMEMBERED = 1 << 18
 LONGEST_REMEMBERED = 64
+#: Up to so many bytes, all pairs are looked through for each merge; beyond, they wait in a heap.
+SHORT = 64
+NONE = 1 << 60
+
+
+class Memory:
+    """What was computed lately, in two generations of bounded size."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+#: Visible ASCII and the precomposed Latin letters whose lower case is one letter.
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]+")
+PLAIN_LETTERS, PLAIN_DIGITS = "a-z\xdf-\xf6\xf8-\u0148\u014a-\u017e", "0-9"
+
+
+def plain_pattern(file: dict) -> re.Pattern | None:
+    """The word pattern for lower-cased ``PLAIN`` texts, which normalising leaves as they are; none
+    if the vocabulary works otherwise."""
+    steps = [step["type"] for step in (file["normalizer"] or {}).get("normalizers", [])]
+    splits = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or len(splits) != 2:
+        return None
+    split, byte_level = splits
+    if (split["type"], split.get("behavior"), split.get("invert")) != ("Split", "Removed", True):
+        return None
+    if byte_level["type"] != "ByteLevel" or byte_level["add_prefix_space"] or byte_level["use_regex"]:
+        return None
+    pattern = split["pattern"]["Regex"]
+    for unicode, plain in ((r"\p{L}", PLAIN_LETTERS), (r"\p{N}", PLAIN_DIGITS)):
+        pattern = pattern.replace(unicode, plain)
+    return re.compile(pattern) if r"\p" not in pattern else None
+
+
+def written_bytes() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for: visible Latin-1 bytes are
+    written as themselves, the others as the characters from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -37,95 +89,121 @@ class Encoder:
         from tokenizers import Tokenizer
 
         file = json.loads(vocabulary)
-        self.model = file["model"]
-        self.ids: dict[str, int] = self.model["vocab"]
-        self.suffix: str = self.model["end_of_word_suffix"] or ""
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in self.model["merges"]]
-        self.ranks = {tuple(pair): rank for rank, pair in enumerate(pairs)}
-        #: Pairs of bytes, as the vocabulary writes them, that some entry holds.
+        ids, suffix = file["model"]["vocab"], file["model"]["end_of_word_suffix"] or ""
+        self.bytes_of = written_bytes()
+        written = {byte: char for char, byte in self.bytes_of.items()}
+        self.size = len(ids)
+        self.first = [ids[written[byte]] for byte in range(256)]
+        self.last = [ids[written[byte] + suffix] for byte in range(256)]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
+        #: The rank of a pair of ids, and by rank the id they merge to.
+        self.ranks = {ids[a] * self.size + ids[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.merged = [ids[a + b] for a, b in merges]
+        #: Pairs of bytes that some entry holds.
         self.inner = {
-            a + b for token in self.ids for a, b in pairwise(token.removesuffix(self.suffix))
+            pair
+            for token in ids
+            for pair in pairwise([self.bytes_of[c] for c in token.removesuffix(suffix)])
         }
         tool = Tokenizer.from_str(vocabulary)
         self.normalise = tool.normalizer.normalize_str if tool.normalizer else str
+        self.plain = plain_pattern(file)
         self.split = tool.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.specials = re.compile(
-            "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
-        ) if self.special else None
-        self.fragments: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        names = sorted(self.special, key=len, reverse=True)
+        self.specials = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+        self.fragments, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as 32-bit numbers."""
-        remembered = self.fragments
-        found = []
+        memory, found = self.fragments, []
         for fragment in text.split():
-            ids = remembered.get(fragment)
+            ids = memory.new.get(fragment)
             if ids is None:
-                ids = self._fragment(fragment.decode())
-                if len(fragment) <= LONGEST_REMEMBERED:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    remembered[fragment] = ids
+                ids = memory.get(fragment)
+                if ids is None:
+                    ids = self._fragment(fragment.decode())
+                    if len(fragment) <= LONGEST_REMEMBERED:
+                        memory.put(fragment, ids)
             found.append(ids)
         return b"".join(found)
 
     def _fragment(self, text: str) -> bytes:
-        parts = self.specials.split(text) if self.specials else [text]
+        """The ids of a text without white space."""
+        if "<" not in text and self.plain and PLAIN.fullmatch(text):
+            return b"".join([self._word(w.encode()) for w in self.plain.findall(text.lower())])
         found = []
-        for part in parts:
+        for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
                 found.append(array("i", [self.special[part]]).tobytes())
             elif part:
                 for word, _ in self.split(self.normalise(part)):
-                    found.append(self._word(word))
+                    found.append(self._word(bytes([self.bytes_of[c] for c in word])))
         return b"".join(found)
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+    def _word(self, word: bytes) -> bytes:
+        ids = self.words.new.get(word) or self.words.get(word)
         if ids is None:
-            cuts = [i + 1 for i, (a, b) in enumerate(pairwise(word)) if a + b not in self.inner]
-            edges = [0, *cuts, len(word)]
-            ids = array("i")
-            for begin, end in pairwise(edges):
-                ids.extend(self._merged(word[begin:end], end == len(word)))
-            ids = ids.tobytes()
+            if self.inner.issuperset(zip(word, word[1:])):
+                found = self._merge(word, True)
+            else:
+                pairs = enumerate(zip(word, word[1:]), 1)
+                cuts = [0, *(i for i, pair in pairs if pair not in self.inner), len(word)]
+                found = []
+                for begin, end in pairwise(cuts):
+                    found += self._merge(word[begin:end], end == len(word))
+            ids = array("i", found).tobytes()
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = ids
+                self.words.put(word, ids)
         return ids
 
-    def _merged(self, fragment: str, ends_word: bool) -> list[int]:
+    def _merge(self, fragment: bytes, ends_word: bool) -> list[int]:
         """Merge neighbours, lowest rank first and from the left, until none has a rank."""
-        parts: list[str | None] = list(fragment)
+        parts = [self.first[byte] for byte in fragment]
         if ends_word:
-            parts[-1] += self.suffix
-        size = len(parts)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        ranks = self.ranks
-        queue = [
-            (ranks[pair], i, *pair) for i, pair in enumerate(pairwise(parts)) if pair in ranks
-        ]
-        heapq.heapify(queue)
+            parts[-1] = self.last[fragment[-1]]
+        if len(parts) > SHORT:
+            return self._merge_long(parts)
+        rank, size, merged = self.ranks.get, self.size, self.merged
+        ranks = [rank(a * size + b, NONE) for a, b in pairwise(parts)]
+        while ranks:
+            best = min(ranks)
+            if best == NONE:
+                break
+            i = ranks.index(best)
+            one = parts[i] = merged[best]
+            del parts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(one * size + parts[i + 1], NONE)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] * size + one, NONE)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same with the pairs in a heap, and links to the parts before and after."""
+        count, gone = len(parts), -1
+        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+        queue = []
+
+        def offer(i: int, j: int) -> None:
+            rank = self.ranks.get(parts[i] * self.size + parts[j])
+            if rank is not None:
+                heapq.heappush(queue, (rank, i, parts[i], parts[j]))
+
+        for i in range(count - 1):
+            offer(i, i + 1)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            rank, i, left, right = heapq.heappop(queue)
             j = after[i]
-            if parts[i] != left or j >= size or parts[j] != right:
+            if parts[i] != left or j >= count or parts[j] != right:
                 continue
-            parts[i], parts[j] = left + right, None
-            after[i] = after[j]
-            if after[i] < size:
+            parts[i], parts[j], after[i] = self.merged[rank], gone, after[j]
+            if after[i] < count:
                 before[after[i]] = i
-                pair = (parts[i], parts[after[i]])
-                if pair in ranks:
-                    heapq.heappush(queue, (ranks[pair], i, *pair))
+                offer(i, after[i])
             if before[i] >= 0:
-                pair = (parts[before[i]], parts[i])
-                if pair in ranks:
-                    heapq.heappush(queue, (ranks[pair], before[i], *pair))
-        return [self.ids[part] for part in parts if part is not None]
+                offer(before[i], i)
+        return [part for part in parts if part != gone]
 
 
 def read_vocabulary(path: str) -> str:
@@ -175,31 +253,36 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     if json.loads(vocabulary)["decoder"] is not None:
         raise ValueError("only vocabularies without a decoder are supported")
     kept = [c for c in encoded.columns if c != "ids"]
-    names = [f"_{i}" for i in range(len(kept))]
+    names_kept = [f"_{i}" for i in range(len(kept))]
     kinds = [encoded.schema[c].dataType.simpleString() for c in kept]
     worker = encoded.sparkSession.sparkContext.broadcast({"vocabulary": vocabulary})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker.value
-        tokens = own.get("tokens")
-        if tokens is None:
-            tokens = own["tokens"] = written_tokens(own["vocabulary"])
+        if "tokens" not in own:
+            names = written_tokens(own["vocabulary"])
+            own["known"] = np.isin(np.arange(max(names) + 1), list(names))
+            own["tokens"] = pa.array([names.get(i, "") for i in range(max(names) + 1)])
+        tokens, known = own["tokens"], own["known"]
         for batch in batches:
             for first in range(0, len(batch), 256):
                 piece = batch.slice(first, 256)
-                texts = [
-                    " ".join([tokens[i] for i in (ids or ()) if i in tokens])
-                    for ids in (row.values.to_numpy().tolist() if row.is_valid else None
-                                for row in piece["ids"])
-                ]
+                ids = piece["ids"].flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                sizes = pa.compute.list_value_length(piece["ids"]).fill_null(0).to_numpy()
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                good = (ids >= 0) & (ids < len(tokens))
+                good[good] = known[ids[good]]
+                ends = np.concatenate(([0], np.cumsum(good)))[ends].astype(np.int32)
+                written = pa.ListArray.from_arrays(pa.array(ends), tokens.take(pa.array(ids[good])))
+                texts = pa.compute.binary_join(written, " ")
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(texts, pa.string())], ["ids", *names, "decoded"]
+                    [*piece.columns, texts], ["ids", *names_kept, "decoded"]
                 )
 
     schema = ", ".join(
-        ["ids array<int>", *(f"{n} {k}" for n, k in zip(names, kinds)), "decoded string"]
+        ["ids array<int>", *(f"{n} {k}" for n, k in zip(names_kept, kinds)), "decoded string"]
     )
-    made = encoded.select("ids", *[F.col(c).alias(n) for c, n in zip(kept, names)]).mapInArrow(
-        run, schema
-    )
-    return made.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], "ids", "decoded")
+    made = encoded.select(
+        "ids", *[F.col(c).alias(n) for c, n in zip(kept, names_kept)]
+    ).mapInArrow(run, schema)
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names_kept, kept)], "ids", "decoded")
