@@ -142,17 +142,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text:
     return bodies.join(marks, "id")
 
 
-def _round(
-    sample: DataFrame, shards: int, state: tuple[np.ndarray, np.ndarray, np.ndarray], bits: int
-) -> DataFrame:
-    """One task per shard goes on from ``state``; the shards' states are averaged by coordinate."""
-    start = sample.sparkSession.sparkContext.broadcast(state)
+def _round(sample: DataFrame, state: DataFrame, shards: int, bits: int) -> DataFrame:
+    """(at, z, n): one task per shard goes on from ``state``, then the shards' states are averaged
+    by coordinate."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(taught: pa.Table, start: pa.Table) -> pa.Table:
         model, hasher, rows = Ftrl(bits), WordHashes(), []
-        at, z, n = start.value
-        model.z[at], model.n[at] = z, n
-        for batch in batches:
+        at = start["at"].to_numpy()
+        model.z[at], model.n[at] = start["z"].to_numpy(), start["n"].to_numpy()
+        for batch in taught.to_batches():
             for piece in pieces(batch, "text"):
                 found, owner = features(hasher, *text_bytes(piece["text"]), bits)
                 order = np.argsort(owner, kind="stable")
@@ -166,14 +164,14 @@ def _round(
             for _, mark, own in rows:
                 model.learn(own, mark)
         seen = np.flatnonzero(model.n)
-        for first in range(0, len(seen), 1 << 16):
-            some = seen[first : first + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some), pa.array(model.z[some]), pa.array(model.n[some])], ["at", "z", "n"]
-            )
+        return pa.table({"at": seen, "z": model.z[seen], "n": model.n[seen]})
 
+    everywhere = state.withColumn(
+        "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
+    )
     return (
         sample.groupBy("shard")
+        .cogroup(everywhere.groupBy("shard"))
         .applyInArrow(run, "at bigint, z double, n double")
         .groupBy("at")
         # A shard that has not met a coordinate holds zero for it.
@@ -192,7 +190,8 @@ def train(
 ) -> dict[int, float]:
     """Weights by coordinate, zero ones left out; ``INTERCEPT`` holds the intercept.
 
-    The state is at most ``2**bits`` coordinates, however many rows there are.
+    The state is at most ``2**bits`` coordinates and stays in Spark; only the weights that L1 leaves
+    come to the driver.
     """
     rows = labelled(docs, labels, label, doc_id, text)
     known = labels.where(F.col(label).isin(0, 1)).count()
@@ -201,22 +200,17 @@ def train(
     sample = stored(
         rows.withColumn("key", F.xxhash64("id", F.lit(label)))
         .where(F.pmod("key", F.lit(1 << 20)) < round(chance * (1 << 20)))
-        .withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards)))
+        .withColumn("shard", F.pmod(F.shiftright("key", 20), F.lit(shards)).cast("bigint"))
         .select("key", "shard", "text", "label"),
         "toxicity-sample",
     )
-    state = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    state = docs.sparkSession.createDataFrame([], "at bigint, z double, n double")
     for _ in range(ROUNDS):
-        found = _round(sample, shards, state, bits).toPandas()
-        state = tuple(found[c].to_numpy() for c in ("at", "z", "n"))
-    model = Ftrl(bits)
-    at, model.z[at], model.n[at] = state
-    weights = model.weights(at)
-    return {
-        INTERCEPT if i == 1 << bits else int(i): float(w)
-        for i, w in zip(at, weights)
-        if w != 0.0
-    }
+        state = stored(_round(sample, state, shards, bits), "toxicity-state")
+    l1 = F.when(F.col("at") == 1 << bits, 0.0).otherwise(L1)
+    weight = (F.signum("z") * l1 - F.col("z")) / ((BETA + F.sqrt("n")) / ALPHA + L2)
+    rows = state.where(F.abs("z") > l1).select("at", weight.alias("weight")).collect()
+    return {INTERCEPT if r["at"] == 1 << bits else r["at"]: r["weight"] for r in rows}
 
 
 def score(
