@@ -29,9 +29,9 @@ from harborlane.llm.common import stored
 from harborlane.llm.vectors import build, meet, parts_of, usable
 
 LINKS, CANDIDATES, BEAM, UPPER_BEAM, AT_ONCE = 16, 64, 128, 8, 4
-ROWS_PER_SHARD, QUERIES_PER_BLOCK = 8192, 512
+ROWS_PER_SHARD, QUERIES_PER_BLOCK = 16_384, 512
 SEED = 11
-_BLOCK = 256
+_BLOCK, _EDGES = 256, 4096
 
 
 def spread_choice(points: np.ndarray, owners: np.ndarray, options: np.ndarray, most: int):
@@ -44,7 +44,7 @@ def spread_choice(points: np.ndarray, owners: np.ndarray, options: np.ndarray, m
         near = points[np.maximum(some, 0)]
         to_owner = np.einsum("bcd,bd->bc", near, points[own])
         between = near @ near.transpose(0, 2, 1)
-        closest = np.full(some.shape, -np.inf)
+        closest = np.full(some.shape, -np.inf, points.dtype)
         taken, count = np.zeros(some.shape, bool), np.zeros(len(own), int)
         for c in range(some.shape[1]):
             good = there[:, c] & (closest[:, c] < to_owner[:, c]) & (count < most)
@@ -80,8 +80,12 @@ def graph(points: np.ndarray, links: int) -> np.ndarray:
     forward = spread_choice(points, everyone, earlier_nearest(points, CANDIDATES), links)
     sources = np.repeat(everyone, links)[forward.ravel() >= 0]
     goals = forward.ravel()[forward.ravel() >= 0]
+    value = np.empty(len(sources), points.dtype)
+    for first in range(0, len(sources), _EDGES):
+        some = slice(first, first + _EDGES)
+        value[some] = np.einsum("ij,ij->i", points[sources[some]], points[goals[some]])
     a, b = np.concatenate([sources, goals]), np.concatenate([goals, sources])
-    value = np.einsum("ij,ij->i", points[a], points[b])
+    value = np.concatenate([value, value])
     order = np.lexsort((-value, a))
     a, b = a[order], b[order]
     edges = np.searchsorted(a, np.arange(len(points) + 1))
@@ -109,7 +113,8 @@ def graph_index(ids: np.ndarray, matrix: np.ndarray) -> dict:
     by_node = np.lexsort((ids, node))
     starts = np.searchsorted(node[by_node], np.arange(len(points) + 1))
     squares = (points * points).sum(axis=1)
-    level_points = np.hstack([points, np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]])
+    extra = np.sqrt(np.maximum(squares.max() - squares, 0))[:, None]
+    level_points = np.hstack([points, extra]).astype(np.float32)
     height = -np.log(1.0 - random.random(len(points))) / math.log(LINKS)
     members, arrays, level = [], [], 0
     while True:
@@ -139,7 +144,7 @@ def beam_search(
     total, width = len(queries), entry.shape[1]
     seen = np.zeros((total, len(points)), bool)
     nodes = np.full((total, beam), -1, np.int64)
-    values = np.full((total, beam), -np.inf)
+    values = np.full((total, beam), -np.inf, points.dtype)
     rows = np.arange(total)[:, None]
     nodes[:, :width] = entry
     start = np.einsum("bcd,bd->bc", points[np.maximum(entry, 0)], queries)
@@ -153,18 +158,20 @@ def beam_search(
         usable = np.take_along_axis(open_, at, axis=1)
         done[active[:, None], at] = True
         around = links[np.maximum(nodes[active[:, None], at], 0)]
-        around = np.where(usable[:, :, None], around, -1).reshape(len(active), -1)
-        query, column = np.nonzero(around >= 0)
-        pairs = np.unique(query * len(points) + around[query, column])
+        around = around.reshape(len(active), -1)
+        new = (around >= 0) & usable.repeat(links.shape[1], axis=1)
+        new &= ~seen[active[:, None], np.maximum(around, 0)]
+        query, column = np.nonzero(new)
+        pairs = np.sort(query * len(points) + around[query, column])
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         query, node = np.divmod(pairs, len(points))
-        new = ~seen[active[query], node]
-        query, node = query[new], node[new]
         seen[active[query], node] = True
         value = np.einsum("ij,ij->i", points[node], queries[active[query]])
         place = np.arange(len(query)) - np.searchsorted(query, np.arange(len(active)))[query]
         wide = beam + int(place.max(initial=-1)) + 1
         all_nodes = np.full((len(active), wide), -1, np.int64)
-        all_values, all_done = np.full((len(active), wide), -np.inf), np.ones((len(active), wide), bool)
+        all_values = np.full((len(active), wide), -np.inf, points.dtype)
+        all_done = np.ones((len(active), wide), bool)
         all_nodes[:, :beam], all_values[:, :beam] = nodes[active], values[active]
         all_done[:, :beam] = done[active]
         all_nodes[query, beam + place], all_values[query, beam + place] = node, value
@@ -181,6 +188,8 @@ def search_shard(row: dict, query_ids: np.ndarray, queries: np.ndarray, top: int
     """Positions of the queries, ids and exact scores of what the shard's graph finds."""
     points = np.frombuffer(row["points"], "<f8").reshape(-1, row["dim"])
     ids, starts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["starts"], "<i8")
+    # The way through the graph needs no more than single precision; the scores below do.
+    fast, asked = points.astype(np.float32), queries.astype(np.float32)
     entry = np.zeros((len(queries), 1), np.int64)
     for level in range(len(row["members"]) - 1, -1, -1):
         members = np.frombuffer(row["members"][level], "<i4").astype(np.int64)
@@ -190,7 +199,7 @@ def search_shard(row: dict, query_ids: np.ndarray, queries: np.ndarray, top: int
         width = max(beam, top + 1) if level == 0 else UPPER_BEAM
         if level == len(row["members"]) - 1:
             here = np.zeros((len(queries), 1), np.int64)
-        found, _ = beam_search(points[members], links, queries, here, width)
+        found, _ = beam_search(fast[members], links, asked, here, width)
         entry = np.where(found >= 0, members[np.maximum(found, 0)], -1)
     at, hits, scores = [], [], []
     for position, (query, nodes) in enumerate(zip(queries, entry)):
