@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from harborlane.llm.common import pieces
 
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 LONGEST_REMEMBERED = 64
 #: Up to so many bytes, all pairs are looked through for each merge; beyond, they wait in a heap.
 SHORT = 64
@@ -112,7 +112,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         names = sorted(self.special, key=len, reverse=True)
         self.specials = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
-        self.fragments, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.fragments, self.words = Memory(REMEMBERED), Memory(REMEMBERED // 2)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as 32-bit numbers."""

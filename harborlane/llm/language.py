@@ -30,6 +30,8 @@ PROFILE_SIZE, LONGEST = 300, 3
 UNKNOWN = "und"
 #: Profiles are compared in blocks of so many languages, which bounds a task's tables.
 BLOCK = 64
+#: Texts are taken together, and cut, to about so many characters, which bounds a task's memory.
+SLICE = 1 << 19
 _BITS = 21
 
 
@@ -78,9 +80,35 @@ def grams(texts: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(codes), np.concatenate(owners), has_letter
 
 
-def top_grams(codes: np.ndarray, size: int) -> np.ndarray:
+def slices(text: str) -> Iterator[str]:
+    """Cut a long text where it has neither letter nor mark, which leaves its n-grams as they are.
+
+    A word longer than a slice is cut as well.
+    """
+    at = 0
+    while len(text) - at > SLICE:
+        end = at + SLICE
+        while end > at + SLICE // 2 and unicodedata.category(text[end])[0] in "LM":
+            end -= 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def counted(texts: Iterator[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of texts, sorted, and how often they occur, a slice at a time."""
+    found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for text in texts:
+        for part in slices(text):
+            more, n = np.unique(grams([part], kinds)[0], return_counts=True)
+            found, counts = np.concatenate([found, more]), np.concatenate([counts, n])
+            found, place = np.unique(found, return_inverse=True)
+            counts = np.bincount(place, counts, len(found)).astype(np.int64)
+    return found, counts
+
+
+def top_grams(found: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The most frequent codes, most frequent first, ties to the smaller code."""
-    found, counts = np.unique(codes, return_counts=True)
     if len(found) > size:
         # What is rarer than the last one that fits cannot be among them.
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
@@ -88,18 +116,35 @@ def top_grams(codes: np.ndarray, size: int) -> np.ndarray:
     return found[np.argsort(-counts, kind="stable")[:size]]
 
 
+def each_counted(texts: list[str], kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams and counts of each text; a text without a letter has none."""
+    if len(texts) == 1:
+        has_letter = any(kinds[ord(c)] == 2 for c in texts[0])
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield counted(texts, kinds) if has_letter else none
+        return
+    codes, owner, _ = grams(texts, kinds)
+    order = np.argsort(owner, kind="stable")
+    codes, edges = codes[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    for begin, end in zip(edges, edges[1:]):
+        yield np.unique(codes[begin:end], return_counts=True)
+
+
 def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) over all labelled rows, summed within pieces of a batch already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = character_kinds()
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 22):
+            for piece in pieces(batch, "text", SLICE):
                 by_lang: dict[str, list[str]] = {}
                 for label, body in zip(piece["lang"].to_pylist(), piece["text"].to_pylist()):
                     by_lang.setdefault(label, []).append(body)
                 for label, bodies in by_lang.items():
-                    found, n = np.unique(grams(bodies, kinds)[0], return_counts=True)
+                    if len(bodies) == 1:
+                        found, n = counted(bodies, kinds)
+                    else:
+                        found, n = np.unique(grams(bodies, kinds)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([label] * len(found), pa.string()),
@@ -181,19 +226,15 @@ def predict(docs: DataFrame, model: Profiles, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, known = character_kinds(), Profiles(*held.value)
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SLICE):
                 bodies = [t or "" for t in piece["text"].to_pylist()]
-                codes, owner, has_letter = grams(bodies, kinds)
-                order = np.argsort(owner, kind="stable")
-                codes = codes[order]
-                edges = np.searchsorted(owner[order], np.arange(len(bodies) + 1))
                 names, scores = [], []
-                for i in range(len(bodies)):
-                    if not has_letter[i] or not known.names:
+                for found, counts in each_counted(bodies, kinds):
+                    if not len(found) or not known.names:
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         continue
-                    top = top_grams(codes[edges[i] : edges[i + 1]], known.size)
+                    top = top_grams(found, counts, known.size)
                     far = known.distances(top)
                     best = int(far.argmin())
                     names.append(known.names[best])
