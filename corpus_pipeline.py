@@ -98,8 +98,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token ids of each document, with digests of them and of the text they decode to."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
     keep = ["doc_id", "lang", "source"]
-    decoded = bpe.decode(bpe.encode(docs, vocabulary, keep), vocabulary)
-    return digests(decoded, [*keep, "ids"])
+    return digests(bpe.encode(docs, vocabulary, keep, decoded=True), [*keep, "ids"])
 
 
 STAGES = [

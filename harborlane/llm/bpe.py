@@ -105,7 +105,9 @@ class Encoder:
             for token in ids
             for pair in pairwise([self.bytes_of[c] for c in token.removesuffix(suffix)])
         }
-        tool = Tokenizer.from_str(vocabulary)
+        # Only the steps before merging are the library's, so it need not hold the entries.
+        none = {"type": "BPE", "vocab": {}, "merges": []}
+        tool = Tokenizer.from_str(json.dumps(file | {"model": none, "added_tokens": []}))
         self.normalise = tool.normalizer.normalize_str if tool.normalizer else str
         self.plain = plain_pattern(file)
         self.split = tool.pre_tokenizer.pre_tokenize_str
@@ -219,18 +221,50 @@ def written_tokens(vocabulary: str) -> dict[int, str]:
     return names | {token["id"]: token["content"] for token in file["added_tokens"]}
 
 
-def encode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``ids``, the ids of each row's whole text."""
+class Decoder:
+    """Writes ids out as text, for a vocabulary file that names no decoder: the written forms of the
+    ids joined by blanks. An id the vocabulary lacks is left out; null ids give an empty text."""
+
+    def __init__(self, vocabulary: str):
+        names = written_tokens(vocabulary)
+        numbers = range(max(names) + 1)
+        self.known = np.isin(numbers, list(names))
+        self.tokens = pa.array([names.get(i, "") for i in numbers])
+
+    def decode(self, column: pa.ListArray) -> pa.Array:
+        ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        sizes = pa.compute.list_value_length(column).fill_null(0).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        good = (ids >= 0) & (ids < len(self.tokens))
+        good[good] = self.known[ids[good]]
+        ends = np.concatenate(([0], np.cumsum(good)))[ends].astype(np.int32)
+        written = pa.ListArray.from_arrays(pa.array(ends), self.tokens.take(pa.array(ids[good])))
+        return pa.compute.binary_join(written, " ")
+
+
+def check(vocabulary: str) -> None:
+    if json.loads(vocabulary)["decoder"] is not None:
+        raise ValueError("only vocabularies without a decoder are supported")
+
+
+def encode(
+    docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", decoded: bool = False
+) -> DataFrame:
+    """The columns ``keep`` and ``ids``, the ids of each row's whole text; on demand also
+    ``decoded``, what the ids decode to, made in the same pass."""
+    if decoded:
+        check(vocabulary)
     names = [f"_{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    made_columns = ["ids", "decoded"][: 1 + decoded]
     # A worker keeps its copy of a broadcast value, so its encoder lasts from task to task.
     worker = docs.sparkSession.sparkContext.broadcast({"vocabulary": vocabulary})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker.value
-        encoder = own.get("encoder")
-        if encoder is None:
-            encoder = own["encoder"] = Encoder(own["vocabulary"])
+        if "encoder" not in own:
+            own["encoder"], own["decoder"] = Encoder(own["vocabulary"]), Decoder(own["vocabulary"])
+        encoder, decoder = own["encoder"], own["decoder"]
         for batch in batches:
             for piece in pieces(batch, "_text", 1 << 19):
                 made = [encoder.encode((t or "").encode()) for t in piece["_text"].to_pylist()]
@@ -238,51 +272,35 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text"
                 ids = pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(np.frombuffer(b"".join(made), dtype=np.int32))
                 )
-                yield pa.RecordBatch.from_arrays([*piece.columns[1:], ids], [*names, "ids"])
+                found = [ids, decoder.decode(ids)] if decoded else [ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns[1:], *found], [*names, *made_columns]
+                )
 
-    schema = ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), "ids array<int>"])
+    types = dict(zip(["ids", "decoded"], ["array<int>", "string"]))
+    schema = [f"{n} {k}" for n, k in zip(names, kinds)] + [f"{c} {types[c]}" for c in made_columns]
     made = docs.select(
         F.col(text).alias("_text"), *[F.col(c).alias(n) for c, n in zip(keep, names)]
-    ).mapInArrow(run, schema)
-    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "ids")
+    ).mapInArrow(run, ", ".join(schema))
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *made_columns)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """Add ``decoded``: the written forms of ``ids`` joined by blanks, as for a vocabulary file that
-    names no decoder. An id the vocabulary lacks is left out; null ids give an empty text."""
-    if json.loads(vocabulary)["decoder"] is not None:
-        raise ValueError("only vocabularies without a decoder are supported")
-    kept = [c for c in encoded.columns if c != "ids"]
-    names_kept = [f"_{i}" for i in range(len(kept))]
-    kinds = [encoded.schema[c].dataType.simpleString() for c in kept]
+    """Add ``decoded``, what ``ids`` decode to, to the other columns."""
+    check(vocabulary)
     worker = encoded.sparkSession.sparkContext.broadcast({"vocabulary": vocabulary})
+    row = encoded.select(F.struct("*").alias("row"), F.col("ids").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker.value
-        if "tokens" not in own:
-            names = written_tokens(own["vocabulary"])
-            own["known"] = np.isin(np.arange(max(names) + 1), list(names))
-            own["tokens"] = pa.array([names.get(i, "") for i in range(max(names) + 1)])
-        tokens, known = own["tokens"], own["known"]
+        if "decoder" not in own:
+            own["decoder"] = Decoder(own["vocabulary"])
         for batch in batches:
             for first in range(0, len(batch), 256):
                 piece = batch.slice(first, 256)
-                ids = piece["ids"].flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-                sizes = pa.compute.list_value_length(piece["ids"]).fill_null(0).to_numpy()
-                ends = np.concatenate(([0], np.cumsum(sizes)))
-                good = (ids >= 0) & (ids < len(tokens))
-                good[good] = known[ids[good]]
-                ends = np.concatenate(([0], np.cumsum(good)))[ends].astype(np.int32)
-                written = pa.ListArray.from_arrays(pa.array(ends), tokens.take(pa.array(ids[good])))
-                texts = pa.compute.binary_join(written, " ")
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, texts], ["ids", *names_kept, "decoded"]
+                    [piece["row"], own["decoder"].decode(piece["ids"])], ["row", "decoded"]
                 )
 
-    schema = ", ".join(
-        ["ids array<int>", *(f"{n} {k}" for n, k in zip(names_kept, kinds)), "decoded string"]
-    )
-    made = encoded.select(
-        "ids", *[F.col(c).alias(n) for c, n in zip(kept, names_kept)]
-    ).mapInArrow(run, schema)
-    return made.select(*[F.col(n).alias(c) for n, c in zip(names_kept, kept)], "ids", "decoded")
+    schema = row.schema["row"].dataType.simpleString()
+    return row.mapInArrow(run, f"row {schema}, decoded string").select("row.*", "decoded")

@@ -60,7 +60,7 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return digests(bpe.decode(bpe.encode(docs, vocabulary, ["doc_id"]), vocabulary), ["doc_id"])
+    return digests(bpe.encode(docs, vocabulary, ["doc_id"], decoded=True), ["doc_id"])
 
 
 def digests(decoded: DataFrame, keep: list[str]) -> DataFrame:
