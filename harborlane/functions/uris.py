@@ -29,8 +29,12 @@ def document_store_endpoint(uri: Column) -> Column:
     authority = F.regexp_extract(uri, r"^[^:]+://([^/?#]*)", 1)
     userinfo = _or_null(F.regexp_extract(authority, r"^(.*)@", 1))
     hostport = F.regexp_replace(authority, r"^.*@", "")
-    host = _or_null(F.lower(F.regexp_extract(hostport, r"^\[?([^\]:]*)", 1)))
-    port = F.regexp_extract(hostport, r":(\d+)$", 1).try_cast("int")
+    # A host in brackets holds colons itself.
+    bracketed = F.regexp_extract(hostport, r"^\[([^\]]*)\]", 1)
+    named = F.regexp_extract(hostport, r"^([^\[:,]*)", 1)
+    host = _or_null(F.lower(F.when(bracketed != "", bracketed).otherwise(named)))
+    port_text = _or_null(F.regexp_extract(hostport, r"^(?:\[[^\]]*\]|[^\[:,]*):(.*)$", 1))
+    port = port_text.try_cast("int")
     database = _or_null(
         F.regexp_replace(F.regexp_extract(uri, r"^[^:]+://[^/?#]*(/[^?#]*)", 1), "^/+", "")
     )
@@ -38,7 +42,12 @@ def document_store_endpoint(uri: Column) -> Column:
     error = (
         F.when(uri.isNull() | (F.trim(uri) == ""), F.lit("empty uri"))
         .when(~scheme.isin("mongodb", "mongodb+srv"), F.lit("unsupported scheme"))
+        .when(hostport.contains(","), F.lit("more than one host"))
         .when(host.isNull(), F.lit("missing host"))
+        .when(
+            port_text.isNotNull() & ~F.coalesce(port.between(0, 65535), F.lit(False)),
+            F.lit("bad port"),
+        )
         .when(srv & port.isNotNull(), F.lit("port not allowed with srv"))
     )
     ok = error.isNull()

@@ -253,9 +253,13 @@ def without_tenant(store: DataFrame, customer_guid: str) -> DataFrame:
     return store.where(~F.col("customer_guid").eqNullSafe(F.lit(customer_guid)))
 
 
-def trace_timeline(store: DataFrame, trace_id: str) -> DataFrame:
-    """All events of one trace in time order."""
-    return store.where(F.col("trace_id") == trace_id).orderBy("timestamp", "event_id")
+def trace_timeline(store: DataFrame, customer_guid: str, trace_id: str) -> DataFrame:
+    """A tenant's events of one trace in time order.
+
+    Trace ids come from callers and may be the same for two tenants. Only the tenant's folder is read.
+    """
+    own = (F.col("customer_guid") == customer_guid) & (F.col("trace_id") == trace_id)
+    return store.where(own).orderBy("timestamp", "event_id")
 
 
 def trace_summary(store: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from harborlane.functions.times import seconds_between
+from harborlane.functions.times import millis_between
 from harborlane.operators import positions
 
 # Fixed values.
@@ -51,9 +51,9 @@ def missed_runs(
         raise ValueError("keep is first or last")
     start = F.greatest(F.col("utc_next_run"), F.timestamp_add("DAY", F.lit(-max_days), now))
     step = step_days(F.col("schedule_type"))
-    seconds = seconds_between(start, now)
-    # Steps that start strictly before now.
-    count = F.ceil(seconds / (step * 86400)).cast("int")
+    # Steps that start strictly before now; a part of a millisecond counts as a whole one.
+    late = millis_between(start, F.timestamp_add("MICROSECOND", F.lit(999), now))
+    count = F.ceil(late / (step.cast("bigint") * 86_400_000)).cast("int")
     first = F.greatest(count - max_runs, F.lit(0)) if keep == "last" else F.lit(0)
     last = count - 1 if keep == "last" else F.least(count, F.lit(max_runs)) - 1
     due = integrations.where(F.col("utc_next_run") < now)
@@ -81,7 +81,10 @@ def batch_start(batch: Column, initial: int = INITIAL_DELAY, most: int = MAX_DEL
 def jitter(identity: Column, width: Column | int = JITTER_SECONDS) -> Column:
     """Repeatable offset in [-width, width] seconds."""
     n = F.lit(width) if isinstance(width, int) else width
-    return (F.pmod(identity * F.lit(2654435761), 2 * n + 1) - n).cast("int")
+    # Both factors are reduced first, so ids of any size stay within 64 bits.
+    span = (2 * n + 1).cast("bigint")
+    factor = F.pmod(F.lit(2654435761), span)
+    return (F.pmod(F.pmod(identity, span) * factor, span) - n).cast("int")
 
 
 def stagger_ms(position: Column, interval: int = STAGGER_MS) -> Column:

@@ -135,10 +135,11 @@ def transfer_stats(parsed: DataFrame) -> DataFrame:
 def source_presence(runs: DataFrame, objects: DataFrame) -> DataFrame:
     """Per run whether its bucket and prefix hold any object.
 
-    ``runs`` has run_id, bucket and prefix. Keys are cut to the prefix lengths that are asked for
+    ``runs`` has run_id, bucket and prefix; no prefix means the whole bucket. Keys are cut to the prefix lengths that are asked for
     in their bucket (a key has at most 1024 characters) and counted per prefix before the join, so
     a large bucket is reduced in every task and runs never meet its objects in pairs.
     """
+    runs = runs.withColumn("prefix", F.coalesce("prefix", F.lit("")))
     lengths = runs.groupBy("bucket").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     cut = objects.join(lengths, "bucket").select(
         "bucket", "key", F.explode("lengths").alias("length")
@@ -205,11 +206,15 @@ def first_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
     The keeper of each key is a partial aggregate; joining it back has one row per key on that
     side, so the rows of a hot key can be split instead of meeting in one window. ``order`` must
-    be unique within a key.
+    be unique within a key. As in a unique index, nulls are equal to each other.
     """
-    keepers = df.groupBy(*key).agg(F.min(order).alias("_keeper"))
+    names = [f"_key_{i}" for i in range(len(key))]
+    keepers = df.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)]).agg(
+        F.min(order).alias("_keeper")
+    )
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names)]
     return (
-        df.join(keepers, key, "left")
+        df.join(keepers, same, "left")
         .withColumn("is_first", F.col(order) == F.col("_keeper"))
-        .drop("_keeper")
+        .drop("_keeper", *names)
     )

@@ -212,17 +212,20 @@ def _conf_value(name: str) -> Column:
     return F.get_json_object("conf", f"$.{name}")
 
 
-# What a finished task means, as event, resource, action and actor.
+# What a finished task means, as event, resource and action.
 TASK_EVENTS = {
-    "prepare": ("auth.accessed", "credentials", "access", "run-worker"),
-    "execute": ("data.destination.written", "integration", "write", "run-worker"),
-    "cleanup": ("auth.cleared", "credentials", "clear", "run-worker"),
-    "find_due_integrations": ("integration.dispatched", "controller", "dispatch", "run-scheduler"),
+    "prepare": ("auth.accessed", "credentials", "access"),
+    "execute": ("data.destination.written", "integration", "write"),
+    "cleanup": ("auth.cleared", "credentials", "clear"),
+    "find_due_integrations": ("integration.dispatched", "controller", "dispatch"),
 }
+DISPATCHER = "find_due_integrations"
 
 
-def task_events(tasks: DataFrame, now: Column) -> DataFrame:
-    """Audit events from finished tasks.
+def task_events(
+    tasks: DataFrame, now: Column, worker: str = "run-worker", scheduler: str = "run-scheduler"
+) -> DataFrame:
+    """Audit events from finished tasks, by ``worker``, or by ``scheduler`` for the dispatcher.
 
     ``tasks`` has dag_id, dag_run_id, task_id, state, conf (JSON text) and message. A failed task
     gives ``task.{id}.failed``; a successful one the event of its kind, or none.
@@ -240,7 +243,7 @@ def task_events(tasks: DataFrame, now: Column) -> DataFrame:
     value = _conf_value
     resource = (
         F.when(failed, task)
-        .when(task == "find_due_integrations", F.col("dag_id"))
+        .when(task == DISPATCHER, F.col("dag_id"))
         .when(task == "execute", F.coalesce(value("integration_id"), F.lit("")))
         .otherwise(F.coalesce(value("workspace_id"), F.lit("")))
     )
@@ -252,7 +255,7 @@ def task_events(tasks: DataFrame, now: Column) -> DataFrame:
         event_type=F.when(failed, F.concat(F.lit("task."), task, F.lit(".failed"))).otherwise(
             mapped(0)
         ),
-        actor_id=F.when(failed, F.lit("run-worker")).otherwise(mapped(3)),
+        actor_id=F.when(~failed & (task == DISPATCHER), scheduler).otherwise(worker),
         actor_type=F.lit("system"),
         resource_type=F.when(failed, F.lit("task")).otherwise(mapped(1)),
         resource_id=resource,

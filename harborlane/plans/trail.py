@@ -10,6 +10,8 @@ from harborlane import schemas
 from harborlane.functions.times import instant as at
 from harborlane.operators import audit
 from harborlane.plans.registry import query
+from harborlane.session import fresh_dir
+from harborlane.sinks import partitions
 from harborlane.sources import views
 from harborlane.sources.tables import table
 
@@ -148,7 +150,11 @@ def audit_tenants(spark: SparkSession, folder: str) -> DataFrame:
     sql="""select customer_guid, count(*) as n from stored_audit where customer_guid <> 'cust-1' group by 1""",
 )
 def audit_erased(spark: SparkSession, folder: str) -> DataFrame:
-    left = audit.without_tenant(_store(spark, folder), "cust-1")
+    """A store in folders, from which a tenant's folder is deleted."""
+    path = fresh_dir(spark, "erased")
+    partitions.append_partitioned(_store(spark, folder), path)
+    partitions.erase_tenant(spark, [path], "cust-1")
+    left = spark.read.parquet(path)
     return left.groupBy("customer_guid").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,10 +175,11 @@ def audit_trace_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "audit_trace_timeline",
     views="stored_audit",
-    sql="""select customer_guid, event_id, timestamp, event_type from stored_audit where trace_id = 'trace-7'""",
+    sql="""select customer_guid, event_id, timestamp, event_type from stored_audit
+      where trace_id = 'trace-7' and customer_guid = 'cust-2'""",
 )
 def audit_trace_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.trace_timeline(_store(spark, folder), "trace-7").select(
+    return audit.trace_timeline(_store(spark, folder), "cust-2", "trace-7").select(
         "customer_guid", "event_id", "timestamp", "event_type"
     )
 

@@ -467,3 +467,26 @@ def workspace_customers(spark: SparkSession, folder: str) -> DataFrame:
     return dispatch.with_tenant(views.integrations(spark, folder), known, "left").select(
         "integration_id", "customer_guid"
     )
+
+
+@query(
+    "source_csv_records",
+    sql="""select cast(c_custkey as varchar) as c_custkey, c_name,
+      case when c_acctbal >= 0 then c_mktsegment end as c_mktsegment from customer""",
+)
+def source_csv_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose headers differ in order and number, by the names of each one's own header."""
+    path = fresh_dir(spark, "csv-records")
+    customers = table(spark, folder, "customer")
+    for name, owing, columns in (
+        ("a", False, ["c_custkey", "c_name", "c_mktsegment"]), ("b", True, ["c_name", "c_custkey"])
+    ):
+        rows = customers.where((F.col("c_acctbal") < 0) == owing).select(*columns)
+        rows.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    record = files.read_csv_records(spark, path).select("record")
+    return record.select(
+        *[
+            F.try_element_at("record", F.lit(c)).alias(c)
+            for c in ("c_custkey", "c_name", "c_mktsegment")
+        ]
+    )

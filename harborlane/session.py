@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    # The last of repeated keys in a JSON object counts, as in most parsers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Call sites are recorded for every column otherwise, which is slow for long expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

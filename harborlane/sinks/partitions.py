@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from harborlane.operators.audit import TENANT_PATTERN
 from harborlane.sinks import storage
 
 AUDIT_PARTITIONS = ("customer_guid", "event_month")
@@ -21,18 +24,27 @@ def append_partitioned(
 
 
 def erase_tenant(spark: SparkSession, paths: list[str], customer_guid: str) -> int:
-    """Delete the tenant's folder under every store; returns how many there were."""
+    """Delete the tenant's folder under every store; returns how many there were.
+
+    An id that could name any other folder is refused before anything is deleted.
+    """
+    if not re.fullmatch(TENANT_PATTERN.strip("^$"), customer_guid or ""):
+        raise ValueError(f"not a tenant id: {customer_guid!r}")
     return sum(
         storage.delete(spark, f"{path.rstrip('/')}/customer_guid={customer_guid}") for path in paths
     )
 
 
 def drop_older(spark: SparkSession, path: str, column: str, oldest: str) -> list[str]:
-    """Delete the folders ``column=value`` directly under ``path`` with a value before ``oldest``."""
-    prefix = f"{column}="
-    old = [
-        name
-        for name in storage.names(spark, path)
-        if name.startswith(prefix) and name[len(prefix):] < oldest
-    ]
-    return [name for name in old if storage.delete(spark, f"{path.rstrip('/')}/{name}")]
+    """Delete the folders ``column=value`` with a value before ``oldest``, under ``path`` and under
+    folders of other partition columns, such as the tenants'. Returns their paths below ``path``."""
+    prefix, root = f"{column}=", path.rstrip("/")
+    dropped = []
+    for name in storage.names(spark, root):
+        if name.startswith(prefix):
+            if name[len(prefix):] < oldest and storage.delete(spark, f"{root}/{name}"):
+                dropped.append(name)
+        elif "=" in name:
+            below = drop_older(spark, f"{root}/{name}", column, oldest)
+            dropped += [f"{name}/{found}" for found in below]
+    return dropped

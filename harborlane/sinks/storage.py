@@ -24,10 +24,21 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(target))
 
 
-def create_new(spark: SparkSession, path: str) -> None:
-    """Create an empty file; fails if it is there, which is how two writers notice each other."""
+def create_new(spark: SparkSession, path: str, text: str = "") -> None:
+    """Create a file with an ASCII text; fails if it is there, which is how two writers notice each
+    other."""
     target, fs = _file_system(spark, path)
-    fs.create(target, False).close()
+    stream = fs.create(target, False)
+    stream.writeBytes(text)
+    stream.close()
+
+
+def content(spark: SparkSession, path: str) -> str:
+    target, fs = _file_system(spark, path)
+    stream = fs.open(target)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
 
 
 def delete(spark: SparkSession, path: str) -> bool:

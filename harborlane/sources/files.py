@@ -6,6 +6,8 @@ the landing job rejects without touching the others.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 CORRUPT = "_corrupt"
@@ -16,14 +18,20 @@ DECODABLE = ["US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE"
 
 def whole_text(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """path and content of every file, UTF-8."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
+    return reader.text(path, wholetext=True).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content")
     )
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path as listings have it; Spark's metadata percent-encodes it."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:///", "file:/")
+
+
 def read_json_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """Whole-file JSON: ``document`` is null where the file does not parse."""
     return whole_text(spark, path, suffix).withColumn("document", F.try_parse_json("content"))
@@ -35,7 +43,7 @@ def read_json_lines(
     """JSON Lines with a schema; blank lines are skipped, bad lines are kept in ``_corrupt``."""
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     reader = (
-        spark.read.schema(struct.add(CORRUPT, T.StringType()))
+        spark.read.schema(T.StructType([*struct.fields, T.StructField(CORRUPT, T.StringType())]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("recursiveFileLookup", True)
@@ -72,6 +80,53 @@ def read_csv(
     return df if has_header else df.select(F.array(*[F.col(c) for c in df.columns]).alias("row"))
 
 
+def read_csv_records(
+    spark: SparkSession, path: str, delimiter: str = ",", suffix: str = ".csv"
+) -> DataFrame:
+    """CSV files whose headers may differ: path, number, record and extra of every line.
+
+    ``record`` maps the names of the file's own header to text, null where the line is too short;
+    ``extra`` holds the fields beyond the header. Quoted fields may hold delimiters, doubled quotes
+    and line breaks; an empty field is empty text. Empty lines are skipped, and of repeated names
+    the last counts. A file is read as a whole.
+    """
+    sep = re.escape(delimiter)
+    # Possessive groups, so that long fields need no deep stack.
+    lines = F.regexp_extract_all("content", F.lit(r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"?)++'), F.lit(0))
+    field = rf'(?:^|{sep})(?:"(?:[^"]++|"")*+"?|[^{sep}]*+)'
+
+    def fields(line: Column) -> Column:
+        raw = F.regexp_extract_all(line, F.lit(field), F.lit(0))
+        bare = F.transform(
+            raw, lambda f, i: F.when(i == 0, f).otherwise(F.substr(f, F.lit(len(delimiter) + 1)))
+        )
+        # A line that begins with a delimiter begins with an empty field.
+        bare = F.when(line.startswith(delimiter), F.concat(F.array(F.lit("")), F.transform(
+            raw, lambda f: F.substr(f, F.lit(len(delimiter) + 1))
+        ))).otherwise(bare)
+        return F.transform(bare, lambda f: F.when(
+            f.startswith('"'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))
+        ).otherwise(f))
+
+    rows = whole_text(spark, path, suffix).withColumn("lines", lines)
+    rows = rows.where(F.size("lines") > 1).withColumn("header", fields(F.col("lines")[0]))
+    rows = rows.select(
+        "path", "header", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("_at", "_line")
+    ).withColumn("values", fields(F.col("_line")))
+    n = F.size("header")
+    pairs = F.zip_with("header", F.slice("values", F.lit(1), n), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    # A name that stands twice keeps its last place.
+    last = F.filter(pairs, lambda p, i: ~F.exists(
+        F.slice("header", i + 2, n), lambda later: later == p.getField("k")
+    ))
+    return rows.select(
+        "path",
+        (F.col("_at") + 1).alias("number"),
+        F.map_from_entries(last).alias("record"),
+        F.slice("values", n + 1, F.size("values")).alias("extra"),
+    )
+
+
 def read_bytes(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if suffix:
@@ -82,14 +137,20 @@ def read_bytes(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 def read_text(
     spark: SparkSession, path: str, encoding: str = "UTF-8", suffix: str = ""
 ) -> DataFrame:
-    """path and text of every file in the given character set; null where UTF-8 is not valid."""
+    """path and text of every file in the given character set; null where UTF-8 or US-ASCII is not
+    valid."""
     charset = encoding.upper()
     if charset not in DECODABLE:
         raise ValueError(f"Spark cannot decode {encoding}")
     raw = F.col("content")
-    decoded = (
-        F.try_validate_utf8(raw.cast("string")) if charset == "UTF-8" else F.decode(raw, charset)
-    )
+    if charset == "UTF-8":
+        decoded = F.try_validate_utf8(raw.cast("string"))
+    elif charset == "US-ASCII":
+        # ASCII is UTF-8 in which every character is one byte below 128.
+        valid = F.try_validate_utf8(raw.cast("string"))
+        decoded = F.when(F.char_length(valid) == F.octet_length(raw), valid)
+    else:
+        decoded = F.decode(raw, charset)
     return read_bytes(spark, path, suffix).select("path", decoded.alias("content"))
 
 

@@ -21,7 +21,8 @@ from harborlane.sinks import partitions, storage
 
 logger = logging.getLogger(__name__)
 
-DEDUP_WINDOW = "24 hours"
+#: A key is kept for the delay of the watermark and the watermark's own lag, a day in all.
+DEDUP_WINDOW = "12 hours"
 RATE_DELAY = "10 minutes"
 
 

@@ -309,3 +309,22 @@ def test_positions_over_many_ranges(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 37 % 5000).alias("k"), (F.col("id") % 3).alias("t"))
     got = positions.with_position(df, "k", [F.col("t")], width=3).orderBy("k", "t").collect()
     assert [r["position"] for r in got] == list(range(5000))
+
+
+def test_backfill_edges(spark):
+    from harborlane.operators import backfill
+
+    ids = spark.createDataFrame([(0,), (1,), (4_000_000_000,), (2**62,), (-5,)], "i bigint")
+    got = [r["j"] for r in ids.select(backfill.jitter(F.col("i"), 300).alias("j")).collect()]
+    assert got == [(i * 2654435761) % 601 - 300 for i in (0, 1, 4_000_000_000, 2**62, -5)]
+    rows = spark.sql(
+        """select id, cast(next as timestamp_ntz) as utc_next_run, 'daily' as schedule_type
+        from values (1, '2024-01-09 23:59:59.5'), (2, '2024-01-08 23:59:59.999999'),
+                    (3, '2024-01-10 00:00:00'), (4, '2024-01-09 00:00:00') as t(id, next)"""
+    )
+    missed = backfill.missed_runs(rows, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))
+    times = sorted((r["id"], str(r["missed_run"])) for r in missed.collect())
+    assert times == [
+        (1, "2024-01-09 23:59:59.500000"), (2, "2024-01-08 23:59:59.999999"),
+        (2, "2024-01-09 23:59:59.999999"), (4, "2024-01-09 00:00:00"),
+    ]

@@ -157,3 +157,22 @@ def test_tenants(spark):
     got = df.select(audit.tenant_error(F.col("g")).alias("e"), audit.tenant_store_name(F.col("g")).alias("n")).collect()
     assert [r["e"] for r in got] == [None, "invalid tenant", "missing tenant", "missing tenant", "missing tenant"]
     assert got[0]["n"] == "audit_cust_0001_aaaa" and got[1]["n"] is None
+
+
+def test_endpoint_hosts(spark):
+    from pyspark.sql import functions as F
+
+    from harborlane.functions import uris
+
+    cases = {
+        "mongodb://[::1]:27018/db": ("::1", 27018, None),
+        "mongodb://[fe80::2]/db": ("fe80::2", 27017, None),
+        "mongodb://h1:27017,h2:27018/db": (None, None, "more than one host"),
+        "mongodb://h:port/db": (None, None, "bad port"),
+        "mongodb://h:70000/db": (None, None, "bad port"),
+        "mongodb://u:p@H:1/db": ("h", 1, None),
+        "mongodb:///db": (None, None, "missing host"),
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "uri string")
+    rows = df.select("uri", uris.document_store_endpoint(F.col("uri")).alias("e")).collect()
+    assert {r["uri"]: (r["e"]["host"], r["e"]["port"], r["e"]["error"]) for r in rows} == cases

@@ -226,3 +226,72 @@ def test_partitioned_store(spark, work):
     assert left.count() == 10 and left.where("customer_guid = 'hot'").count() == 0
     assert partitions.drop_older(spark, f"{work}/a/customer_guid=cold", "event_month", "2024-02") == ["event_month=2024-01"]
     assert spark.read.parquet(f"{work}/a").count() == 5
+    for bad in ("../..", "", "a/b", "hot\n", "*", None):
+        with pytest.raises(ValueError):
+            partitions.erase_tenant(spark, [f"{work}/a"], bad)
+    assert spark.read.parquet(f"{work}/a").count() == 5
+    partitions.append_partitioned(df, f"{work}/c")
+    assert sorted(partitions.drop_older(spark, f"{work}/c", "event_month", "2024-02")) == [
+        "customer_guid=cold/event_month=2024-01", "customer_guid=hot/event_month=2024-01",
+    ]
+    assert spark.read.parquet(f"{work}/c").count() == 50
+
+
+def test_two_writers(spark, work):
+    """Both start from version 1; the one that comes second changes nothing."""
+    first, second = VersionedTable(spark, work), VersionedTable(spark, work)
+    first.commit(spark.range(10))
+    start = second.version()
+    assert first.commit(spark.range(3), after=start) == 2
+    with pytest.raises(Exception, match="already exists"):
+        second.commit(spark.range(99), after=start)
+    assert first.read().count() == 3 and first.version() == 2
+    assert len([n for n in storage.names(spark, work) if n.startswith("v")]) == 2
+
+
+def test_awkward_files(spark, tmp_path):
+    (tmp_path / "my file+100%.json").write_text('{"a": 1}')
+    (tmp_path / "latin.txt").write_bytes(b"caf\xe9")
+    (tmp_path / "plain.txt").write_bytes(b"cafe")
+    listed = {r["path"] for r in files.list_objects(spark, str(tmp_path)).collect()}
+    read = {r["path"]: r["content"] for r in files.whole_text(spark, str(tmp_path)).collect()}
+    assert set(read) == listed and any(p.endswith("/my file+100%.json") for p in read)
+    ascii_ = {r["path"].split("/")[-1]: r["content"] for r in files.read_text(spark, str(tmp_path), "US-ASCII", ".txt").collect()}
+    assert ascii_ == {"latin.txt": None, "plain.txt": "cafe"}
+
+
+def test_json_lines_leaves_the_schema_alone(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\nbad\n')
+    schema = T.StructType([T.StructField("a", T.LongType())])
+    for _ in range(2):
+        rows = files.read_json_lines(spark, str(tmp_path), schema).collect()
+        assert sorted((r["a"], r["_corrupt"]) for r in rows if r["a"]) == [(1, None)] and len(rows) == 2
+    assert schema.names == ["a"]
+
+
+def test_null_keys_and_no_prefix(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 3)], "k string, o int")
+    got = {r["o"]: r["is_first"] for r in landing.first_per_key(df, ["k"], "o").collect()}
+    assert got == {1: True, 2: False, 3: True}
+    runs = spark.createDataFrame([(1, "b", None), (2, "b", "x/"), (3, "c", None)], "run_id int, bucket string, prefix string")
+    objects = spark.createDataFrame([("b", "x/1"), ("b", "y")], "bucket string, key string")
+    rows = landing.source_presence(runs, objects).collect()
+    assert {r["run_id"]: r["files"] for r in rows} == {1: 2, 2: 1, 3: 0}
+
+
+def test_csv_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,2\n3,"a ""b"",\nc",5,6\n\n4\n,""\n')
+    (tmp_path / "b.csv").write_text("y,x\r\n20,10\r\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("x,y\n")
+    rows = files.read_csv_records(spark, str(tmp_path)).collect()
+    got = [(r["path"][-5:], r["number"], r["record"], r["extra"]) for r in rows]
+    assert sorted(got, key=lambda g: g[:2]) == [
+        ("a.csv", 1, {"x": "1", "y": "2"}, []),
+        ("a.csv", 2, {"x": "3", "y": 'a "b",\nc'}, ["5", "6"]),
+        ("a.csv", 3, {"x": "4", "y": None}, []),
+        ("a.csv", 4, {"x": "", "y": ""}, []),
+        ("b.csv", 1, {"x": "10", "y": "20"}, []),
+    ]
