@@ -28,12 +28,35 @@ _LEAVES = f"({_KEY}){_SCALAR}"
 _LEAVES_AND_LISTS = f"({_KEY})(?:{_LIST}|{_SCALAR})"
 
 
+# Two hexadecimal digits of an escape: a hyphen, digit, letter or underscore.
+_PLAIN = r"^(?i:2d|3[0-9]|4[1-9a-f]|5[0-9af]|6[1-9a-f]|7[0-9a])"
+_ODD_BACKSLASHES = r"(?:^|[^\\])(?:\\\\)*\\\z"
+
+
+def plain_letters(text: Column) -> Column:
+    r"""JSON text with ``\u00..`` escapes of plain letters and digits written as such, so that keys
+    read alike. An escape whose backslash is itself escaped is left."""
+    parts = F.split(text, r"\\u00", -1)
+    rest = F.size(parts) - 1
+
+    def written(part: Column, before: Column) -> Column:
+        letter = F.char(F.conv(F.substring(part, 1, 2), 16, 10).try_cast("int"))
+        return F.when(
+            before.rlike(_ODD_BACKSLASHES) | ~part.rlike(_PLAIN), F.concat(F.lit("\\u00"), part)
+        ).otherwise(F.concat(letter, F.substr(part, F.lit(3))))
+
+    after_first = F.zip_with(F.slice(parts, F.lit(2), rest), F.slice(parts, F.lit(1), rest), written)
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(after_first, ""))
+    return F.when(F.contains(text, F.lit("\\u00")), decoded).otherwise(text)
+
+
 def mask_sensitive(text: Column, scalar_lists: bool = True) -> Column:
     """Replace every leaf under a sensitive key, at any depth, in JSON text.
 
     Objects and lists under such a key are kept and searched. The values of a list of plain values
-    are replaced by one marker, unless ``scalar_lists`` is off.
+    are replaced by one marker, unless ``scalar_lists`` is off. Letters of keys may be escaped.
     """
+    text = plain_letters(text)
     if scalar_lists:
         return F.regexp_replace(text, _LEAVES_AND_LISTS, f'$1$2"{REDACTED}"')
     return F.regexp_replace(text, _LEAVES, f'$1"{REDACTED}"')

@@ -176,3 +176,18 @@ def test_endpoint_hosts(spark):
     df = spark.createDataFrame([(u,) for u in cases], "uri string")
     rows = df.select("uri", uris.document_store_endpoint(F.col("uri")).alias("e")).collect()
     assert {r["uri"]: (r["e"]["host"], r["e"]["port"], r["e"]["error"]) for r in rows} == cases
+
+
+@pytest.mark.parametrize(
+    "given, expected",
+    [
+        ('{"p\\u0061ssword":"hunter2"}', '{"password":"[REDACTED]"}'),
+        ('{"\\u0054\\u006F\\u006ben": 1, "a": "\\u00e9\\u000a\\u0022"}', '{"Token": "[REDACTED]", "a": "\\u00e9\\u000a\\u0022"}'),
+        ('{"a": "\\\\u0061"}', '{"a": "\\\\u0061"}'),
+        ('{"a": "\\\\\\u0061"}', '{"a": "\\\\a"}'),
+        ('\\u0061', 'a'),
+        ('\\u00', '\\u00'),
+    ],
+)
+def test_escaped_keys_are_masked(spark, given, expected):
+    assert masked(spark, given) == expected
