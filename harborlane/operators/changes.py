@@ -6,6 +6,8 @@ Data errors become columns; nothing in here raises for a bad message.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from harborlane import schemas
@@ -23,6 +25,11 @@ LOGGED_EVENTS = [
     "integration.run.failed",
 ]
 
+REQUEST_COLUMNS = [
+    "integration_id", "workspace_id", "customer_guid", "dag_id", "dag_run_id", "conf",
+    "traceparent", "trace_id", "dedup_key",
+]
+
 _CORRUPT = "_corrupt"
 
 
@@ -53,10 +60,11 @@ def dedup_key(topic: Column, partition: Column, offset: Column, message: Column)
     )
 
 
-def parse(records: DataFrame) -> DataFrame:
+def parse(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Topic records (tombstones dropped) to classified events.
 
-    ``route`` is ``trigger``, ``log`` or ``reject``; rejects carry ``reason``.
+    ``route`` is ``trigger``, ``log`` or ``reject``; rejects carry ``reason``. Columns named in
+    ``keep`` go through unchanged.
     """
     message = F.from_json(
         "value", f"{schemas.MESSAGE}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT}
@@ -121,6 +129,7 @@ def parse(records: DataFrame) -> DataFrame:
             .otherwise("log")
             .alias("route"),
             "reason",
+            *keep,
         )
     )
 
@@ -156,18 +165,52 @@ def route_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("route", "event_type", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def narrow(
+    events: DataFrame, integrations: DataFrame, workspaces: DataFrame, auths: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of the three tables that the trigger events of a small batch can need.
+
+    The ids of the batch are the small side of a semi-join, which Spark broadcasts by its size, so
+    the tables are scanned but not shuffled. The first result is cached, for its size decides how
+    the other two are reduced; unpersist it after use.
+    """
+    ids = events.where(F.col("route") == "trigger").select("integration_id").distinct()
+    stored = integrations.join(ids, "integration_id", "left_semi").persist()
+    stored.count()
+    spaces = stored.select("workspace_id").distinct()
+    return (
+        stored,
+        workspaces.join(spaces, "workspace_id", "left_semi"),
+        auths.join(spaces, "workspace_id", "left_semi"),
+    )
+
+
 def resolve(
     events: DataFrame, integrations: DataFrame, workspaces: DataFrame, auths: DataFrame, now: Column
 ) -> DataFrame:
-    """Trigger events with their conf, or the ``error`` that keeps them from running.
+    """Trigger events with their conf, or the ``error`` that keeps them from running."""
+    return with_request(
+        events.where(F.col("route") == "trigger"), integrations, workspaces, auths, now
+    )
+
+
+def with_request(
+    events: DataFrame,
+    integrations: DataFrame,
+    workspaces: DataFrame,
+    auths: DataFrame,
+    now: Column,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """The run request of each event by its ``integration_id``; ``error`` where there is none.
 
     The stored row is joined on, so the event's copy of it is never trusted. For a change event
     the stored document also overrides the credentials; a legacy event brings its own source and
     destination settings. The trace header is put back last.
     """
-    wanted = events.where(F.col("route") == "trigger").select(
-        "topic", "partition", "offset", "value", "integration_id", "is_change",
-        "source_config", "destination_config", "dedup_key", "traceparent", "trace_id",
+    wanted = events.select(
+        "topic", "partition", "offset", "timestamp", "value", "integration_id", "is_change",
+        "source_config", "destination_config", "dedup_key", "traceparent", "trace_id", *keep,
     )
     stored = integrations.select("workspace_id", "json_data", *dispatch.CONF_COLUMNS)
     rows = (
@@ -200,25 +243,23 @@ def resolve(
         F.col("offset").cast("string"),
     )
     return rows.select(
-        "topic", "partition", "offset", "value", "dedup_key", "traceparent", "trace_id",
+        "topic", "partition", "offset", "timestamp", "value", "dedup_key", "traceparent", "trace_id",
         "integration_id", "workspace_id", "customer_guid",
         F.when(found, target).alias("dag_id"),
         F.when(found, run_id).alias("dag_run_id"),
         F.when(found, conf.conf_text(F.col("_conf"))).alias("conf"),
         F.when(~found, F.lit("integration not found")).alias("error"),
+        *keep,
     )
 
 
 def requests(resolved: DataFrame) -> DataFrame:
-    return resolved.where(F.col("error").isNull()).select(
-        "integration_id", "workspace_id", "customer_guid", "dag_id", "dag_run_id", "conf",
-        "traceparent", "trace_id", "dedup_key",
-    )
+    return resolved.where(F.col("error").isNull()).select(*REQUEST_COLUMNS)
 
 
 def rejects(events: DataFrame, resolved: DataFrame) -> DataFrame:
     """Everything that could not be handled, with the reason: bad messages and lookup misses."""
-    columns = ["topic", "partition", "offset", "value", "reason"]
+    columns = ["topic", "partition", "offset", "timestamp", "value", "reason"]
     bad = events.where(F.col("route") == "reject").select(*columns)
     missed = resolved.where(F.col("error").isNotNull()).withColumnRenamed("error", "reason")
     return bad.unionByName(missed.select(*columns))
@@ -241,11 +282,12 @@ def message_integration(value: Column) -> Column:
 def dead_letters(rejected: DataFrame, consumer_group: str, now: Column) -> DataFrame:
     """Reject rows in the shape of the dead-letter table.
 
-    The id is the record's place in the topic, which is unique and the same on a rerun.
+    The id is 60 bits of the hash of the record's topic and place in it, the same on a rerun.
     """
     named = message_integration(F.col("value"))
+    place = F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
     return rejected.select(
-        (F.shiftleft(F.col("partition").cast("bigint"), 44) + F.col("offset")).alias("dlq_id"),
+        F.conv(F.substring(F.sha2(place, 256), 1, 15), 16, 10).cast("bigint").alias("dlq_id"),
         named.try_cast("bigint").alias("integration_id"),
         F.col("topic").alias("source_topic"),
         F.lit(consumer_group).alias("consumer_group"),
@@ -330,6 +372,44 @@ def dead_letter_audit(letters: DataFrame, workspaces_of: DataFrame, now: Column)
     )
 
 
+def metrics(events: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row over a batch: messages, failed ones, the last error and the time of the last message."""
+    error = F.lit(None).cast("string")
+    rows = events.select("timestamp", error.alias("reason")).unionByName(
+        rejected.select("timestamp", "reason")
+    )
+    failed = F.col("reason").isNotNull()
+    return rows.agg(
+        F.count_if(~failed).alias("messages"),
+        F.count_if(failed).alias("failed"),
+        F.max(F.when(failed, F.struct("timestamp", "reason"))).alias("last"),
+        F.max("timestamp").alias("last_message_time"),
+    ).select(
+        "messages",
+        "failed",
+        F.col("last.timestamp").alias("last_error_time"),
+        F.col("last.reason").alias("last_error"),
+        "last_message_time",
+    )
+
+
+def total_metrics(batches: DataFrame) -> DataFrame:
+    """The same row over all batches, from one row of each."""
+    error = F.struct("last_error_time", "last_error")
+    return batches.agg(
+        F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"),
+        F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
+        F.max(F.when(F.col("last_error").isNotNull(), error)).alias("last"),
+        F.max("last_message_time").alias("last_message_time"),
+    ).select(
+        "messages",
+        "failed",
+        F.col("last.last_error_time").alias("last_error_time"),
+        F.col("last.last_error").alias("last_error"),
+        "last_message_time",
+    )
+
+
 def health(metrics: DataFrame) -> DataFrame:
     """Stream status from counters (running, last_error, last_message_time)."""
     status = (

@@ -81,9 +81,17 @@ def failure_patterns(letters: DataFrame, every: str = "1 day") -> DataFrame:
 def rates(
     letters: DataFrame, width: str = "5 minutes", slide: str = "1 minute", above: int = RATE_LIMIT
 ) -> DataFrame:
-    """Sliding windows with more dead letters than the limit, for batch or stream."""
+    """Sliding windows with more dead letters than the limit, for batch or stream.
+
+    The width is a whole number of slides.
+    """
+    n = F.count(F.lit(1))
+    if not letters.isStreaming:  # counted per slide, so a letter is not copied for every window
+        start = F.window("created_at", slide)["start"]
+        letters = letters.groupBy(start.alias("created_at")).agg(n.alias("n"))
+        n = F.sum("n")
     window = F.window("created_at", width, slide)
-    counted = letters.groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    counted = letters.groupBy(window.alias("w")).agg(n.alias("n"))
     return counted.where(F.col("n") > above).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n"
     )
@@ -145,52 +153,59 @@ def replay(
     now: Column,
     notes: str = "Automatically resolved via bulk retry",
 ) -> DataFrame:
-    """Outcome of sending the letters in ``ids`` through the change job once more.
+    """Send the letters in ``ids`` through the change job once more.
 
-    One row per id: ``not_found``, ``already_resolved``, ``resolved`` or ``failed`` with the error.
+    One row per id: the outcome ``not_found``, ``already_resolved``, ``resolved`` or ``failed`` with
+    the error, and the run request of a letter that starts a run. Letters are read, parsed and
+    joined to their integration once; write the result before using it for more than one output.
     """
-    asked = ids.select("dlq_id").distinct()
-    found = asked.join(letters, "dlq_id", "left")
-    absent, done = F.col("original_message").isNull(), F.col("status") == "resolved"
-    records = found.where(~absent & ~done).select(
-        F.col("message_key").alias("key"),
-        F.col("original_message").alias("value"),
+    found = ids.select("dlq_id").distinct().join(letters, "dlq_id", "left")
+    records = found.select(
+        "dlq_id",
+        "status",
+        F.col("original_message").isNull().alias("_absent"),
         F.col("source_topic").alias("topic"),
         F.lit(0).alias("partition"),
         F.col("dlq_id").alias("offset"),
         F.col("created_at").alias("timestamp"),
+        # An id without a letter has to pass the parse, which drops tombstones.
+        F.coalesce("original_message", F.lit("")).alias("value"),
         F.lit(None).cast(schemas.TOPIC_RECORD["headers"].dataType).alias("headers"),
     )
-    events = changes.parse(records)
-    # Only the lookup can fail here, so the conf is not built: the integration has to exist.
-    known = integrations.select("integration_id").withColumn("_known", F.lit(True))
-    checked = events.join(known, "integration_id", "left").select(
-        F.col("offset").alias("dlq_id"),
-        F.coalesce(
-            F.col("reason"),
-            F.when(
-                (F.col("route") == "trigger") & F.col("_known").isNull(),
-                F.lit("integration not found"),
-            ),
-        ).alias("reason"),
+    absent, done = F.col("_absent"), F.coalesce(F.col("status") == "resolved", F.lit(False))
+    runs = ~absent & ~done & (F.col("route") == "trigger")
+    events = changes.parse(records, ["dlq_id", "status", "_absent"]).withColumn("_runs", runs)
+    # Letters that start nothing meet no integration.
+    events = events.withColumn("integration_id", F.when(F.col("_runs"), F.col("integration_id")))
+    tried = changes.with_request(
+        events, integrations, workspaces, auths, now,
+        ["dlq_id", "status", "reason", "_absent", "_runs"],
+    )
+    reason = F.when(
+        ~absent & ~done, F.coalesce("reason", F.when(F.col("_runs"), F.col("error")))
     )
     outcome = (
         F.when(absent, "not_found")
         .when(done, "already_resolved")
-        .when(F.col("reason").isNotNull(), "failed")
+        .when(reason.isNotNull(), "failed")
         .otherwise("resolved")
     )
-    return found.join(checked, "dlq_id", "left").select(
+    starts = F.col("_runs") & F.col("error").isNull()
+    return tried.select(
         "dlq_id",
         outcome.alias("outcome"),
-        F.when(F.col("reason").isNotNull(), changes.error_type_of(F.col("reason"))).alias(
-            "error_type"
-        ),
-        F.col("reason").alias("error_message"),
+        F.when(reason.isNotNull(), changes.error_type_of(reason)).alias("error_type"),
+        reason.alias("error_message"),
         F.when(outcome == "resolved", F.lit(notes)).alias("notes"),
+        *[F.when(starts, F.col(name)).alias(name) for name in changes.REQUEST_COLUMNS],
     )
 
 
+def replay_requests(outcomes: DataFrame) -> DataFrame:
+    """Run requests of the letters that a replay resolved, in the shape of the change job's."""
+    return outcomes.where(F.col("dag_run_id").isNotNull()).select(*changes.REQUEST_COLUMNS)
+
+
 def apply_replay(letters: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """The table after a replay: resolved, or pending again with one more try and the new error."""
     tried = outcomes.where(F.col("outcome").isin("resolved", "failed")).select(

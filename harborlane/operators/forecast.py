@@ -53,8 +53,8 @@ def start_or_now(text: Column, now: Column) -> Column:
 def schedule_counts(integrations: DataFrame) -> DataFrame:
     """(kind, day, hour, n) of the active schedules, plus one ``all`` row counting every active row.
 
-    Rows whose text cannot be placed in an hour count in ``all`` only. ``grouping sets`` makes both
-    in one scan with partial aggregation, and the result has at most 24 + 168 + 744 + 2 rows.
+    Rows whose text cannot be placed in an hour count in ``all`` only. One scan with partial
+    aggregation gives at most 24 + 168 + 744 + 1 counts, and ``grouping sets`` adds their total.
     """
     text, kind = F.col("utc_sch_cron"), F.col("schedule_type")
     written = (F.coalesce(F.col("usr_sch_cron"), F.lit("")) != "") & (
@@ -72,9 +72,10 @@ def schedule_counts(integrations: DataFrame) -> DataFrame:
         F.when(placed, day.cast("int")).alias("day"),
         F.when(placed, hour).alias("hour"),
     )
-    counted = slots.groupingSets(
+    counts = slots.groupBy("kind", "day", "hour").agg(F.count(F.lit(1)).alias("n"))
+    counted = counts.groupingSets(
         [[F.col("kind"), F.col("day"), F.col("hour")], []], "kind", "day", "hour"
-    ).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    ).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
     everything = F.col("level") != 0
     return counted.select(
         F.when(everything, F.lit("all")).otherwise(F.coalesce("kind", F.lit("unplaced"))).alias("kind"),

@@ -106,7 +106,9 @@ def changes_requests(spark: SparkSession, folder: str) -> DataFrame:
       union all select part, off, event_id, m, target, 'integration not found' from resolved
         where workspace_id is null),
     b as (select *, case when target = 0 then null else target end as named from bad)
-    select part * 17592186044416 + off as dlq_id, named as integration_id,
+    select cast('0x' || substr(sha256('cdc.integration.events:' || part || ':' || off), 1, 15) as bigint)
+        as dlq_id, named as integration_id, 'cdc.integration.events' as source_topic,
+      'cdc-consumer' as consumer_group,
       coalesce(cast(named as varchar), 'unknown') as message_key,
       case why when 'malformed json' then 'ValueError' when 'integration not found' then 'LookupError'
         else 'KeyError' end as error_type,
@@ -124,8 +126,8 @@ def changes_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     )
     letters = changes.dead_letters(changes.rejects(unique, resolved), "cdc-consumer", at(NOW))
     return letters.select(
-        "dlq_id", "integration_id", "message_key", "error_type", "error_message", "retry_count",
-        "status", "created_at",
+        "dlq_id", "integration_id", "source_topic", "consumer_group", "message_key", "error_type",
+        "error_message", "retry_count", "status", "created_at",
     )
 
 
@@ -261,7 +263,7 @@ def dlq_resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 _REPLAY_SQL = """with asked as (select dlq_id from letters union select event_id from events
     where event_type = 'purchase'),
-  j as (select a.dlq_id, l.status, l.original_message, l.target, i.integration_id as known from asked a
+  j as (select a.dlq_id, l.status, l.created_at, l.original_message, l.target, i.integration_id as known from asked a
     left join letters l using (dlq_id) left join integrations i on i.integration_id = l.target),
   o as (select *, case when original_message is null then 'not_found'
       when status = 'resolved' then 'already_resolved'
@@ -299,7 +301,29 @@ def _replayed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
       case when outcome = 'resolved' then 'Automatically resolved via bulk retry' end as notes from o""",
 )
 def dlq_replayed(spark: SparkSession, folder: str) -> DataFrame:
-    return _replayed(spark, folder)[1]
+    return _replayed(spark, folder)[1].drop(*changes.REQUEST_COLUMNS)
+
+
+@query(
+    "dlq_replayed_requests",
+    views="letters integrations workspaces creds",
+    sql=_REPLAY_SQL.rstrip()
+    + f""", r as (select o.dlq_id, o.target, o.created_at, i.*, i.integration_id % 10 as coll, w.customer_guid, c.s3, c.mg,
+        '00-' || md5('cdc.integration.events:0:' || dlq_id) || '-'
+          || substr(md5('span:cdc.integration.events:0:' || dlq_id), 1, 16) || '-01' as tp
+      from o join integrations i on i.integration_id = o.target
+      left join workspaces w using (workspace_id) left join creds c using (workspace_id)
+      where outcome = 'resolved')
+    select integration_id, workspace_id, customer_guid, workflow || '_ondemand' as dag_id,
+      workspace_id || '_' || workflow || '_ondemand_manual_20240131_000000_0_' || integration_id || '_0_'
+        || dlq_id as dag_run_id,
+      {_conf_sql(_DOC['bucket'], _DOC['collection'], _DOC['prefix'], None, 'tp', 'integration_id')} as conf,
+      tp as traceparent, split_part(tp, '-', 2) as trace_id,
+      'dedup:kafka:cdc.integration.events:' || case when target = 0 then '0:' || dlq_id
+        else target || ':' || (epoch_us(created_at) // 1000) || ':c' end as dedup_key from r""",
+)
+def dlq_replayed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return deadletter.replay_requests(_replayed(spark, folder)[1])
 
 
 @query(

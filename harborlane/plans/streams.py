@@ -64,6 +64,20 @@ def stream_change_counters(spark: SparkSession, folder: str) -> DataFrame:
     return total.unionByName(letters)
 
 
+@query(
+    "stream_change_health",
+    views="first_parsed resolved",
+    sql="""with e as (select ts, why from first_parsed where route = 'reject'
+        union all select ts, 'integration not found' from resolved where workspace_id is null),
+      l as (select * from e order by ts desc, why desc limit 1)
+    select (select count(*) from first_parsed) as messages, (select count(*) from e) as failed,
+      (select ts from l) as last_error_time, (select why from l) as last_error,
+      (select max(ts) from first_parsed) as last_message_time, false as running, 'unhealthy' as status""",
+)
+def stream_change_health(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.health(spark, _change_job(spark, folder), running=False)
+
+
 @query("stream_audit_store", views="stored_audit", sql="select * exclude (copy) from stored_audit")
 def stream_audit_store(spark: SparkSession, folder: str) -> DataFrame:
     out = fresh_dir(spark, "audit")

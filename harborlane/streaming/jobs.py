@@ -49,6 +49,11 @@ def deduplicate(events: DataFrame, within: str = DEDUP_WINDOW) -> DataFrame:
     )
 
 
+def clock(now: Column | Callable[[], Column]) -> Column:
+    """The time of a batch: fixed, or asked for at each batch in a stream that runs for long."""
+    return now() if callable(now) else now
+
+
 def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -59,7 +64,7 @@ def change_job(
     lookups: Callable[[], Lookups],
     out: str,
     checkpoint: str,
-    now: Column,
+    now: Column | Callable[[], Column],
     consumer_group: str = "cdc-consumer",
     handler: Callable[[DataFrame], DataFrame] | None = None,
     notify: Callable[[DataFrame], None] | None = None,
@@ -70,7 +75,8 @@ def change_job(
     ``lookups`` is called for each batch, so a batch sees the tables as they are then. A handler
     gets the classified events of a batch and returns the ones to go on with. ``notify`` gets the
     dead letters as key and JSON value, for an alert topic; the table is written before, and a
-    failing alert is logged and does not hold up the batch.
+    failing alert is logged and does not hold up the batch. ``now`` may be a function, which is
+    asked once a batch.
     """
     session.use_rocksdb(records.sparkSession)
     events = deduplicate(changes.parse(records))
@@ -89,18 +95,21 @@ def change_job(
         wanted = spark.read.schema(chosen.schema).parquet(write("events", chosen))
         if wanted.isEmpty():  # as in the batch that only moves the watermark on
             return
-        tables = lookups()
-        resolved = changes.resolve(
-            wanted, tables.integrations, tables.workspaces, tables.auths, now
-        ).persist()
+        tables, time = lookups(), clock(now)
+        stored, workspaces, auths = changes.narrow(
+            wanted, tables.integrations, tables.workspaces, tables.auths
+        )
+        resolved = changes.resolve(wanted, stored, workspaces, auths, time).persist()
         try:
             requests = changes.requests(resolved)
-            letters = changes.dead_letters(changes.rejects(wanted, resolved), consumer_group, now)
+            rejected = changes.rejects(wanted, resolved)
+            letters = changes.dead_letters(rejected, consumer_group, time)
             write("requests", requests)
-            write("audit", changes.trigger_audit(requests, now))
+            write("audit", changes.trigger_audit(requests, time))
             write("dead_letters", letters)
             alerts = write("alerts", changes.alert_messages(letters))
             write("counters", changes.route_counts(wanted))
+            write("metrics", changes.metrics(wanted, rejected))
             if notify:
                 try:
                     notify(spark.read.schema("key string, value string").parquet(alerts))
@@ -108,6 +117,7 @@ def change_job(
                     logger.exception("alerts of batch %s were not delivered", batch_id)
         finally:
             resolved.unpersist()
+            stored.unpersist()
 
     return start(events.writeStream.foreachBatch(handle), checkpoint, available_now)
 
@@ -122,15 +132,14 @@ def audit_job(
     store: str,
     rejects: str,
     checkpoint: str,
-    now: Column,
+    now: Column | Callable[[], Column],
     available_now: bool = True,
 ) -> StreamingQuery:
     """Audit events to the partitioned store; events without a usable tenant to the rejects."""
-    cleaned = audit.clean(events, now)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        batch = audit.clean(batch, clock(now)).persist()
         try:
             # The first write fills the cache in one pass over the batch.
             audit.rejected(batch).write.mode("overwrite").parquet(
@@ -143,7 +152,7 @@ def audit_job(
         finally:
             batch.unpersist()
 
-    return start(cleaned.writeStream.foreachBatch(handle), checkpoint, available_now)
+    return start(events.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
 def rate_job(
@@ -167,6 +176,25 @@ def rate_job(
     )
 
 
+METRICS = (
+    "messages bigint, failed bigint, last_error_time timestamp_ntz, last_error string,"
+    " last_message_time timestamp_ntz"
+)
+
+
+def health(spark: SparkSession, out: str, running: bool) -> DataFrame:
+    """Totals of a change job over all its batches, from what they wrote, and its status."""
+    path = f"{out}/metrics"
+    batches = (
+        spark.read.schema(METRICS).parquet(path)
+        if storage.exists(spark, path)
+        else spark.createDataFrame([], METRICS)
+    )
+    return changes.health(
+        changes.total_metrics(batches).withColumn("running", F.lit(running))
+    )
+
+
 def counters(query: StreamingQuery) -> dict[str, int]:
     """Rows read and repeats dropped by a query, summed over the progress Spark still holds."""
     read = dropped = 0

@@ -214,6 +214,9 @@ def test_replay(spark, lookups):
     )
     ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 77)], "dlq_id long")
     outcomes = deadletter.replay(df, ids, *lookups, now())
+    started = deadletter.replay_requests(outcomes).collect()
+    assert [(r["integration_id"], r["dag_run_id"][-4:]) for r in started] == [(123, "_0_1")]
+    assert json.loads(started[0]["conf"])["tenant_id"] == started[0]["workspace_id"]
     got = {r["dlq_id"]: r["outcome"] for r in outcomes.collect()}
     assert got == {1: "resolved", 2: "failed", 3: "failed", 4: "already_resolved", 5: "resolved", 77: "not_found"}
     after = {r["dlq_id"]: r for r in deadletter.apply_replay(df, outcomes, now()).collect()}

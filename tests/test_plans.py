@@ -45,6 +45,31 @@ def test_no_pairing_joins_no_python_and_only_bounded_hints(spark, name):
     assert ("BroadcastExchange" in plan) == (name in HINTED)
 
 
+def test_a_small_batch_does_not_shuffle_the_tables(spark, work):
+    path = f"{work}/integrations"
+    views.integrations(spark, FOLDER).write.parquet(path)
+    events = changes.parse(views.change_records(spark, FOLDER)).limit(50)
+    events.write.parquet(f"{work}/events")
+    stored, workspaces, auths = changes.narrow(
+        spark.read.parquet(f"{work}/events"),
+        spark.read.parquet(path),
+        views.workspaces(spark, FOLDER),
+        views.auths(spark, FOLDER),
+    )
+    cached = plan_of(stored)
+    semi = cached[cached.index("LeftSemi") - 40:]
+    assert "BroadcastHashJoin" in semi and "SortMergeJoin" not in cached
+    for frame in (workspaces, auths):
+        assert "BroadcastHashJoin" in plan_of(frame) and "SortMergeJoin" not in plan_of(frame)
+    stored.unpersist()
+
+
+def test_a_replay_reads_the_letters_once(spark):
+    plan = plan_of(catalog.queries()["dlq_replayed_requests"](spark, FOLDER))
+    # Letters, ids of letters, ids of strangers; nothing is joined back by the letter's id.
+    assert len(re.findall(r"FileScan[^\n]*events", plan)) == 3
+
+
 def test_rank_limits_apply_before_the_shuffle(spark):
     events = changes.parse(views.change_records(spark, FOLDER))
     for df in (

@@ -58,6 +58,10 @@ def test_change_job_over_a_restart(spark, work):
     ]
     assert spark.read.parquet(f"{work}/out/alerts").count() == 3
     assert spark.read.parquet(f"{work}/out/audit").count() == 2
+    health = jobs.health(spark, f"{work}/out", running=True).first()
+    assert (health["messages"], health["failed"], health["status"]) == (5, 3, "degraded")
+    assert health["last_message_time"] == dt.datetime(2024, 1, 1)
+    assert jobs.health(spark, f"{work}/none", running=True).first()["status"] == "healthy"
 
 
 def test_a_batch_written_twice_counts_once(spark, work):
@@ -85,6 +89,23 @@ def test_a_failing_alert_does_not_stop_the_batch(spark, work):
     assert spark.read.parquet(f"{work}/out/dead_letters").count() == 2
 
 
+def test_the_clock_is_asked_once_a_batch(spark, work):
+    hours = iter(range(1, 10))
+
+    def now():
+        return instant(dt.datetime(2024, 2, 1, next(hours)))
+
+    put(spark, f"{work}/in", CREATED)
+    query = lambda: jobs.change_job(
+        topics.file_topic(spark, f"{work}/in"), lambda: lookups(spark), f"{work}/out", f"{work}/checkpoint", now
+    ).awaitTermination()
+    query()
+    put(spark, f"{work}/in", CREATED | {"__source_ts_ms": 6}, first=10)
+    query()
+    ids = sorted(r["dag_run_id"] for r in spark.read.parquet(f"{work}/out/requests").collect())
+    assert "20240201_010000" in ids[0] and "20240201_020000" in ids[1]
+
+
 def test_handler_sees_the_batch(spark, work):
     put(spark, f"{work}/in", CREATED, {"__op": "u", "integration_id": 1, "__source_ts_ms": 1})
     run_changes(spark, work, handler=lambda batch: batch.where(F.col("route") != "trigger"))
