@@ -11,7 +11,7 @@ from harborlane.plans.registry import query
 from harborlane.session import fresh_dir
 from harborlane.sinks import documents as docs
 from harborlane.sinks.versions import VersionedTable
-from harborlane.sources import files, views
+from harborlane.sources import files, objects, views
 from harborlane.sources.tables import find, table
 
 NOW = "2024-02-01 00:00:00"
@@ -341,6 +341,60 @@ def source_json_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "source_all_objects",
+    sql="""with b as (select doc_id // 50 as batch, count(*) as n, sum(length(lang) + length(cast(doc_id as varchar)) + 21)
+        as size from documents where lang is not null group by 1),
+      o as (select *, case batch % 5 when 0 then '_b ' || batch || '.json' when 1 then '.b' || batch || '.json'
+        when 2 then 'empty ' || batch || '.json' when 3 then 'a+b%20' || batch || '.json'
+        else batch || '.json' end as name from b)
+    select '_part=' || batch // 20 as folder, name, case when batch % 5 = 2 then 0 else size + n + 1 end as length,
+      case when batch % 5 = 2 then 'error' else 'processed' end as status,
+      case when batch % 5 <> 2 then n end as records,
+      case when batch % 5 = 2 then 'JSON parse error in ' || name end as error from o""",
+)
+def source_all_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects with hidden names, spaces, encoded characters or no content are listed and landed."""
+    root = fresh_dir(spark, "objects")
+    batch = F.col("batch").cast("string")
+    name = (
+        F.when(F.col("batch") % 5 == 0, F.concat(F.lit("_b "), batch))
+        .when(F.col("batch") % 5 == 1, F.concat(F.lit(".b"), batch))
+        .when(F.col("batch") % 5 == 2, F.concat(F.lit("empty "), batch))
+        .when(F.col("batch") % 5 == 3, F.concat(F.lit("a+b%20"), batch))
+        .otherwise(batch)
+    )
+    made = (
+        table(spark, folder, "documents")
+        .where(F.col("lang").isNotNull())
+        .select(F.expr("doc_id div 50").alias("batch"), F.struct("doc_id", "lang").alias("r"))
+        .groupBy("batch")
+        .agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("value"))
+        .select(
+            F.concat(
+                F.lit(f"{root}/_part="), F.expr("batch div 20").cast("string"), F.lit("/"), name,
+                F.lit(".json"),
+            ).alias("path"),
+            F.when(F.col("batch") % 5 == 2, F.lit("")).otherwise(F.col("value")).cast("binary").alias("content"),
+        )
+    )
+    objects.write_all(made).write.format("noop").mode("overwrite").save()
+    listing = objects.list_all(spark, root)
+    read = objects.read_all_text(listing).join(listing.select("path", "length"), "path")
+    bucket, key = files.split_location(F.col("path"))
+    landed = landing.parse_objects(
+        read.select(bucket.alias("bucket"), key.alias("key"), "content", "length")
+    )
+    return landed.select(
+        F.element_at(F.split("key", "/"), -2).alias("folder"),
+        F.element_at(F.split("key", "/"), -1).alias("name"),
+        "length",
+        "status",
+        F.when(F.col("status") == "processed", F.size("records")).cast("bigint").alias("records"),
+        F.regexp_replace("error", "in .*/", "in ").alias("error"),
+    )
+
+
 @query(
     "source_text_and_bytes",
     sql="""select doc_id // 50 as batch, true as same, true as sized from documents group by 1""",

@@ -141,7 +141,7 @@ def read_text(
     valid."""
     charset = encoding.upper()
     if charset not in DECODABLE:
-        raise ValueError(f"Spark cannot decode {encoding}")
+        raise ValueError(f"Spark cannot decode {encoding}; objects.read_all_text can")
     raw = F.col("content")
     if charset == "UTF-8":
         decoded = F.try_validate_utf8(raw.cast("string"))
@@ -155,7 +155,11 @@ def read_text(
 
 
 def list_objects(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Listing without reading content; all objects unless a limit is asked for."""
+    """Listing without reading content; all objects unless a limit is asked for.
+
+    Names that begin with ``_`` or ``.`` and empty objects are not in it; ``objects.list_all`` has
+    them.
+    """
     listing = read_bytes(spark, path).select("path", "length", "modificationTime")
     return listing.orderBy("path").limit(limit) if limit else listing
 

@@ -12,7 +12,7 @@ from harborlane.operators import landing, runs
 from harborlane.sinks import documents as docs
 from harborlane.sinks import partitions, storage
 from harborlane.sinks.versions import VersionedTable
-from harborlane.sources import files
+from harborlane.sources import files, objects as store
 from harborlane.sources.tables import find
 
 
@@ -295,3 +295,36 @@ def test_csv_records(spark, tmp_path):
         ("a.csv", 4, {"x": "", "y": ""}, []),
         ("b.csv", 1, {"x": "10", "y": "20"}, []),
     ]
+
+
+def test_every_object_is_listed_and_read(spark, tmp_path):
+    contents = {
+        "_a.json": b"{}", ".b.json": b"[]", "empty.json": b"", "my file+%41.json": b'{"x":1}', "n\u00e4me.json": b"\xe4",
+        "_hidden/deep/c.json": b"1", "plain/d.json": b"2",
+    }
+    rows = [(f"{tmp_path}/in/{name}", bytearray(value)) for name, value in contents.items()]
+    assert store.write_all(spark.createDataFrame(rows, "path string, content binary")).count() == 7
+    (tmp_path / "in" / "plain" / ".d.json.crc").write_bytes(b"crc")
+    (tmp_path / "in" / "none").mkdir()
+    listing = store.list_all(spark, f"{tmp_path}/in")
+    found = {r["path"].removeprefix(f"file:{tmp_path}/in/"): r["length"] for r in listing.collect()}
+    assert found == {name: len(value) for name, value in contents.items()}
+    assert listing.where("modificationTime is null").isEmpty()
+    read = {r["path"]: bytes(r["content"]) for r in store.read_all_bytes(listing).collect()}
+    assert sorted(read.values()) == sorted(contents.values())
+
+    def text(encoding):
+        rows = store.read_all_text(listing, encoding).collect()
+        return {r["path"].removeprefix(f"file:{tmp_path}/in/"): r["content"] for r in rows}
+
+    assert text("utf-8")["n\u00e4me.json"] is None and text("utf-8")["empty.json"] == ""
+    assert text("windows-1252")["n\u00e4me.json"] == "\u00e4"
+    with pytest.raises(LookupError):
+        store.read_all_text(listing, "no such set")
+    # Both listings call a visible object the same.
+    usual = {r["path"] for r in files.whole_text(spark, f"{tmp_path}/in", ".json").collect()}
+    assert usual < set(read)
+
+
+def test_an_empty_folder_has_no_objects(spark, tmp_path):
+    assert store.list_all(spark, str(tmp_path)).isEmpty()
