@@ -81,17 +81,15 @@ def build_events(
 def from_topic(records: DataFrame) -> DataFrame:
     """Audit events out of topic records, the time read as ISO text.
 
-    A message that does not parse becomes an event without a tenant, so the ingest job rejects it
-    and keeps its text.
+    A message that does not parse becomes an event without a tenant, so the ingest job rejects it;
+    ``raw`` keeps the whole text of messages without a tenant.
     """
     fields = ", ".join(f"{name} string" for name in schemas.AUDIT_EVENT.names)
     event = F.from_json("value", fields)
     opened = records.where(F.col("value").isNotNull()).select("value", event.alias("e"))
     columns = {name: F.col(f"e.{name}") for name in schemas.AUDIT_EVENT.names}
     columns["timestamp"] = utc_of_iso(columns["timestamp"])
-    columns["metadata_json"] = F.when(columns["customer_guid"].isNull(), F.col("value")).otherwise(
-        columns["metadata_json"]
-    )
+    columns["raw"] = F.when(columns["customer_guid"].isNull(), F.col("value"))
     return opened.select(*[column.alias(name) for name, column in columns.items()])
 
 
@@ -111,8 +109,12 @@ def tenant_store_name(guid: Column) -> Column:
 
 
 def clean(events: DataFrame, now: Column) -> DataFrame:
-    """Mask and truncate states, fill missing fields, and add ``reject_reason`` and the month."""
-    masked = events.withColumns({c: text.mask_sensitive(F.col(c)) for c in STATE_COLUMNS})
+    """Mask and truncate states, fill missing fields, and add ``reject_reason`` and the month.
+
+    The ``raw`` text of a message, if there is one, is masked but not cut.
+    """
+    texts = [*STATE_COLUMNS, *(["raw"] if "raw" in events.columns else [])]
+    masked = events.withColumns({c: text.mask_sensitive(F.col(c)) for c in texts})
     cleaned = masked.withColumns(
         {
             **{c: text.truncate_text(F.col(c)) for c in STATE_COLUMNS},
@@ -125,7 +127,7 @@ def clean(events: DataFrame, now: Column) -> DataFrame:
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:
-    return cleaned.where(F.col("reject_reason").isNull()).drop("reject_reason")
+    return cleaned.where(F.col("reject_reason").isNull()).drop("reject_reason", "raw")
 
 
 def rejected(cleaned: DataFrame) -> DataFrame:

@@ -116,6 +116,15 @@ def close_runs(runs: DataFrame, errors: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def with_run_id(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows that name a run by ``dag_run_id``, with its ``run_id``; of several the smallest.
+
+    Rows of a run that was not recorded have nothing to close and go.
+    """
+    known = runs.groupBy("dag_run_id").agg(F.min("run_id").alias("run_id"))
+    return rows.join(known, "dag_run_id").drop("dag_run_id")
+
+
 def runs_with_errors(runs: DataFrame, errors: DataFrame) -> DataFrame:
     """Each run next to its errors; runs without any keep one row."""
     return runs.join(

@@ -408,6 +408,26 @@ def runs_closed(spark: SparkSession, folder: str) -> DataFrame:
     return runs.close_runs(views.runs(spark, folder), _run_errors(spark, folder), at(LATER))
 
 
+@query(
+    "runs_closed_by_name",
+    views="runs run_errors task_states",
+    sql=f"""with {_ALL_ERRORS}, n as (select run_id, count(*) as n from errors where run_id % 3 <> 0 group by 1)
+    select run_id, dag_run_id, coalesce(n, 0) = 0 as is_success, coalesce(n, 0) as error_count
+    from runs left join n using (run_id)""",
+)
+def runs_closed_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors that name their run by ``dag_run_id``; a third of them name one that is not recorded."""
+    known = views.runs(spark, folder)
+    named = _run_errors(spark, folder).join(known.select("run_id", "dag_run_id"), "run_id").withColumn(
+        "dag_run_id",
+        F.when(F.col("run_id") % 3 == 0, F.concat(F.lit("lost-"), "dag_run_id")).otherwise(F.col("dag_run_id")),
+    )
+    errors = runs.with_run_id(named.drop("run_id"), known)
+    return runs.close_runs(known, errors, at(LATER)).select(
+        "run_id", "dag_run_id", "is_success", "error_count"
+    )
+
+
 @query(
     "runs_with_errors",
     views="runs run_errors task_states",

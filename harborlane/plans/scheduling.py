@@ -12,7 +12,7 @@ from harborlane.functions.times import instant as at, seconds_between
 from harborlane.plans.registry import query
 from harborlane.plans.view_sql import ZONE_LIST, local_of, next_after, utc_of
 from harborlane.sources import views
-from harborlane.sources.tables import find
+from harborlane.sources.tables import find, page
 
 NOW = "2024-01-15 00:00:00"
 START = dt.datetime(2024, 1, 29)
@@ -189,9 +189,8 @@ def due_with_tenant(spark: SparkSession, folder: str) -> DataFrame:
 )
 def integrations_listing(spark: SparkSession, folder: str) -> DataFrame:
     found = find(views.integrations(spark, folder), workspace_id="ws-3")
-    return (
-        found.orderBy("integration_id").offset(5).limit(20)
-        .select("integration_id", "workspace_id", "schedule_type")
+    return page(found, "integration_id", limit=20, offset=5).select(
+        "integration_id", "workspace_id", "schedule_type"
     )
 
 

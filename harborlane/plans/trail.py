@@ -45,11 +45,12 @@ def audit_cleaned(spark: SparkSession, folder: str) -> DataFrame:
       case when event_id % 17 <> 0 then ts end as timestamp,
       case when event_id % 17 <> 0 then 'cust-' || user_id % 5 end as customer_guid,
       case when event_id % 17 <> 0 then event_type end as event_type,
-      case when event_id % 17 <> 0 then props else '{cut' end as metadata_json from events""",
+      case when event_id % 17 <> 0 then props end as metadata_json,
+      case when event_id % 17 = 0 then '{cut' end as raw from events""",
 )
 def audit_from_topic(spark: SparkSession, folder: str) -> DataFrame:
     return audit.from_topic(views.audit_records(spark, folder)).select(
-        "event_id", "timestamp", "customer_guid", "event_type", "metadata_json"
+        "event_id", "timestamp", "customer_guid", "event_type", "metadata_json", "raw"
     )
 
 

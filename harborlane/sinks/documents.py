@@ -70,21 +70,35 @@ def change_counts(upserted: DataFrame) -> DataFrame:
     return upserted.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-def update_first(stored: DataFrame, match: Column, changes: Column) -> DataFrame:
+def _counted(rows: DataFrame, seen: Observation | None, name: str, test: Column) -> DataFrame:
+    return rows if seen is None else rows.observe(seen, F.count_if(test).alias(name))
+
+
+def update_first(
+    stored: DataFrame, match: Column, changes: Column, seen: Observation | None = None
+) -> DataFrame:
     """Set fields on one matching document, the one with the smallest key.
 
-    The chosen key is a single row, so broadcasting it is bounded.
+    The chosen key is a single row, so broadcasting it is bounded. ``seen`` gets the number of
+    ``modified`` documents when the result is written.
     """
     chosen = stored.where(match).agg(F.min("doc_key").alias("doc_key")).withColumn(
         "_hit", F.lit(True)
     )
     marked = stored.join(F.broadcast(chosen), "doc_key", "left")
+    marked = _counted(marked, seen, "modified", F.coalesce("_hit", F.lit(False)))
     return marked.withColumn(
         "fields",
         F.when(F.col("_hit"), conf.merge(F.col("fields"), changes)).otherwise(F.col("fields")),
     ).drop("_hit")
 
 
-def delete_matching(stored: DataFrame, match: Column) -> DataFrame:
-    """The store without the matching rows; a test that is null matches nothing."""
-    return stored.where(~F.coalesce(match, F.lit(False)))
+def delete_matching(
+    stored: DataFrame, match: Column, seen: Observation | None = None
+) -> DataFrame:
+    """The store without the matching rows; a test that is null matches nothing.
+
+    ``seen`` gets the number of ``deleted`` rows when the result is written.
+    """
+    gone = F.coalesce(match, F.lit(False))
+    return _counted(stored, seen, "deleted", gone).where(~gone)

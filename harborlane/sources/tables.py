@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+MAX_PAGE = 1000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -28,6 +30,17 @@ def matching(**wanted: Any) -> Column | None:
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
+def page(
+    df: DataFrame, order: str, limit: int = 100, offset: int = 0, most: int = MAX_PAGE
+) -> DataFrame:
+    """Rows of one page in the order of a unique column."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be between 1 and {most}")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
+    return df.orderBy(order).offset(offset).limit(limit)
+
+
 def find(df: DataFrame, limit: int = 0, **wanted: Any) -> DataFrame:
     """Rows equal to every given value; limit 0 means all of them."""
     test = matching(**wanted)

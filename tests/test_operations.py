@@ -384,3 +384,12 @@ def test_lifecycle(spark):
     keep = spark.createDataFrame([("cust-1", 100)], "customer_guid string, keep_days int")
     assert audit.with_retention(df, keep, later).count() == 1
     assert audit.with_retention(df, keep.limit(0), later, 10_000).count() == 4
+
+
+def test_rejected_messages_keep_their_whole_text(spark):
+    long = '{"password":"x","note":"' + "y" * 3000
+    records = spark.createDataFrame([(long,), ('{"customer_guid":"c","event_id":"1"}',)], "value string")
+    cleaned = audit.clean(audit.from_topic(records), now())
+    raw = audit.rejected(cleaned).first()["raw"]
+    assert raw.endswith("y" * 3000) and len(raw) > 3000
+    assert "raw" not in audit.accepted(cleaned).columns and audit.accepted(cleaned).count() == 1

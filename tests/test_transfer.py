@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from harborlane.functions import conf
 from harborlane.functions.times import instant
@@ -13,7 +13,7 @@ from harborlane.sinks import documents as docs
 from harborlane.sinks import partitions, storage
 from harborlane.sinks.versions import VersionedTable
 from harborlane.sources import files, objects as store
-from harborlane.sources.tables import find
+from harborlane.sources.tables import find, page
 
 
 def objects(spark, contents):
@@ -328,3 +328,23 @@ def test_every_object_is_listed_and_read(spark, tmp_path):
 
 def test_an_empty_folder_has_no_objects(spark, tmp_path):
     assert store.list_all(spark, str(tmp_path)).isEmpty()
+
+
+def test_changes_count_what_they_touch(spark, work):
+    stored = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "doc_key string, n int").withColumn(
+        "fields", conf.base_conf(n=F.col("n"))
+    )
+    deleted, modified = Observation(), Observation()
+    docs.delete_matching(stored, F.col("n") > 0, deleted).select("doc_key").write.parquet(f"{work}/left")
+    assert deleted.get == {"deleted": 2}
+    changed = docs.update_first(stored, F.col("n") > 0, conf.base_conf(m=F.lit(1)), modified)
+    changed.select("doc_key").write.parquet(f"{work}/changed")
+    assert modified.get == {"modified": 1}
+
+
+def test_pages_have_bounds(spark):
+    rows = spark.range(30)
+    assert [r["id"] for r in page(rows, "id", limit=2, offset=3).collect()] == [3, 4]
+    for wrong in ({"limit": 0}, {"limit": 1001}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            page(rows, "id", **wrong)
