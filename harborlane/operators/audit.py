@@ -82,13 +82,15 @@ def from_topic(records: DataFrame) -> DataFrame:
     """Audit events out of topic records, the time read as ISO text.
 
     A message that does not parse becomes an event without a tenant, so the ingest job rejects it;
-    ``raw`` keeps the whole text of messages without a tenant.
+    ``raw`` keeps the whole text of messages without a tenant. An event without a time has the
+    record's, which is the same when the record is delivered again, in another month too.
     """
     fields = ", ".join(f"{name} string" for name in schemas.AUDIT_EVENT.names)
     event = F.from_json("value", fields)
-    opened = records.where(F.col("value").isNotNull()).select("value", event.alias("e"))
+    at = "timestamp" if "timestamp" in records.columns else F.lit(None).cast("timestamp_ntz").alias("timestamp")
+    opened = records.where(F.col("value").isNotNull()).select("value", at, event.alias("e"))
     columns = {name: F.col(f"e.{name}") for name in schemas.AUDIT_EVENT.names}
-    columns["timestamp"] = utc_of_iso(columns["timestamp"])
+    columns["timestamp"] = F.coalesce(utc_of_iso(columns["timestamp"]), F.col("timestamp"))
     columns["raw"] = F.when(columns["customer_guid"].isNull(), F.col("value"))
     return opened.select(*[column.alias(name) for name, column in columns.items()])
 

@@ -1,7 +1,6 @@
 """Schedules: normalising them on create and update, and advancing them after a run.
 
-All of it is closed-form column arithmetic on local time, so one pass handles every tenant and
-zone inside generated code.
+All of it is column arithmetic on local time, so one pass handles every tenant and zone.
 """
 
 from __future__ import annotations
@@ -160,12 +159,17 @@ def apply_updates(integrations: DataFrame, updates: DataFrame, now: Column) -> D
 
 
 def with_advanced_run(
-    df: DataFrame, now: Column, frozen_offset: bool = False, name: str = "advanced_run"
+    df: DataFrame,
+    now: Column,
+    frozen_offset: bool = False,
+    name: str = "advanced_run",
+    due: Column | None = None,
 ) -> DataFrame:
     """Add the run after a dispatch: daily from now, weekly and monthly from the run just taken.
 
     ``frozen_offset`` advances the stored UTC text; otherwise the local schedule is used, so the
-    local hour survives a clock change. A schedule that cannot be read keeps its time.
+    local hour survives a clock change. A schedule that cannot be read keeps its time, and so does
+    one that is not ``due``, whose zone is never looked at.
     """
     kind, current = F.col("schedule_type"), F.col("utc_next_run")
     base = F.when(kind.isin("weekly", "monthly"), F.coalesce(current, now)).otherwise(now)
@@ -173,6 +177,8 @@ def with_advanced_run(
         zone, text = F.lit("UTC"), "utc_sch_cron"
     else:
         df, zone, text = _with_zone(df), zones.known_zone("usr_timezone"), "usr_sch_cron"
+    if due is not None:
+        zone = F.when(due, zone)
     following = _with_next_run(with_schedule_fields(df, text), name, base, zone)
     return following.withColumn(name, F.coalesce(F.col(name), current)).drop(
         "cron_hour", "cron_dow", "cron_dom"
@@ -183,9 +189,8 @@ def advance(
     integrations: DataFrame, due: Column, now: Column, frozen_offset: bool = False
 ) -> DataFrame:
     """The table with the due rows moved to their next run."""
-    moved = F.when(F.coalesce(due, F.lit(False)), F.col("_advanced"))
     return (
-        with_advanced_run(integrations, now, frozen_offset, "_advanced")
-        .withColumn("utc_next_run", F.coalesce(moved, F.col("utc_next_run")))
+        with_advanced_run(integrations, now, frozen_offset, "_advanced", due)
+        .withColumn("utc_next_run", F.col("_advanced"))
         .drop("_advanced")
     )

@@ -42,7 +42,7 @@ def audit_cleaned(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "audit_from_topic",
     sql="""select case when event_id % 17 <> 0 then cast(event_id as varchar) end as event_id,
-      case when event_id % 17 <> 0 then ts end as timestamp,
+      case when event_id % 17 = 0 or event_id % 19 = 0 then ts + interval 1 hour else ts end as timestamp,
       case when event_id % 17 <> 0 then 'cust-' || user_id % 5 end as customer_guid,
       case when event_id % 17 <> 0 then event_type end as event_type,
       case when event_id % 17 <> 0 then props end as metadata_json,

@@ -341,14 +341,18 @@ def audit_records(spark: SparkSession, folder: str) -> DataFrame:
     value = F.to_json(
         F.struct(
             e.cast("string").alias("event_id"),
-            F.concat(F.replace(wall.cast("string"), F.lit(" "), F.lit("T")), offset).alias("timestamp"),
+            F.when(
+                e % 19 != 0, F.concat(F.replace(wall.cast("string"), F.lit(" "), F.lit("T")), offset)
+            ).alias("timestamp"),
             _text("cust-", F.col("user_id") % 5).alias("customer_guid"),
             F.col("event_type"),
             F.col("props").alias("metadata_json"),
         )
     )
     return events.select(
-        F.when(e % 17 == 0, "{cut").otherwise(value).alias("value"), e.alias("offset")
+        F.when(e % 17 == 0, "{cut").otherwise(value).alias("value"),
+        e.alias("offset"),
+        F.timestamp_add("HOUR", F.lit(1), F.col("ts")).alias("timestamp"),
     )
 
 
