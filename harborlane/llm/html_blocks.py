@@ -1,13 +1,17 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page's leaf blocks are its stretches of text between block-level tags, in page order, each with the
-elements around it. The field labels every block as main text or not from the element that marks its
-region, its parent, and its text, together with the labels of its neighbours; the best sequence is
-found by Viterbi decoding.
+elements around it. The field labels every block as main text or not from the tags and the words of
+class, id and role of all elements around it, the nearest element whose name is listed, its parent and
+depth, its text and links, and the text and links of the blocks before and after, together with the
+labels of its neighbours; the best sequence is found by Viterbi decoding.
 
 It is trained on pages whose markup says what is what: blocks inside ``article`` or ``main`` are main
-text, unless a menu, header, footer, form, advert, notice or the like is nearer around them. Training
-starts from a prior that the region's kind decides, which also stands if no page can teach.
+text, unless a menu, header, footer, form, advert, notice or the like is nearer around them, or an
+aside, menu, footer, comments, teasers or the like are anywhere around them below ``main``. Each page
+teaches twice, the second time as if its elements had no names, so that parent, text, links and
+neighbours have weights of their own for blocks with no listed element around them. Training starts from a
+prior for the listed names, which also stands if no page can teach.
 ``max_pages`` bounds the pages trained on (the ones with the smallest hash); below it, all are.
 
 Character references are decoded, white space within a block becomes one blank, blocks of main text
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from harborlane.llm.common import stored
 
 MAX_PAGES = 2000
-EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
+EPOCHS, RATE, DECAY, PRIOR = 6, 0.3, 1e-4, 3.0
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""",
@@ -63,55 +67,141 @@ OTHER_WORDS = set(
     " sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking warning widget"
     .split()
 )
+#: What stays other text whatever is nested in it, but for ``main``, by family.
+ASIDES = {
+    name: family
+    for family, names in {
+        "aside": "aside complementary sidebar",
+        "comments": "comment comments disqus replies reply respond",
+        "menu": "breadcrumb breadcrumbs menu nav navbar navigation pagination",
+        "footer": "footer contentinfo",
+        "teaser": "promoted recommended related teaser",
+        "advert": "ad ads advert advertisement adverts sponsored",
+        "dialog": "dialog popup",
+    }.items()
+    for name in names.split()
+}
+#: A class that begins so tells what a page or post has or is about, not what the element is.
+ABOUT = {"has", "with", "no", "without", "tag", "category", "is", "not"}
+#: Containers of anything; their tags say nothing.
+PLAIN = {"html", "body", "div", "section"}
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def region(tag: str, attributes: str) -> tuple[str, str] | None:
-    """(kind, name) if an element marks a region: ``other`` wins over ``main``."""
-    words = set()
-    if attributes:
-        for found in ATTRIBUTE.finditer(attributes):
-            value = found[2] or found[3] or found[4] or ""
-            words.update(re.split(r"[^a-z]+", CAPITAL.sub(" ", value).lower()))
+def attribute_words(attributes: str) -> list[list[str]]:
+    """The words of every name in ``class``, ``id`` and ``role``."""
+    names = []
+    for found in ATTRIBUTE.finditer(attributes):
+        for name in (found[2] or found[3] or found[4] or "").split():
+            words = [w for w in re.split(r"[^a-z]+", CAPITAL.sub(" ", name).lower()) if w]
+            if words:
+                names.append(words)
+    return names
+
+
+def region(tag: str, names: list[list[str]]) -> tuple[str, str] | None:
+    """(kind, name) if an element marks a region: its tag, else ``other`` words, else ``main`` ones."""
+    if tag in CONTENT_TAGS:
+        return "main", tag
     if tag in OTHER_TAGS:
         return "other", tag
+    if tag in ("html", "body"):
+        return None
+    words = {w for own in names if own[0] not in ABOUT for w in own}
     if others := words & OTHER_WORDS:
-        return "other", min(others)
-    if tag in CONTENT_TAGS:
-        return "main", tag
+        return "other", min(others, key=lambda w: (w not in ASIDES, w))
     if mains := words & CONTENT_WORDS:
         return "main", min(mains)
     return None
 
 
+class Around:
+    """What the elements around a block say: the nearest listed name and its kind, the family of text
+    apart they lie in, and features of all of them."""
+
+    __slots__ = ("kind", "marker", "family", "features")
+
+    def __init__(self, kind="none", marker="none", family=None, features=("marker none",)):
+        self.kind, self.marker, self.family, self.features = kind, marker, family, features
+
+    def within(self, tag: str, attributes: str) -> Around:
+        """The same with one more element inside."""
+        names = attribute_words(attributes) if attributes else []
+        own = [] if tag in PLAIN or tag in INLINE else [f"above {tag}"]
+        if tag != "html" and tag != "body":
+            own += [f"word {w}" for words in names for w in words]
+        mark = region(tag, names)
+        if not (own or mark):
+            return self
+        kind, marker, family = self.kind, self.marker, self.family
+        if tag == "main":
+            family = None
+        if mark and not family:
+            kind, marker = mark
+            family = ASIDES.get(marker) if kind == "other" else None
+        if self.family and family:
+            # What a menu or a comment is made of is no evidence for main text.
+            own = [f"{f} in {family}" for f in own]
+        features = {f: None for f in self.features if not f.startswith(("marker ", "under "))}
+        features[f"marker {marker}"] = None
+        if family:
+            features[f"under {family}"] = None
+        features.update(dict.fromkeys(own))
+        return Around(kind, marker, family, tuple(features))
+
+
 class Block:
-    """A leaf block: its text, the region around it, its parent, and how much of it is links."""
+    """A leaf block: its text, what is around it, its parent and depth, how much of it is links."""
 
-    __slots__ = ("text", "kind", "marker", "parent", "linked")
+    __slots__ = ("text", "around", "parent", "depth", "linked")
 
-    def __init__(self, text: str, kind: str, marker: str, parent: str, linked: int):
-        self.text, self.kind, self.marker = text, kind, marker
-        self.parent, self.linked = parent, linked
+    def __init__(self, text: str, around: Around, parent: str, depth: int, linked: int):
+        self.text, self.around = text, around
+        self.parent, self.depth, self.linked = parent, depth, linked
 
-    def features(self) -> list[str]:
+    def look(self) -> tuple[str, str]:
         words = self.text.count(" ") + 1
-        last = self.text[-1]
+        return (
+            f"words {min(int(math.log2(words)), 7)}",
+            f"linked {4 * self.linked // max(len(self.text), 1)}",
+        )
+
+    def features(self) -> list[str]:
         return [
             "bias",
-            f"region {self.kind}",
-            f"marker {self.marker}",
             f"parent {self.parent}",
-            f"words {min(int(math.log2(words)), 7)}",
-            f"linked {4 * self.linked // max(len(self.text), 1)}",
-            "sentence" if last in ".!?" else "open end",
+            f"depth {min(int(math.log2(self.depth + 1)), 5)}",
+            *self.look(),
+            "sentence" if self.text[-1] in ".!?" else "open end",
             "copyright" if "©" in self.text else "no copyright",
         ]
 
 
+def page_features(blocks: list[Block], marked: bool = True) -> list[list[str]]:
+    """Features of each block of a page; without ``marked``, as if nothing listed were around it.
+
+    Neighbours are judged by the region: links are no menu in an article. Where nothing listed is
+    around, the features of text and neighbours are others, so that they weigh more.
+    """
+    looks = [(), *(b.look() for b in blocks), ()]
+    found = []
+    for i, b in enumerate(blocks):
+        near = [*(f"before {f}" for f in looks[i]), *(f"after {f}" for f in looks[i + 2])]
+        if marked and b.around.kind != "none":
+            near = [f"{f} at {b.around.marker}" for f in near]
+            found.append([*b.features(), *near, *b.around.features])
+        else:
+            bare = [f"bare {f}" for f in (*b.features(), *near)]
+            found.append([*bare, *b.around.features] if marked else bare)
+    return found
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    stack: list[tuple[str, tuple[str, str] | None]] = []
+    stack: list[tuple[str, str, Around]] = []
+    known: dict[tuple[int, str, str], Around] = {}
+    outside = Around()
     parts: list[str] = []
     blocks: list[Block] = []
     linked = at = 0
@@ -121,9 +211,10 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                kind, marker = next((r for _, r in reversed(stack) if r), ("none", "none"))
-                parent = next((t for t, _ in reversed(stack) if t not in INLINE), "none")
-                blocks.append(Block(text, kind, marker, parent, linked))
+                outer = [t for t, _, _ in stack if t not in INLINE]
+                around = stack[-1][2] if stack else outside
+                parent = outer[-1] if outer else "none"
+                blocks.append(Block(text, around, parent, len(outer), linked))
             parts.clear()
         linked = 0
 
@@ -132,13 +223,20 @@ def leaf_blocks(page: str) -> list[Block]:
         if text:
             text = html.unescape(text)
             parts.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if any(tag == "a" for tag, _, _ in stack):
                 linked += len(text.strip())
 
     def close(position: int) -> None:
         end_block()
         del stack[position:]
 
+    def open_element(tag: str, attributes: str) -> None:
+        outer = stack[-1][2] if stack else outside
+        key = (id(outer), tag, attributes)
+        if key not in known:
+            known[key] = outer.within(tag, attributes)
+        stack.append((tag, attributes, known[key]))
+
     def innermost(tags, limits=()) -> int:
         for position in range(len(stack) - 1, -1, -1):
             if stack[position][0] in tags:
@@ -157,7 +255,10 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag in INLINE:
                 position = innermost((tag,))
                 if position >= 0:
-                    del stack[position]
+                    above = stack[position + 1 :]
+                    del stack[position:]
+                    for inner, attributes, _ in above:
+                        open_element(inner, attributes)
             else:
                 end_block()
                 position = innermost((tag,))
@@ -173,7 +274,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag == "hr":
                 end_block()
         elif tag in INLINE:
-            stack.append((tag, region(tag, found[3])))
+            open_element(tag, found[3])
         else:
             end_block()
             position = innermost(("p",), ("article", "main", "section", "div", "td", "li", "body"))
@@ -184,7 +285,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 position = innermost(tags.split(), limits.split())
                 if position >= 0:
                     close(position)
-            stack.append((tag, region(tag, found[3])))
+            open_element(tag, found[3])
     add(page[at:])
     end_block()
     return blocks
@@ -194,8 +295,11 @@ class Field:
     """Weights of the field: per feature and label, and per pair of neighbouring labels."""
 
     def __init__(self, weights: dict[str, list[float]] | None = None, moves=None):
-        prior = {"region main": [-2.0, 2.0], "region other": [2.0, -2.0]}
-        self.weights = prior if weights is None else weights
+        if weights is None:
+            weights = {f"marker {name}": [-PRIOR, PRIOR] for name in CONTENT_TAGS | CONTENT_WORDS}
+            weights |= {f"marker {name}": [PRIOR, -PRIOR] for name in OTHER_TAGS | OTHER_WORDS}
+            weights |= {f"under {family}": [PRIOR, -PRIOR] for family in set(ASIDES.values())}
+        self.weights = weights
         self.moves = np.zeros((2, 2)) if moves is None else np.array(moves)
 
     def scores(self, features: list[list[str]]) -> np.ndarray:
@@ -285,9 +389,9 @@ def marginals(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def marked_labels(blocks: list[Block]) -> list[int] | None:
     """Labels that the markup gives, or none if it does not say where the main text is."""
-    if not any(b.kind == "main" and b.marker in CONTENT_TAGS for b in blocks):
+    if not any(b.around.kind == "main" and b.around.marker in CONTENT_TAGS for b in blocks):
         return None
-    return [int(b.kind == "main") for b in blocks]
+    return [int(b.around.kind == "main") for b in blocks]
 
 
 def train(pages: DataFrame, column: str = "html", max_pages: int = MAX_PAGES) -> Field:
@@ -311,7 +415,7 @@ def train(pages: DataFrame, column: str = "html", max_pages: int = MAX_PAGES) ->
                 blocks = leaf_blocks(page.as_py())
                 labels = marked_labels(blocks)
                 if labels:
-                    taught.append((key, [b.features() for b in blocks], labels))
+                    taught += [(key, page_features(blocks, m), labels) for m in (True, False)]
         field = Field()
         field.train([page[1:] for page in sorted(taught, key=lambda page: page[0])])
         moves = [("", label, *field.moves[label].tolist()) for label in (0, 1)]
@@ -336,7 +440,7 @@ def train(pages: DataFrame, column: str = "html", max_pages: int = MAX_PAGES) ->
 
 def main_text(page: str | None, field: Field) -> str:
     blocks = leaf_blocks(page or "")
-    labels = field.decode([b.features() for b in blocks])
+    labels = field.decode(page_features(blocks))
     return "\n".join(b.text for b, label in zip(blocks, labels) if label)
 
 

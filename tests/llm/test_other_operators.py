@@ -171,6 +171,67 @@ def test_main_text_of_unseen_pages(spark, folder):
     assert html_blocks.main_text("<article><p>a</p></article><nav>b</nav>", prior) == "a"
 
 
+TEXT = "<p>First sentence of the text here.</p><p>Second sentence of the text.</p>"
+OTHER = "<p>What a nice text, I read it.</p><p>I did as well, twice.</p>"
+MENU = "<nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{TEXT}</article><section id=comments><article>{OTHER}</article></section>",
+        f"<article>{TEXT}<section id=comments><article>{OTHER}</article></section></article>",
+        f"<main>{TEXT}</main><aside><article><h3>More</h3>{OTHER}</article></aside>",
+        f"<article>{TEXT}<aside><article>{OTHER}</article></aside></article>",
+        f"<article>{TEXT}</article><ol class='comment-list'><li><article>{OTHER}</article></ol>",
+        f"<div class=sidebar><article class=teaser>{OTHER}</article></div><main>{TEXT}</main>",
+        f"<article class='post tag-warning'>{TEXT}</article><div class=cookie-notice>{OTHER}</div>",
+        f"<article class='hentry category-social'>{TEXT}</article><footer>us</footer>",
+        f"<main class='content has-sidebar'>{TEXT}</main><div class=sidebar>{OTHER}</div>",
+        f"<div class='layout has-sidebar'><article><div>{TEXT}</div></article></div>",
+        f"<form id=page><main>{TEXT}</main></form><footer>us</footer>",
+        # Nothing is listed here: parent, text, links and neighbours decide.
+        f"<div><ul><li><a href=/>Home</a><li><a href=/a>Us</a></ul></div><div>{TEXT}</div><div>© x</div>",
+    ],
+)
+@pytest.mark.parametrize("menu", ["", MENU])
+def test_main_text_by_all_ancestors(spark, folder, page, menu):
+    if "pages" not in _field:
+        _field["pages"] = html_blocks.train(table(spark, folder, "pages"))
+    text = html_blocks.main_text(f"<body class='single has-sidebar'>{menu}{page}", _field["pages"])
+    assert text.split("\n") == ["First sentence of the text here.", "Second sentence of the text."]
+
+
+_field = {}
+
+
+def test_links_within_an_article(spark, folder):
+    field = html_blocks.train(table(spark, folder, "pages"))
+    links = "<ul>" + "<li><a href=q>Source</a>" * 5 + "</ul>"
+    page = f"<body>{MENU}<article><p>One sentence.</p>{links}</article><footer>us</footer>"
+    assert html_blocks.main_text(page, field).split("\n") == ["One sentence."] + ["Source"] * 5
+
+
+def test_labels_are_no_feature():
+    pages = [
+        html_blocks.leaf_blocks(f"<body>{MENU}<article>{TEXT}</article><section id=comments><article>{OTHER}"),
+        html_blocks.leaf_blocks(f"<body>{MENU}<div class=promo>{OTHER}</div><main>{TEXT}<form>{OTHER}"),
+    ]
+    rows = []
+    for blocks in pages:
+        rows += zip(html_blocks.page_features(blocks), html_blocks.marked_labels(blocks))
+    for feature in {f for features, _ in rows for f in features}:
+        assert {(feature in features) == bool(label) for features, label in rows} != {True}
+        assert {(feature in features) != bool(label) for features, label in rows} != {True}
+    bare = [f for blocks in pages for own in html_blocks.page_features(blocks, False) for f in own]
+    assert all(f.startswith("bare ") for f in bare)
+
+
+def test_misnested_inline_elements_and_contexts():
+    blocks = html_blocks.leaf_blocks("<article><b class=ad><i>x</b>y</i><p>z")
+    assert [(b.text, b.around.kind) for b in blocks] == [("xy", "main"), ("z", "main")]
+
+
 def test_viterbi_and_marginals_against_all_sequences():
     rng = np.random.default_rng(1)
     field = html_blocks.Field({f"f{i}": rng.normal(size=2).tolist() for i in range(4)}, rng.normal(size=(2, 2)))
