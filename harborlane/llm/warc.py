@@ -6,10 +6,13 @@ others as revisits of it, which hold the HTTP header only. Archives are written
 sink, with an empty gzip member in the place of the line end, so any file system will do; an
 archive holds at most ``per_archive`` records.
 
-``read_archives`` reads compressed and plain archives. A record counts if its gzip member is whole,
-its version line, header and length are right, and its digests fit. After a failed check the reader
-looks for the next member or version line from where a whole record can be read, goes on there, and
-reports the bytes between as a gap with the first reason.
+``read_archives`` reads compressed and plain archives, with any number of records in a gzip member. A
+record counts if its version line, header and length are right, and its digests fit. After a failed
+check the reader looks for the next member or version line from where a whole record can be read, goes
+on there, and reports the bytes between as a gap with the first reason; within a member it looks in the
+decompressed bytes. Of a member that is cut short or damaged, the records before the damage count; if
+its bytes or check sum are wrong, only those with a digest that shows them to be right. What such a
+member held after the damage cannot be decompressed.
 
 Null html is an empty payload; a null url leaves its field out; control characters in a url are
 percent-encoded. A page without an id never is the response of others; if none of the pages with a
@@ -42,8 +45,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 
 FOUND = (
-    "archive string, offset bigint, size bigint, gap string, record_id string, record_type string, "
-    "refers_to string, target_uri string, payload_bytes bigint, payload_digest string, payload binary"
+    "archive string, offset bigint, size bigint, inner bigint, inner_size bigint, gap string, "
+    "record_id string, record_type string, refers_to string, target_uri string, payload_bytes bigint, payload_digest string, payload binary"
 )
 
 
@@ -131,23 +134,39 @@ class Damaged(Exception):
     """A check that failed; the text says which."""
 
 
-def read_member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place, and where it ends."""
+def read_member(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at a place, where it ends, and what is wrong with it, if anything.
+
+    What came out before an error is the content then, and the bytes it came from end there.
+    """
     tool, parts, end = zlib.decompressobj(31), [], at
-    try:
-        while not tool.eof:
-            piece = data[end : end + 65536]
-            if not len(piece):
-                raise Damaged("member cut short")
+    while not tool.eof:
+        piece = data[end : end + 65536]
+        if not len(piece):
+            return b"".join(parts), end, "member cut short"
+        try:
             parts.append(tool.decompress(piece))
-            end += len(piece)
-    except zlib.error as error:
-        raise Damaged("damaged member") from error
-    return b"".join(parts), end - len(tool.unused_data)
-
-
-def read_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The fields and content of the plain record at a place, and where it ends."""
+        except zlib.error:
+            tool = zlib.decompressobj(31)
+            tool.decompress(data[at:end])
+            # The place of the error is found by halves.
+            while len(piece):
+                half, before = (len(piece) + 1) // 2, tool.copy()
+                try:
+                    parts.append(tool.decompress(piece[:half]))
+                    piece, end = piece[half:], end + half
+                except zlib.error:
+                    tool, piece = before, piece[: half if half < len(piece) else 0]
+            return b"".join(parts), end, "damaged member"
+        end += len(piece)
+    return b"".join(parts), end - len(tool.unused_data), None
+
+
+def read_record(data: bytes, at: int, sure: bool = False) -> tuple[dict, int]:
+    """The fields and content of the plain record at a place, and where it ends.
+
+    With ``sure``, it needs a digest that can be checked.
+    """
     if not re.match(rb"WARC/1\.\d\r\n", data[at : at + 10]):
         raise Damaged("no version line")
     head_end = data.find(END, at)
@@ -174,6 +193,9 @@ def read_record(data: bytes, at: int) -> tuple[dict, int]:
     revisit = fields.get("warc-type") == "revisit"
     if not revisit and _digest_differs(fields.get("warc-payload-digest"), payload):
         raise Damaged("payload digest")
+    names = ["warc-block-digest"] if revisit else ["warc-block-digest", "warc-payload-digest"]
+    if sure and not any(fields.get(name, "").lower().startswith("sha1:") for name in names):
+        raise Damaged("damaged member, no digest")
     found = {
         "record_id": fields.get("warc-record-id", "").strip("<>") or None,
         "record_type": fields.get("warc-type"),
@@ -204,45 +226,96 @@ def _hexadecimal(field: str | None, payload: bytes) -> str:
     return hashlib.sha1(payload).hexdigest()
 
 
+def read_records(content: bytes, sure: bool = False) -> Iterator[tuple[int, int, dict | str]]:
+    """(begin, end, record or reason of a gap) of a member's content, in order."""
+    at, gap = 0, None
+    while at < len(content):
+        try:
+            found, end = read_record(content, at, sure)
+        except Damaged as error:
+            gap = gap or (at, str(error))
+            start = content.find(VERSION, at + 1)
+            at = start if start >= 0 else len(content)
+            continue
+        if gap:
+            yield gap[0], at, gap[1]
+            gap = None
+        yield at, end, found
+        at = end
+    if gap:
+        yield gap[0], at, gap[1]
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive, and its gaps as rows with ``gap`` set, in the order of the file."""
     view, at, gap = memoryview(data), 0, None
+    # Records of a damaged member, which may also be found plain in its bytes.
+    kept, kept_until = set(), 0
+
+    def gap_row(end: int) -> dict:
+        offset, reason, inner = gap
+        return {
+            "offset": offset, "size": end - offset, "inner": inner, "inner_size": None, "gap": reason
+        }
+
     while at < len(data):
-        try:
-            if data[at : at + 3] == MEMBER:
-                content, end = read_member(view, at)
-                records, inner = [], 0
-                while inner < len(content):
-                    found, inner = read_record(content, inner)
-                    records.append(found)
-            else:
+        wrong, rows = None, []
+        if data[at : at + 3] == MEMBER:
+            content, end, wrong = read_member(view, at)
+            rows = list(read_records(content, wrong == "damaged member"))
+            if rows and not any(isinstance(found, dict) for _, _, found in rows):
+                if wrong is None:
+                    # A whole member without a record.
+                    gap, at = gap or (at, rows[0][2], None), end
+                    continue
+                rows = []
+        else:
+            try:
                 found, end = read_record(data, at)
-                records = [found]
-        except Damaged as error:
-            gap = gap or (at, str(error))
+                if at < kept_until and (found["record_id"], found["payload_digest"]) in kept:
+                    at = end
+                    continue
+                rows = [(None, None, found)]
+            except Damaged as error:
+                wrong = str(error)
+        if rows and gap:
+            yield gap_row(at)
+            gap = None
+        rest = 0
+        if rows and wrong:
+            kept = {(r["record_id"], r["payload_digest"]) for *_, r in rows if isinstance(r, dict)}
+            kept_until = end
+            # A record that the damage cut is part of the gap that follows.
+            rest = max(e for _, e, r in rows if isinstance(r, dict))
+            rows = [row for row in rows if row[1] <= rest]
+        for begin, until, found in rows:
+            place = {"offset": at, "size": end - at, "inner": begin}
+            place["inner_size"] = None if begin is None else until - begin
+            if isinstance(found, dict):
+                yield {**place, "gap": None, **found}
+            else:
+                yield {**place, "gap": found}
+        if wrong:
+            gap = gap or (at, wrong, rest or None)
             starts = [data.find(mark, at + 1) for mark in (MEMBER, VERSION)]
             at = min((s for s in starts if s >= 0), default=len(data))
-            continue
-        if gap and records:
-            yield {"offset": gap[0], "size": at - gap[0], "gap": gap[1]}
-            gap = None
-        for found in records:
-            yield {"offset": at, "size": end - at, "gap": None, **found}
-        at = end
+        else:
+            at = end
     if gap:
-        yield {"offset": gap[0], "size": len(data) - gap[0], "gap": gap[1]}
+        yield gap_row(len(data))
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """All records and gaps of the archives in a folder.
 
     A row is a record (``gap`` null) or a gap (``gap`` says which check failed first); ``offset`` and
-    ``size`` say where it is in the archive. An archive is read by one task, up to 2 GB.
+    ``size`` say where it, or its gzip member, is in the archive, ``inner`` and ``inner_size`` where it
+    is in the content of its member. An archive is read by one task, up to 2 GB.
     """
     schema = pa.schema(
         [
             ("archive", pa.string()), ("offset", pa.int64()), ("size", pa.int64()),
-            ("gap", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()),
+            ("inner", pa.int64()), ("inner_size", pa.int64()), ("gap", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()),
             ("refers_to", pa.string()), ("target_uri", pa.string()),
             ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
             ("payload", pa.binary()),

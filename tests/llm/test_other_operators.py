@@ -145,6 +145,61 @@ def test_salvage(packed, harm):
     assert [r["gap"] for r in warc.salvage(b"nothing")] == ["no version line"]
 
 
+def ids_of(found):
+    return [r["record_id"][-1] for r in found if not r["gap"]]
+
+
+@pytest.mark.parametrize("harm", ["digest", "length", "version"])
+def test_salvage_within_a_member(harm):
+    plain = [warc.record(i, f"http://x/{i}", b"payload %d " % i * 40, None) for i in range(5)]
+    change = {
+        "digest": (b"payload 2", b"payload X"),
+        "length": (b"\r\nContent-Length: ", b"\r\nContent-Length: 9"),
+        "version": (b"WARC/1.1", b"WARK/1.1"),
+    }[harm]
+    plain[2] = plain[2].replace(*change, 1)
+    members = [gzip.compress(b"".join(plain), mtime=0), gzip.compress(plain[0], mtime=0)]
+    found = list(warc.salvage(b"".join(members)))
+    assert ids_of(found) == ["0", "1", "3", "4", "0"]
+    assert [r["gap"] is None for r in found] == [True, True, False, True, True, True]
+    gap = found[2]
+    assert (gap["offset"], gap["size"]) == (0, len(members[0]))
+    assert (gap["inner"], gap["inner_size"]) == (len(plain[0] + plain[1]), len(plain[2]))
+
+
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("harm", ["cut", "crc", "flip"])
+def test_salvage_before_the_damage(harm, level):
+    rng = np.random.default_rng(3)
+    plain = [warc.record(i, f"http://x/{i}", rng.bytes(30_000), None) for i in range(5)]
+    whole = gzip.compress(b"".join(plain), level, mtime=0)
+    member = bytearray(whole)
+    if harm == "cut":
+        del member[len(member) // 2 :]
+    elif harm == "crc":
+        member[-8] ^= 255
+    else:
+        member[len(member) // 2] ^= 255
+    last = gzip.compress(warc.record(9, "http://x/9", b"last", None), mtime=0)
+    for rest in (last, b""):
+        found = list(warc.salvage(bytes(member) + rest))
+        expected = {"cut": ["0", "1"], "crc": list("01234"), "flip": list("0134")}[harm]
+        assert ids_of(found) == expected + ["9"] * bool(rest)
+        gaps = [r for r in found if r["gap"]]
+        assert gaps and all(g["offset"] == 0 for g in gaps)
+        assert gaps[-1]["size"] == len(member)
+        assert gaps[0]["inner"] == sum(map(len, plain[: 5 if harm == "crc" else 2]))
+
+
+def test_salvage_trusts_no_damaged_member_without_digests():
+    plain = warc.record(1, "http://x/", b"payload", None).split(b"\r\n")
+    plain = b"\r\n".join(line for line in plain if b"Digest" not in line)
+    member = bytearray(gzip.compress(plain, mtime=0))
+    assert ids_of(warc.salvage(bytes(member))) == ["1"]
+    member[-8] ^= 255
+    assert [r["gap"] for r in warc.salvage(bytes(member))] == ["damaged member"]
+
+
 # Pages
 
 
