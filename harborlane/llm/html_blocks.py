@@ -42,6 +42,14 @@ TOKEN = re.compile(
 )
 #: Elements whose content is text of another kind, up to their end tag.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "xmp"}
+#: Elements of them that can hold more of themselves, and markup.
+NESTED = {"svg", "template"}
+#: Inside these elements of ``svg`` HTML may stand; elsewhere an element of HTML ends an open ``svg``.
+HOLDS_HTML = {"foreignobject", "desc", "title"}
+BREAKS_OUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li"
+    " listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s"
@@ -198,6 +206,41 @@ def page_features(blocks: list[Block], marked: bool = True) -> list[list[str]]:
     return found
 
 
+def raw_end(page: str, tag: str, attributes: str, at: int) -> int:
+    """Where the raw element ends whose start tag ends at a place."""
+    if tag == "svg" and attributes.endswith("/"):
+        return at
+    if tag not in NESTED:
+        ending = re.compile(rf"</{tag}\s*/?>|</{tag}(?=[\s/])[^>]*>", re.I).search(page, at)
+        return ending.end() if ending else len(page)
+    opened = [tag]
+    while found := TOKEN.search(page, at):
+        inner, at = (found[2] or "").lower(), found.end()
+        foreign = opened[-1] == "svg"
+        if found[1]:
+            for position in range(len(opened) - 1, -1, -1):
+                if opened[position] == inner:
+                    del opened[position:]
+                    break
+                if opened[position] == "template":
+                    break
+            if not opened:
+                return at
+        elif foreign and inner in BREAKS_OUT:
+            while opened and opened[-1] == "svg":
+                opened.pop()
+            if not opened:
+                return found.start()
+        elif inner == "svg" or (foreign and inner in HOLDS_HTML):
+            if not found[3].endswith("/"):
+                opened.append(inner)
+        elif not foreign and inner == "template":
+            opened.append(inner)
+        elif not foreign and inner in RAW:
+            at = raw_end(page, inner, found[3], at)
+    return len(page)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str, Around]] = []
     known: dict[tuple[int, str, str], Around] = {}
@@ -268,8 +311,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
         elif tag in RAW:
-            ending = re.compile(rf"</{tag}\s*/?>|</{tag}(?=[\s/])[^>]*>", re.I).search(page, at)
-            at = ending.end() if ending else len(page)
+            at = raw_end(page, tag, found[3], at)
         elif tag in VOID:
             if tag == "hr":
                 end_block()

@@ -287,6 +287,30 @@ def test_misnested_inline_elements_and_contexts():
     assert [(b.text, b.around.kind) for b in blocks] == [("xy", "main"), ("z", "main")]
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<svg class='icon' viewBox='0 0 1 1'/>",
+        "<svg/>",
+        "<svg><title>no</title><svg><text>no</text></svg><text>no</text></svg>",
+        "<svg><svg/><text>no</text></svg>",
+        "<svg><foreignObject><p>no</p><svg><text>no</text></svg></foreignObject><text>no</text></svg>",
+        "<SVG><!-- </svg> --><a title='</svg>'>no</a></SVG >",
+        "<template>no<template>no</template>no</template>",
+        "<template><script>'</template>'</script><svg>no</template>",
+        "<svg><path d='M0 0'>",
+    ],
+)
+def test_foreign_and_nested_raw_elements(raw):
+    page = f"<article><p>one {raw}<p>two</p>{raw}<p>three</p></article><footer>us</footer>"
+    assert html_blocks.main_text(page, html_blocks.Field()).split("\n") == ["one", "two", "three"]
+
+
+def test_deeply_nested_raw_elements():
+    page = "<article><p>one</p>" + "<svg>" * 20_000 + "no" + "</svg>" * 20_000 + "<p>two</p>"
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == ["one", "two"]
+
+
 def test_viterbi_and_marginals_against_all_sequences():
     rng = np.random.default_rng(1)
     field = html_blocks.Field({f"f{i}": rng.normal(size=2).tolist() for i in range(4)}, rng.normal(size=(2, 2)))
