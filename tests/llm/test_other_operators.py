@@ -77,6 +77,40 @@ def test_neighbours_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_neighbours_among_thousands_of_near_copies():
+    rng = np.random.default_rng(5)
+    copies = rng.normal(size=32) + 1e-7 * rng.normal(size=(3000, 32))
+    matrix = np.concatenate([copies, rng.normal(size=(1000, 32))])
+    row = {**neighbours.graph_index(np.arange(4000), matrix), "dim": 32}
+    asked = np.arange(0, 3000, 60)
+    at, hits, _ = neighbours.search_shard(row, asked, matrix[asked], 20, neighbours.BEAM)
+    recall = []
+    for position, q in enumerate(asked):
+        scores = [(-math.fsum((v * matrix[q]).tolist()), i) for i, v in enumerate(matrix) if i != q]
+        best = {i for _, i in sorted(scores)[:20]}
+        recall.append(len(best & set(hits[at == position].tolist())) / 20)
+    assert np.mean(recall) >= 0.8
+
+
+def test_all_of_the_beam_is_scored(monkeypatch):
+    rng = np.random.default_rng(6)
+    matrix = rng.normal(size=16) + 1e-9 * rng.normal(size=(120, 16))
+    row = {**neighbours.graph_index(np.arange(120), matrix), "dim": 16}
+    beam, reached = neighbours.beam_search, []
+
+    def backwards(*args):
+        nodes, values = beam(*args)
+        reached.append(nodes[0])
+        return nodes[:, ::-1], values[:, ::-1]
+
+    monkeypatch.setattr(neighbours, "beam_search", backwards)
+    _, hits, _ = neighbours.search_shard(row, np.array([7]), matrix[[7]], 20, 128)
+    ids = np.frombuffer(row["ids"], "<i8")[reached[-1][reached[-1] >= 0]].tolist()
+    assert sorted(ids) == list(range(120))
+    scores = [(-math.fsum((matrix[i] * matrix[7]).tolist()), i) for i in ids if i != 7]
+    assert hits.tolist() == [i for _, i in sorted(scores)[:20]]
+
+
 def test_no_vectors(points):
     none = points.limit(0)
     assert topk.search(none, vectors.divisible(100)).count() == 0
