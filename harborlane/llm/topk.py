@@ -11,13 +11,16 @@ significant slice downward the k-th largest is found, then the rows not below it
 missing bits can make up for. Only these boundary rows are scored exactly, so results are exact.
 
 Vectors that are null, empty, or hold nulls or non-finite numbers take no part, nor do rows with a
-null id; vectors only meet vectors of their length. Integers stop at +-2**26. A query is not
-its own candidate: rows with its id are left out. Equal scores go to the smaller id; repeated rows
+null id; vectors only meet vectors of their length. Integers have no bound: sums that could leave
+64 bits are made of Python integers, and a score that does leave them has its right rank and is null
+itself. A query is not its own candidate: rows with its id are left out. Equal scores go to the smaller id; repeated rows
 are candidates, and queries, of their own. Fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,11 +29,37 @@ from harborlane.llm.vectors import build, meet, parts_of, usable
 
 SCALE, PLANES = 1024, 7
 ROWS_PER_SHARD, QUERIES_PER_BLOCK = 16_384, 256
-LIMIT = 1 << 26
+#: Up to here all integers are doubles.
+EXACT = 1 << 53
 
 
 def quantised(matrix: np.ndarray, scale: int) -> np.ndarray:
-    return np.clip(np.floor(matrix * scale), -LIMIT, LIMIT).astype(np.int64)
+    """``floor(scale * x)`` as 64-bit integers, or all as Python integers if one is beyond 2**53."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(matrix * scale)
+    if np.abs(scaled).max(initial=0) <= EXACT:
+        return scaled.astype(np.int64)
+    whole = np.empty(matrix.size, object)
+    whole[:] = [
+        int(s) if math.isfinite(s) else math.floor(x) * scale
+        for x, s in zip(matrix.ravel().tolist(), scaled.ravel().tolist())
+    ]
+    return whole.reshape(matrix.shape)
+
+
+def stored_numbers(values: np.ndarray) -> dict:
+    if values.dtype == object:
+        return {"form": "text", "numbers": " ".join(map(str, values.ravel())).encode()}
+    form = "<i4" if np.abs(values).max(initial=0) < 1 << 31 else "<i8"
+    return {"form": form, "numbers": values.astype(form).tobytes()}
+
+
+def read_numbers(row: dict) -> np.ndarray:
+    if row["form"] == "text":
+        found = np.array([int(n) for n in row["numbers"].split()], object)
+    else:
+        found = np.frombuffer(row["numbers"], row["form"])
+    return found.reshape(-1, row["dim"])
 
 
 def bitmaps(flags: np.ndarray) -> np.ndarray:
@@ -45,13 +74,13 @@ def slice_index(ids: np.ndarray, matrix: np.ndarray, scale: int) -> dict:
     values = quantised(matrix, scale)
     above = values - values.min(axis=0)
     lost = max(0, int(above.max()).bit_length() - PLANES)
-    kept = above >> lost
+    kept = (above >> lost).astype(np.int64)
     slices = np.stack([bitmaps((kept.T >> bit & 1).astype(bool)) for bit in range(PLANES)], axis=1)
     return {
         "ids": ids.astype("<i8").tobytes(),
         "lost": lost,
         "slices": slices.tobytes(),
-        "numbers": values.astype("<i4").tobytes(),
+        **stored_numbers(values),
     }
 
 
@@ -120,7 +149,8 @@ def search_shard(row: dict, query_ids: np.ndarray, matrix: np.ndarray, scale: in
     """Positions of the queries, ids and scores of the shard's best for each."""
     dim = row["dim"]
     ids = np.frombuffer(row["ids"], "<i8")
-    numbers = np.frombuffer(row["numbers"], "<i4").reshape(-1, dim)
+    numbers = read_numbers(row)
+    largest = int(np.abs(numbers.astype(object if numbers.dtype == object else np.int64)).max())
     slices = np.frombuffer(row["slices"], "<u8").reshape(dim * PLANES, -1)
     valid = bitmaps(np.ones(len(ids), bool))
     both = np.concatenate([slices, ~slices & valid])
@@ -134,11 +164,19 @@ def search_shard(row: dict, query_ids: np.ndarray, matrix: np.ndarray, scale: in
                 for bit in range(PLANES):
                     columns.setdefault(place + bit, []).append(first + bit)
         eligible = valid & ~bitmaps(ids == query_ids[position])
-        slack = ((1 << lost) - 1) * int(np.abs(weights).sum()) >> lost
+        total = sum(map(abs, weights.tolist()))
+        slack = ((1 << lost) - 1) * total >> lost
         near = boundary(add_slices(both, columns), eligible, top, slack)
         rows = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-        exact = numbers[rows].astype(np.int64) @ weights
-        best = np.lexsort((ids[rows], -exact))[:top]
+        if largest * total < 1 << 63:
+            exact = numbers[rows].astype(np.int64) @ weights.astype(np.int64)
+            best = np.lexsort((ids[rows], -exact))[:top]
+        else:
+            one = weights.tolist()
+            exact = np.empty(len(rows), object)
+            exact[:] = [sum(a * b for a, b in zip(n, one)) for n in numbers[rows].tolist()]
+            order = sorted(range(len(rows)), key=lambda r: (-exact[r], ids[rows[r]]))
+            best = np.array(order[:top], int)
         at.append(np.full(len(best), position))
         found.append(ids[rows[best]])
         scores.append(exact[best])
@@ -153,7 +191,7 @@ def slice_vectors(
     shards = parts_of(rows.count(), ROWS_PER_SHARD)
     index = build(
         rows, shards, lambda ids, matrix: slice_index(ids, matrix, scale),
-        "ids binary, lost bigint, slices binary, numbers binary",
+        "ids binary, lost bigint, slices binary, form string, numbers binary",
     )
     return stored(index, "topk-index"), shards
 

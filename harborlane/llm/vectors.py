@@ -60,6 +60,20 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim)
 
 
+def split_scores(scores: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]]:
+    """Integers as 64-bit ones (none beyond), -1, 0 or 1 for below, within or above them, and for
+    those beyond bytes in their order."""
+    if scores.dtype != object:
+        return scores, [0] * len(scores), [b""] * len(scores)
+    sides = [0 if -(1 << 63) <= s < 1 << 63 else 1 if s > 0 else -1 for s in scores]
+    bytes_ = []
+    for score, side in zip(scores, sides):
+        raw = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big") if side else b""
+        key = len(raw).to_bytes(4, "big") + raw if side else b""
+        bytes_.append(key if side >= 0 else bytes(255 - b for b in key))
+    return [None if side else s for s, side in zip(scores, sides)], sides, bytes_
+
+
 def meet(
     index: DataFrame, queries: DataFrame, shards: int, blocks: int, search: Callable, top: int,
     kind: str,
@@ -68,20 +82,25 @@ def meet(
 
     ``search(index row, ids, matrix)`` gives for a block of queries the positions of queries, the
     ids found and their scores, at least the ``top`` best of the shard for each query. Equal query
-    rows each have their own result.
+    rows each have their own result. Integer scores may be Python integers; one beyond 64 bits has its
+    rank and is null.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "query", "vec_id", "score"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64() if kind == "double" else pa.int64()]
+        if kind == "bigint":
+            names, types = [*names, "side", "beyond"], [*types, pa.int64(), pa.binary()]
         if not len(left) or not len(right):
             return pa.table([pa.array([], t) for t in types], names)
         row = {c: left[c][0].as_py() for c in left.column_names}
         ids = right["vec_id"].to_numpy()
         at, found, score = search(row, ids, matrix(right["vector"], row["dim"]))
-        columns = [ids[at], right["query"].to_numpy()[at], found, score]
+        scores = [score] if kind == "double" else split_scores(score)
+        columns = [ids[at], right["query"].to_numpy()[at], found, *scores]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
 
+    beyond = ", side bigint, beyond binary" if kind == "bigint" else ""
     asked = _dealt(queries, "block", blocks).withColumn("query", F.monotonically_increasing_id())
     met = (
         index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
@@ -90,9 +109,12 @@ def meet(
             asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
             .groupBy(*MEETING)
         )
-        .applyInArrow(run, f"query_id bigint, query bigint, vec_id bigint, score {kind}")
+        .applyInArrow(run, f"query_id bigint, query bigint, vec_id bigint, score {kind}{beyond}")
     )
-    order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    best = [F.desc("score")]
+    if beyond:
+        best = [F.desc("side"), F.desc("score"), F.desc("beyond")]
+    order = W.partitionBy("query_id", "query").orderBy(*best, "vec_id")
     return (
         met.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top)

@@ -53,6 +53,25 @@ def test_topk(points, monkeypatch):
     assert sorted(map(tuple, got)) == brute_search(usable_rows(points, True), 100, 10, score)
 
 
+@pytest.mark.parametrize("size", [1e5, 1e6, 1e9, 1e15, 1e200, 1.7e308])
+def test_topk_of_large_components(spark, size, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_PER_SHARD", 25)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    for i in range(0, 60, 3):
+        rows[i][1][i % 4] = float(size * rng.uniform(-1, 1))
+    rows[0][1][:] = [size, 1.0, -2.0, 0.5]
+    points = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = lambda v: [math.floor(x) * 1024 if abs(x) > 1e300 else math.floor(1024 * x) for x in v]
+    score = lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b)))
+    got = topk.search(points, vectors.divisible(20), top=40).collect()
+    expected = [
+        (q, rank, i, s if -(1 << 63) <= s < 1 << 63 else None)
+        for q, rank, i, s in brute_search(rows, 20, 40, score)
+    ]
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == expected
+
+
 def test_neighbours(points, monkeypatch):
     monkeypatch.setattr(neighbours, "ROWS_PER_SHARD", 150)
     score = lambda a, b: math.fsum(x * y for x, y in zip(a, b))
