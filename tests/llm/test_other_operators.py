@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tokenizers import Tokenizer
+
 from harborlane.llm import html_blocks, neighbours, queries, topk, vectors, warc
 from harborlane.llm.common import table
-from tests.llm.test_text_operators import brute_components, brute_fingerprint, brute_lines
+from tests.llm.test_text_operators import (
+    VOCABULARY, brute_components, brute_fingerprint, brute_lines, brute_targets,
+)
 
 
 @pytest.fixture(scope="module")
@@ -419,3 +426,86 @@ def test_stages_against_brute_force(spark, folder):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def brute_copies(rows, slot_words=128):
+    """How often the mix takes each (doc_id, text, source)."""
+    streams = defaultdict(list)
+    for doc_id, text, source in rows:
+        content = hashlib.md5((text or "").encode()).hexdigest()
+        order = hashlib.md5(f"17:{doc_id}:{content}".encode()).hexdigest()
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        streams[source].append((order, words, doc_id))
+    sizes = {source: sum(words for _, words, _ in own) for source, own in streams.items()}
+    total, goals = sum(sizes.values()), brute_targets(sizes)
+    slots = 1
+    while slots * slot_words < total:
+        slots *= 2
+    # The van der Corput points k / slots, each for the source whose share it is in.
+    names, high, share = [], 0.0, sum(goals.values())
+    for source in sorted(goals, key=lambda s: (s is None, s or "")):
+        high += goals[source] / share
+        names.append((high, source))
+    counts = Counter(next((s for h, s in names if k / slots < h - 1e-9), names[-1][1]) for k in range(slots))
+    copies = {}
+    for source, own in streams.items():
+        left = counts[source] * total // slots
+        taken = Counter()
+        for _ in range(3):
+            for _, words, doc_id in sorted(own):
+                some = min(words, left)
+                taken[doc_id] += some
+                left -= some
+        for _, words, doc_id in own:
+            copies[doc_id] = math.floor(taken[doc_id] / words + 0.5) if words else 0
+    return copies
+
+
+def test_mixing_stage_against_brute_force(spark, folder):
+    docs = table(spark, folder, "documents")
+    expected = brute_copies([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder)
+    got = Counter(map(tuple, mixed.collect()))
+    own = {r.doc_id: tuple(r) for r in docs.collect()}
+    assert got == Counter({own[i]: n for i, n in expected.items() if n})
+    assert len(set(expected.values())) > 2
+
+
+def without_shared_lines(texts):
+    """The texts without the lines that ten of them share."""
+    upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(upper)
+    split = [text.split("\n") for text in texts]
+    seen = Counter(k for lines in split for k in set(map(key, lines)) if k)
+    return ["\n".join(line for line in lines if seen[key(line)] < 10) for lines in split]
+
+
+def test_run_against_brute_force(spark, folder):
+    docs = table(spark, folder, "documents")
+    # Which documents have a language, the rows that are kept, and the texts without shared lines.
+    rows = [r for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")]
+    identified = corpus_pipeline.identify_language(spark, docs, folder).collect()
+    assert Counter(map(tuple, identified)) == Counter(map(tuple, rows))
+    texts = without_shared_lines([r.text for r in rows])
+    alone = [(r.doc_id, r.lang, r.source, text) for r, text in zip(rows, texts)]
+    prints = {i: brute_fingerprint(text) for i, _, _, text in alone}
+    roots = brute_components(prints.values(), 2)
+    smallest = {}
+    for i, p in prints.items():
+        smallest[roots[p]] = min(i, smallest.get(roots[p], i))
+    kept = [row for row in alone if row[0] in set(smallest.values())]
+    copies = brute_copies([(i, text, source) for i, _, source, text in kept])
+    library = Tokenizer.from_str(VOCABULARY)
+    expected = Counter()
+    for i, lang, source, text in kept:
+        ids = library.encode(text, add_special_tokens=False).ids
+        if copies[i]:
+            digest = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+            decoded = library.decode(ids, skip_special_tokens=False)
+            text_digest = hashlib.sha256(decoded.encode()).hexdigest()
+            expected[i, lang, source, tuple(ids), len(ids), digest, text_digest] += copies[i]
+    got = Counter(
+        (r.doc_id, r.lang, r.source, tuple(r.ids), r.n_tokens, r.ids_sha256, r.decoded_sha256)
+        for r in corpus_pipeline.run(spark, folder).collect()
+    )
+    assert got == expected
