@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harborlane import session
 from harborlane.llm import (
-    bpe, html_blocks, language, line_dedup, mixing, neighbours, simhash, topk, toxicity, warc,
+    bpe, html_blocks, language, licenses, line_dedup, mixing, neighbours, simhash, topk, toxicity,
+    warc,
 )
 from harborlane.llm.common import LOWER, UPPER, held_out, table
 from harborlane.llm.vectors import divisible
@@ -109,15 +110,71 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    base = F.filter("places", lambda place: place["phrase"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(places["label"])), ",")
+    return licenses.scan(docs, ["doc_id"]).withColumn("base", base).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        labels(F.col("base")).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_toxicity, op2_line_dedup, op3_topk, op4_warc, op5_bpe, op6_simhash, op7_html,
-        op8_mixing, op9_neighbours, op10_language,
+        op8_mixing, op9_neighbours, op10_language, op12_licenses,
     )
 }
 
+
+def licenses_sql() -> str:
+    """Phrases by the positions of their words, templates as regular expressions."""
+    starts, found, weights, labels = [], [], [], []
+    for k, form in enumerate(licenses.forms()):
+        if form.phrase:
+            places = " and ".join(f"w[i + {n}] = '{word}'" for n, word in enumerate(form.parts))
+            starts.append(f"list_filter(range(1, len(w) + 1), lambda i: {places}) as p{k}")
+            here = f"len(p{k}) > 0"
+        else:
+            here = f"f{k}"
+            found.append(f"regexp_matches(joined, '{licenses.pattern(form)}') as f{k}")
+        weights.append(f"case when {here} then {form.mandatory} else 0 end")
+        labels.append((form.phrase, f"case when {here} then ['{form.label}'] else [] end"))
+    joined = lambda lists: (
+        f"array_to_string(list_sort(list_distinct(flatten([{', '.join(lists)}]))), ',')"
+    )
+    every = f"flatten([{', '.join(s.split(' as ')[1] for s in starts)}])"
+    return f"""
+        with d as (
+            select doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{licenses.WORD}') as w
+            from documents
+        ), j as (
+            select *, ' ' || array_to_string(w, ' ') || ' ' as joined from d
+        ), p as (
+            select doc_id, len(w) as n, {', '.join(starts + found)} from j
+        )
+        select doc_id, n::bigint as n_words, len({every})::bigint as n_base,
+               (list_min({every}) - 1)::bigint as first_word,
+               (list_max({every}) - 1)::bigint as last_word,
+               {joined([x for phrase, x in labels if phrase])} as base_labels,
+               {joined([x for _, x in labels])} as labels,
+               case when n = 0 then 0.0
+                    else least(1.0, ({' + '.join(weights)})::double / n) end::double as score
+        from p
+    """
+
+
 ORACLES = {
+    "op12_licenses": licenses_sql(),
     "op2_line_dedup": f"""
         with docs as (
             select row_number() over () as r, doc_id,
