@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harborlane import session
 from harborlane.llm import (
-    bpe, html_blocks, language, licenses, line_dedup, mixing, neighbours, simhash, topk, toxicity,
-    warc,
+    bpe, conversations, html_blocks, language, lexical, licenses, line_dedup, mixing, neighbours, simhash, topk,
+    toxicity, warc,
 )
 from harborlane.llm.common import LOWER, UPPER, held_out, table
+from harborlane.llm.conversation_sql import repair_sql
 from harborlane.llm.vectors import divisible
 
 VOCABULARY = "word_bpe_49k.json"
@@ -110,6 +111,11 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversations.damaged(table(spark, folder, "conversations"))
+    return conversations.digests(turns, conversations.audits(turns))
+
+
 def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     base = F.filter("places", lambda place: place["phrase"])
@@ -126,11 +132,19 @@ def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return lexical.search(docs.select("doc_id", "text"), items, top=10).select(
+        "item.item_id", "rank", "doc_id", "score"
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_toxicity, op2_line_dedup, op3_topk, op4_warc, op5_bpe, op6_simhash, op7_html,
-        op8_mixing, op9_neighbours, op10_language, op12_licenses,
+        op8_mixing, op9_neighbours, op10_language, op11_repair,
+        op12_licenses, op13_lexical,
     )
 }
 
@@ -174,6 +188,40 @@ def licenses_sql() -> str:
 
 
 ORACLES = {
+    "op11_repair": repair_sql(),
+    "op13_lexical": f"""
+        with docs as (
+            select row_number() over () as r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{lexical.TERM}') as terms
+            from documents
+        ), items as (
+            select row_number() over () as number, item_id, unnest(list_distinct(regexp_extract_all(
+                translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{lexical.TERM}'))) as term
+            from benchmark
+        ), totals as (
+            select count(*) as n_docs, sum(len(terms))::bigint as n_terms
+            from docs where len(terms) > 0
+        ), held as (
+            select r, doc_id, n, term, count(*) as tf
+            from (select r, doc_id, len(terms) as n, unnest(terms) as term from docs)
+            where term in (select term from items)
+            group by all
+        ), weights as (
+            select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w
+            from held, totals group by term, n_docs
+        ), scored as (
+            select number, item_id, r, doc_id, sum(
+                w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))
+            )::bigint as score
+            from held join weights using (term) join items using (term), totals
+            group by number, item_id, r, doc_id
+        )
+        select item_id, row_number() over (
+                   partition by number order by score desc, doc_id nulls last)::int as rank,
+               doc_id, score
+        from scored where score > 0
+        qualify rank <= 10
+    """,
     "op12_licenses": licenses_sql(),
     "op2_line_dedup": f"""
         with docs as (
