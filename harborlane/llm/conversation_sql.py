@@ -74,8 +74,6 @@ def repair_sql() -> str:
             select *, substr(role, 1, 1) as kind,
                    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare,
                    row_number() over w as i,
-                   row_number() over (partition by conv_id, role, text
-                                      order by turn nulls first) > 1 as again,
                    lag(substr(role, 1, 1)) over w as before
             from damaged
             window w as (partition by conv_id
@@ -83,7 +81,9 @@ def repair_sql() -> str:
         ), judged as (
             select *, bare = '' as blank, bare <> '' and again as duplicate,
                    bare <> '' and not again and right(bare, 1) not in ('.', '!', '?') as cut
-            from placed
+            from (select *, row_number() over (partition by conv_id, role, text order by i) > 1
+                            as again
+                  from placed)
         ), turns as (
             select *, blank or duplicate as gone, case when cut then 3 else 0 end as more
             from judged
