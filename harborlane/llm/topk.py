@@ -28,7 +28,7 @@ from harborlane.llm.common import stored
 from harborlane.llm.vectors import build, meet, parts_of, usable
 
 SCALE, PLANES = 1024, 7
-ROWS_PER_SHARD, QUERIES_PER_BLOCK = 16_384, 256
+ROWS_PER_SHARD = 16_384
 #: Up to here all integers are doubles.
 EXACT = 1 << 53
 
@@ -207,8 +207,7 @@ def search(
     """(query_id, rank, vec_id, score) for the rows with ``is_query``, a condition on ``vec_id``."""
     index, shards = slice_vectors(vectors, vec_id, vector, scale)
     queries = usable(vectors, vec_id, vector).where(is_query)
-    blocks = parts_of(queries.count(), QUERIES_PER_BLOCK)
     return meet(
-        index, queries, shards, blocks,
+        index, queries, shards,
         lambda row, ids, matrix: search_shard(row, ids, matrix, scale, top), top, "bigint",
     )

@@ -1,8 +1,8 @@
 """What the two vector searches share: which vectors take part, shards, and the merge of results.
 
 A search index is built shard by shard, and a shard has a bounded number of rows. Queries come in
-blocks of bounded size; every block meets every shard once, and the best of each meeting are merged
-per query. Vectors only meet vectors of the same length.
+blocks about as large as a shard; every block meets every shard once, and the best of each meeting are
+merged per query. So a shard is sent once for some ``QUERIES_PER_BLOCK`` queries. Vectors only meet vectors of the same length.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+QUERIES_PER_BLOCK = 16_384
+
 #: Key of a shard, and of a meeting of a shard with a block of queries.
 SHARD = ["dim", "shard"]
 MEETING = [*SHARD, "block"]
@@ -75,8 +77,7 @@ def split_scores(scores: np.ndarray) -> tuple[np.ndarray, list[int], list[bytes]
 
 
 def meet(
-    index: DataFrame, queries: DataFrame, shards: int, blocks: int, search: Callable, top: int,
-    kind: str,
+    index: DataFrame, queries: DataFrame, shards: int, search: Callable, top: int, kind: str
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` best of each query over all shards.
 
@@ -101,6 +102,9 @@ def meet(
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     beyond = ", side bigint, beyond binary" if kind == "bigint" else ""
+    # At least a meeting for each core, however few shards there are.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(parts_of(queries.count(), QUERIES_PER_BLOCK), parts_of(cores, shards))
     asked = _dealt(queries, "block", blocks).withColumn("query", F.monotonically_increasing_id())
     met = (
         index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
