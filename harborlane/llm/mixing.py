@@ -1,11 +1,17 @@
 """Mixing of sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of ``2**k`` slots of equal size in words. Slot ``i`` belongs to the source in
-whose share of the cumulative weights the van der Corput point of ``i`` (its bits reversed) falls,
-so every stretch of the mix holds the sources nearly in their target proportions, and the number of
-slots of a source is within one of its exact share. Slots are ranked per source; a source's
-documents, shuffled by a hash, form an endless stream of words that is cut into blocks of one slot's
-size, and the slot of rank ``r`` takes block ``r``.
+The mix is a sequence of ``2**k`` slots. Slot ``i`` belongs to the source in whose share of the
+cumulative weights the van der Corput point of ``i`` (its bits reversed) falls, so every stretch of the
+mix holds the sources nearly in their target proportions, and the number of slots of a source is within
+one of its exact share. Slots have at most ``slot_words`` words until there are ``2**30`` of them; beyond
+that they grow. A source whose share is below ``LEAST_SLOTS`` of them uses points of more bits, as many
+as give it that many, and its slots lie between the others: however small, it has slots as far apart as
+its share allows. Shares are whole words and points are counted in integers, so no rounding loses one.
+
+Slots are ranked per source. A source's documents, shuffled by a hash, form an endless stream of words;
+the words due to it, its target rounded, are cut from the stream into as many equal blocks as it has
+slots, and the slot of rank ``r`` takes block ``r``. So a source gives its target to the word, whatever
+the size of slots.
 
 ``targets`` shares all words out by weight (1, 2, 3, 1, ... in code-point order of the names, a null
 name last), no source above ``max_passes`` times its words; what is cut off is shared again among
@@ -14,8 +20,9 @@ the rest until nobody is above.
 ``schedule`` gives the slots, ``pieces`` what part of which document a block holds, ``mix`` the words
 taken per document. Only DataFrame operations are used. No window runs over a whole source: ranks
 and stream offsets are numbered in ranges and shifted by the sums of the ranges before. A null text
-has no words; a document without words, and a table without any, takes nothing. Repeated rows are
-documents of their own. Equal rows may stand in either order, so reruns give the same rows.
+has no words; a document without words, and a table without any, takes nothing; a target below half a
+word is none. Repeated rows are documents of their own. Equal rows may stand in either order, so reruns
+give the same rows.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from harborlane.llm.common import stored
 
 SLOT_WORDS = 128
 MAX_SLOT_BITS = 30
+#: A source has at least so many slots, of more bits if need be.
+LEAST_SLOTS = 4
 MAX_PASSES = 3
 CYCLE = 3
 SEED = 17
@@ -51,7 +60,8 @@ def source_sizes(docs: DataFrame, source: str, size: str) -> DataFrame:
 
 
 def targets(sources: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
-    """Add ``target``: words due to each source, and ``low``, ``high``: its part of [0, 1).
+    """Add ``target``: words due to each source; ``due``, the same in whole words; and ``low``, ``high``:
+    its part of all words due, which are ``total``.
 
     A source is full if its limit per weight is at most the level all others reach. In the order
     of limit per weight the full ones come first, so the level follows from running sums; ``place``
@@ -82,16 +92,17 @@ def targets(sources: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     target = F.when(
         F.col("full") | F.col("shared").isNull(), F.col("limit")
     ).otherwise(F.col("shared") * F.col("weight"))
-    share = F.try_divide("target", "all_targets")
+    # The last digits depend on the order of sums; halves of a word shall not.
+    due = F.floor(F.round("target", 6) + 0.5)
     return (
         ranked.withColumn("shared", shared)
         .withColumn("target", target)
-        .withColumn("all_targets", F.sum("target").over(whole))
-        .withColumn("high", F.sum(share).over(by_place))
-        .withColumn("low", F.coalesce(F.lag("high").over(W.orderBy("place")), zero))
+        .withColumn("due", due)
+        .withColumn("all_due", F.sum("due").over(whole))
+        .withColumn("high", F.sum("due").over(by_place))
         .select(
-            "source", "source_size", "place", "weight", "target", "low",
-            F.coalesce("high", zero).alias("high"), F.col("total").cast("bigint").alias("total"),
+            "source", "source_size", "place", "weight", "target", "due",
+            (F.col("high") - F.col("due")).alias("low"), "high", F.col("all_due").alias("total"),
         )
     )
 
@@ -102,16 +113,54 @@ def slot_bits(total: Column, slot_words: int) -> Column:
     return F.least(F.greatest(wanted, F.lit(0)), F.lit(MAX_SLOT_BITS)).cast("int")
 
 
+def with_slots(goals: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
+    """Add to each source ``common``, the bits of the mix's slots, ``bits``, those of its own, and the
+    numerators ``first`` to before ``end`` of its points; there are ``slots`` of them.
+
+    A share of ``due`` of ``total`` words has at least floor(due * 2**bits / total) points.
+    """
+    total, due = (F.greatest(F.col(c), F.lit(1)) for c in ("total", "due"))
+    finer = F.ceil(F.log2(LEAST_SLOTS * total / due)).cast("int")
+
+    def edge(words: str) -> Column:
+        """ceil(words * 2**bits / total): words < 2**58 and bits <= 62 stay below 38 digits."""
+        ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits"))
+        points = F.col(words).cast("decimal(19,0)") * ones.cast("decimal(19,0)")
+        whole = total.cast("decimal(38,0)")
+        return F.call_function("div", points + whole - 1, whole)
+
+    return (
+        goals.withColumn("common", slot_bits(F.col("total"), slot_words))
+        .withColumn("bits", F.least(F.greatest(F.col("common"), finer), F.lit(62)))
+        .withColumn("first", edge("low"))
+        .withColumn("end", edge("high"))
+        .withColumn("slots", F.col("end") - F.col("first"))
+    )
+
+
 def reversed_bits(value: Column, bits: Column) -> Column:
-    """The lowest ``bits`` bits of a value below 2**32, in reverse order."""
-    for shift, mask in (
-        (1, 0x55555555), (2, 0x33333333), (4, 0x0F0F0F0F), (8, 0x00FF00FF), (16, 0x0000FFFF),
-    ):
-        mask = F.lit(mask).cast("bigint")
-        value = F.shiftleft(value.bitwiseAND(mask), shift).bitwiseOR(
-            F.shiftright(value, shift).bitwiseAND(mask)
+    """The lowest ``bits`` bits of a value below 2**62, in reverse order."""
+
+    def half(value: Column) -> Column:
+        for shift, mask in (
+            (1, 0x55555555), (2, 0x33333333), (4, 0x0F0F0F0F), (8, 0x00FF00FF), (16, 0x0000FFFF),
+        ):
+            mask = F.lit(mask).cast("bigint")
+            value = F.shiftleft(value.bitwiseAND(mask), shift).bitwiseOR(
+                F.shiftright(value, shift).bitwiseAND(mask)
+            )
+        return value
+
+    low = half(value.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+    high = half(F.shiftright(value, 32))
+    # All 64 bits reversed would be low, high; the sign bit is unused, so they are shifted apart.
+    return F.when(
+        bits <= 32, F.call_function("shiftright", low, F.lit(32) - bits)
+    ).otherwise(
+        F.call_function("shiftleft", low, bits - 32).bitwiseOR(
+            F.call_function("shiftright", high, F.lit(64) - bits)
         )
-    return F.call_function("shiftright", value, F.lit(32) - bits)
+    )
 
 
 def _before(df: DataFrame, keys: list[str], part: str, amount: Column) -> DataFrame:
@@ -123,27 +172,26 @@ def _before(df: DataFrame, keys: list[str], part: str, amount: Column) -> DataFr
     )
 
 
-def schedule(goals: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
-    """(slot, place, rank): every slot of the mix, its source and its rank among that source's.
+def schedule(goals: DataFrame) -> DataFrame:
+    """(slot, inner, place, rank): every slot of the mix, its source and its rank among that source's.
+
+    ``goals`` come from ``with_slots``.
 
-    A source's points are the multiples of 2**-k in its share, so its slots are the reversed bits of
+    ``slot`` counts the common slots; those of small sources have the number of the common slot they
+    lie behind, and ``inner`` says how far, in parts of a slot.
+
+    A source's points are the multiples of 2**-bits in its share, so its slots are the reversed bits of
     their numerators. They are listed a range of the numerators at a time, so a source with a third
     of all slots is many rows, not one long one.
     """
-    bits = slot_bits(F.col("total"), slot_words)
-    count = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits"))
-    # A sum of shares may end a rounding error away from 1.
-    edge = lambda c: F.ceil(F.round(F.col(c) * F.col("slots"), 6)).cast("bigint")
     step = 1 << SLOTS_PER_RANGE_BITS
     ranges = (
-        goals.withColumn("bits", bits)
-        .withColumn("slots", count)
-        .withColumn("first", edge("low"))
-        .withColumn("end", F.least(edge("high"), F.col("slots")))
-        .where((F.col("end") > F.col("first")) & (F.col("total") > 0))
-        .select("place", "bits", "first", "end")
+        goals.where(F.col("slots") > 0)
+        .select("place", "bits", "common", "first", "end")
         .withColumn("range", F.explode(F.expr(f"sequence(first div {step}, (end - 1) div {step})")))
     )
+    time = reversed_bits(F.col("point"), F.col("bits"))
+    extra = F.col("bits") - F.col("common")
     slots = (
         ranges.repartition("place", "range")
         .withColumn(
@@ -154,22 +202,25 @@ def schedule(goals: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
                 )
             ),
         )
-        .select("place", reversed_bits(F.col("point"), F.col("bits")).alias("slot"))
+        .withColumn("time", time)
+        .withColumn("slot", F.call_function("shiftright", F.col("time"), extra))
         .withColumn("stretch", F.expr(f"slot div {step}"))
+        .withColumn("inner", F.col("time") / F.pow(F.lit(2.0), extra) - F.col("slot"))
+        .select("place", "slot", "inner", "stretch", "time")
     )
     offsets = _before(slots, ["place"], "stretch", F.count(F.lit(1)))
-    inside = F.row_number().over(W.partitionBy("place", "stretch").orderBy("slot")) - 1
+    inside = F.row_number().over(W.partitionBy("place", "stretch").orderBy("time")) - 1
     return (
         slots.withColumn("_inside", inside)
         # The few sources the slots come from look small enough to broadcast; the slots are not.
         .hint("merge")
         .join(offsets, ["place", "stretch"])
-        .select("slot", "place", (F.col("_before") + F.col("_inside")).alias("rank"))
+        .select("slot", "inner", "place", (F.col("_before") + F.col("_inside")).alias("rank"))
     )
 
 
 def streams(sized: DataFrame, goals: DataFrame) -> DataFrame:
-    """Add to each document its source's ``place``, sizes and ``total``, its ``part`` and ``turn``
+    """Add to each document its source's ``place``, size, target and ``slots``, its ``part`` and ``turn``
     in the source's shuffled order, and ``start``, the words of the source before it.
 
     ``sized`` has ``source``, ``size`` and ``order``, a hash in hexadecimal digits. A part is a range
@@ -181,7 +232,7 @@ def streams(sized: DataFrame, goals: DataFrame) -> DataFrame:
     placed = (
         sized.join(
             goals.select(
-                F.col("source").alias("_source"), "place", "source_size", "target", "total"
+                F.col("source").alias("_source"), "place", "source_size", "target", "due", "slots"
             ),
             F.col("source").eqNullSafe(F.col("_source")),
         )
@@ -199,42 +250,31 @@ def streams(sized: DataFrame, goals: DataFrame) -> DataFrame:
     )
 
 
-def _block_edge(rank: Column, total: Column, bits: Column) -> Column:
-    """floor(rank * total / 2**bits), without leaving 64 bits: rank <= 2**30, total < 2**60."""
-    shifted = F.call_function("shiftright", total, bits)
-    rest = total - F.call_function("shiftleft", shifted, bits)
-    return rank * shifted + F.call_function("shiftright", rank * rest, bits)
-
-
-def pieces(
-    placed: DataFrame, slot_words: int = SLOT_WORDS, max_passes: int = MAX_PASSES
-) -> DataFrame:
+def pieces(placed: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     """One row per document, pass through its source, and block the document has words in then.
 
-    ``rank`` is the block, ``words`` the number of words in it. Blocks beyond what the source can be
-    asked for are left out.
+    ``rank`` is the block, ``words`` the number of words in it; block ``r`` of ``n`` ends before the
+    word ``floor((r + 1) * due / n)`` of the source's stream.
     """
-    bits = slot_bits(F.col("total"), slot_words)
-    slots = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits"))
-    # Each a block wider than the exact place, so that rounding never hides one.
-    per_word = F.col("slots") / F.col("total").cast("double")
-    asked = F.ceil(F.col("target") * per_word) + 1
+    # A block wider than the exact place on either side, so that rounding never hides one.
+    per_word = F.col("slots") / F.greatest(F.col("due"), F.lit(1)).cast("double")
     first = F.greatest(F.floor(F.col("from") * per_word) - 1, F.lit(0))
-    last = F.least(F.ceil(F.col("to") * per_word), asked)
+    last = F.least(F.ceil(F.col("to") * per_word), F.col("slots") - 1)
 
     def piece(rank: Column) -> Column:
-        begin = _block_edge(rank, F.col("total"), F.col("bits"))
-        end = _block_edge(rank + 1, F.col("total"), F.col("bits"))
-        words = F.least(F.col("to"), end) - F.greatest(F.col("from"), begin)
+        def edge(rank: Column) -> Column:
+            words = rank.cast("decimal(19,0)") * F.col("due").cast("decimal(19,0)")
+            return F.call_function("div", words, F.col("slots").cast("decimal(38,0)"))
+
+        words = F.least(F.col("to"), edge(rank + 1)) - F.greatest(F.col("from"), edge(rank))
         return F.struct(rank.alias("rank"), words.alias("words"))
 
     return (
         placed.where(F.col("size") > 0)
-        .withColumn("bits", bits)
-        .withColumn("slots", slots)
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))))
         .withColumn("from", F.col("start") + F.col("pass") * F.col("source_size"))
         .withColumn("to", F.col("from") + F.col("size"))
+        .where(F.col("from") < F.col("due"))
         .withColumn("first", first.cast("bigint"))
         .withColumn("last", last.cast("bigint"))
         .where(F.col("first") <= F.col("last"))
@@ -242,7 +282,7 @@ def pieces(
         .withColumn("_piece", piece(F.col("rank")))
         .withColumn("words", F.col("_piece.words"))
         .where(F.col("words") > 0)
-        .drop("bits", "slots", "pass", "from", "to", "first", "last", "_piece")
+        .drop("slots", "pass", "from", "to", "first", "last", "_piece")
     )
 
 
@@ -255,8 +295,9 @@ def mix(
     max_passes: int = MAX_PASSES,
     seed: int = SEED,
 ) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target of its source, words taken, and
-    ``order``, the hash it is shuffled by (``order_hash`` of its id and text)."""
+    """Per document: doc_id, size, source, source_size, target of its source, words taken, ``start``,
+    the words of its source before it, and ``order``, the hash it is shuffled by (``order_hash`` of
+    its id and text)."""
     sized = stored(
         docs.select(
             F.col(doc_id).alias("doc_id"),
@@ -266,20 +307,40 @@ def mix(
         ),
         "mix-sizes",
     )
-    goals = stored(targets(source_sizes(sized, "source", "size"), max_passes), "mix-targets")
+    sources = targets(source_sizes(sized, "source", "size"), max_passes)
+    goals = stored(with_slots(sources, slot_words), "mix-targets")
     placed = stored(streams(sized, goals), "mix-streams")
     row = ["place", "part", "turn"]
     taken = (
-        pieces(placed, slot_words, max_passes)
+        pieces(placed, max_passes)
         .select(*row, "rank", "words")
         .hint("merge")
-        .join(schedule(goals, slot_words).select("place", "rank"), ["place", "rank"])
+        .join(schedule(goals).select("place", "rank"), ["place", "rank"])
         .groupBy(*row)
         .agg(F.sum("words").alias("words"))
     )
     return placed.join(taken, row, "left").select(
         "doc_id", "size", "source", "source_size", "target",
-        F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"), "order",
+        F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"), "start", "order",
+    )
+
+
+def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes their words, to the nearest whole number; at least
+    once a source's first document, if any of it is taken."""
+    first = (F.col("start") == 0) & (F.col("taken") > 0)
+    times = F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int")
+    often = (
+        mix(docs, doc_id, text, source)
+        .groupBy(F.col("order").alias("_order"))
+        .agg(F.greatest(times, F.max(first).cast("int")).alias("_copies"))
+        .where(F.col("_copies") > 0)
+    )
+    rows = docs.select(F.struct("*").alias("row"), order_hash(F.col(doc_id), F.col(text)).alias("key"))
+    return (
+        rows.join(often, F.col("key") == F.col("_order"))
+        .select("row", F.explode(F.sequence(F.lit(1), "_copies")))
+        .select("row.*")
     )
 
 

@@ -305,29 +305,19 @@ ORACLES = {
             select *, case when most <= level * weight or everyone is null then most
                            else everyone * weight end::double as target
             from shared
-        ), edges as (
-            select *, sum(target) over (order by place) / nullif(sum(target) over (), 0) as high,
-                   (1::bigint << least(greatest(ceil(log2(greatest(total, 1) / 128.0)), 0), 30)::int
-                   ) as slots
-            from targets
-        ), counts as (
-            select source, source_size, target, total, slots,
-                   least(ceil(round(coalesce(high, 0) * slots, 6)), slots)
-                   - ceil(round(coalesce(lag(high) over (order by place), 0) * slots, 6)) as n
-            from edges
         ), placed as (
-            select d.doc_id, d.size, c.source_size, c.target,
-                   floor(c.n::hugeint * c.total::hugeint // c.slots::hugeint) as upto,
+            select d.doc_id, d.size, t.source_size, t.target,
+                   floor(round(t.target, 6) + 0.5)::bigint as due,
                    sum(d.size) over (partition by d.source order by d.ord, d.size
                                      rows between unbounded preceding and current row)
                    - d.size as start
-            from docs d join counts c on d.source is not distinct from c.source
+            from docs d join targets t on d.source is not distinct from t.source
         )
         select doc_id, size::bigint as size, source_size::bigint as source_size,
                round(target, 6) as target,
-               (greatest(0, least(start + size, upto) - start)
-                + greatest(0, least(source_size + start + size, upto) - (source_size + start))
-                + greatest(0, least(2 * source_size + start + size, upto)
+               (greatest(0, least(start + size, due) - start)
+                + greatest(0, least(source_size + start + size, due) - (source_size + start))
+                + greatest(0, least(2 * source_size + start + size, due)
                               - (2 * source_size + start)))::bigint as taken
         from placed
     """,

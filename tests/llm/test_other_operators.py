@@ -7,6 +7,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -53,7 +54,7 @@ def brute_search(rows, by, top, score):
 
 def test_topk(points, monkeypatch):
     monkeypatch.setattr(topk, "ROWS_PER_SHARD", 100)
-    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 3)
+    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", 3)
     whole = lambda v: [math.floor(1024 * x) for x in v]
     score = lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b)))
     got = topk.search(points, vectors.divisible(100), top=10).collect()
@@ -103,6 +104,65 @@ def test_neighbours_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def lengthened(kind, count):
+    rng = np.random.default_rng(1)
+    if kind == "unit":
+        matrix = rng.normal(size=(count, 256))
+        return matrix / np.linalg.norm(matrix, axis=1)[:, None]
+    if kind == "gaussian":
+        return rng.normal(size=(count, 256))
+    matrix = rng.normal(size=(count, 64))
+    return matrix * np.exp(rng.normal(size=count))[:, None] * (1e-140 if kind == "tiny" else 1)
+
+
+@pytest.mark.parametrize("kind", ["unit", "gaussian", "log-normal", "tiny"])
+def test_recall_whatever_the_lengths(kind):
+    matrix = lengthened(kind, 8000)
+    row = {**neighbours.graph_index(np.arange(len(matrix)), matrix), "dim": matrix.shape[1]}
+    asked = np.arange(0, len(matrix), 40)
+    at, hits, _ = neighbours.search_shard(row, asked, matrix[asked], 20)
+    own, _ = neighbours.scaled(matrix)
+    recall = []
+    for position, q in enumerate(asked):
+        value = own @ own[q]
+        value[q] = -np.inf
+        best = set(np.argsort(-value)[:20].tolist())
+        recall.append(len(best & set(hits[at == position].tolist())) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
+
+
+def test_beam_is_widened(monkeypatch):
+    monkeypatch.setattr(neighbours, "BEAM", 4)
+    monkeypatch.setattr(neighbours, "ENOUGH", 1.0)
+    made = neighbours.graph_index(np.arange(3000), lengthened("gaussian", 3000))
+    assert 64 <= made["beam"] <= neighbours.WIDEST
+
+
+@pytest.mark.parametrize("size", [1e160, 1e200, 1.7e308, 1e-300])
+def test_neighbours_with_very_large_components(spark, size):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    for i in (7, 40, 60):
+        rows[i][1][i % 4] = size if i < 60 else -size
+    rows[90][1][:] = [size, -size, 1.0, 2.0]
+    points = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+
+    def score(a, b):
+        try:
+            return math.fsum(x * y for x, y in zip(a, b))
+        except (OverflowError, ValueError):
+            exact = sum(Fraction(x) * Fraction(y) for x, y in zip(a, b))
+            return float(exact) if abs(exact) < 1 << 1024 else (math.inf if exact > 0 else -math.inf)
+
+    got = sorted(map(tuple, neighbours.search(points, vectors.divisible(20), top=20).collect()))
+    expected = brute_search(rows, 20, 20, score)
+    assert len(got) == len(expected) == 6 * 20
+    assert len(set(got) & set(expected)) >= 0.95 * len(expected)
+    huge = rng.uniform(-1, 1, size=(30, 4)) * 1.7e308
+    all_huge = spark.createDataFrame(list(enumerate(huge.tolist())), "vec_id bigint, embedding array<double>")
+    assert neighbours.search(all_huge, vectors.divisible(20), top=20).count() == 40
+
+
 def test_neighbours_among_thousands_of_near_copies():
     rng = np.random.default_rng(5)
     copies = rng.normal(size=32) + 1e-7 * rng.normal(size=(3000, 32))
@@ -428,7 +488,7 @@ def test_run(spark, folder):
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
 
 
-def brute_copies(rows, slot_words=128):
+def brute_copies(rows):
     """How often the mix takes each (doc_id, text, source)."""
     streams = defaultdict(list)
     for doc_id, text, source in rows:
@@ -436,28 +496,21 @@ def brute_copies(rows, slot_words=128):
         order = hashlib.md5(f"17:{doc_id}:{content}".encode()).hexdigest()
         words = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
         streams[source].append((order, words, doc_id))
-    sizes = {source: sum(words for _, words, _ in own) for source, own in streams.items()}
-    total, goals = sum(sizes.values()), brute_targets(sizes)
-    slots = 1
-    while slots * slot_words < total:
-        slots *= 2
-    # The van der Corput points k / slots, each for the source whose share it is in.
-    names, high, share = [], 0.0, sum(goals.values())
-    for source in sorted(goals, key=lambda s: (s is None, s or "")):
-        high += goals[source] / share
-        names.append((high, source))
-    counts = Counter(next((s for h, s in names if k / slots < h - 1e-9), names[-1][1]) for k in range(slots))
+    goals = brute_targets({source: sum(words for _, words, _ in own) for source, own in streams.items()})
     copies = {}
     for source, own in streams.items():
-        left = counts[source] * total // slots
+        left = math.floor(round(goals[source], 6) + 0.5)
         taken = Counter()
         for _ in range(3):
             for _, words, doc_id in sorted(own):
                 some = min(words, left)
                 taken[doc_id] += some
                 left -= some
+        first = next((doc_id for _, words, doc_id in sorted(own) if words), None)
         for _, words, doc_id in own:
             copies[doc_id] = math.floor(taken[doc_id] / words + 0.5) if words else 0
+            if doc_id == first and taken[doc_id]:
+                copies[doc_id] = max(1, copies[doc_id])
     return copies
 
 
@@ -471,6 +524,13 @@ def test_mixing_stage_against_brute_force(spark, folder):
     assert len(set(expected.values())) > 2
 
 
+def test_no_small_source_loses_all_its_documents(spark):
+    rows = [(i, "w " * 40, "en", f"s{i:03}", 80) for i in range(300)] + [(999, None, None, "s999", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.mix_sources(spark, docs, None)
+    assert {r.source for r in kept.collect()} == {r[3] for r in rows if r[1]}
+
+
 def without_shared_lines(texts):
     """The texts without the lines that ten of them share."""
     upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
