@@ -76,22 +76,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number.
 
-    Only the document at the end of a source's share is taken in part. Documents without words are
-    not taken.
+    Only the document at the end of a source's share is taken in part. The first document of a source
+    that is taken in part is taken whole, so no source with words due to it goes. Documents without
+    words are not taken.
     """
-    key = mixing.order_hash(F.col("doc_id"), F.col("text"))
-    copies = (
-        mixing.mix(docs)
-        .groupBy(F.col("order").alias("_order"))
-        .agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_copies"))
-        .where(F.col("_copies") > 0)
-    )
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    return (
-        rows.join(copies, F.col("key") == F.col("_order"))
-        .select("row", F.explode(F.sequence(F.lit(1), "_copies")))
-        .select("row.*")
-    )
+    return mixing.copies(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
