@@ -1,6 +1,7 @@
 """The dead-letter store: views, status changes, replay, expiry and rates.
 
-Changes return the new version of the table; ``sinks.versions`` writes it.
+Changes return the new version of the rows they are given. A table in buckets (``sinks.buckets``) gives
+them the rows of the buckets they touch: ``change`` those of some ids, ``change_where`` those of a test.
 """
 
 from __future__ import annotations
@@ -233,12 +234,14 @@ def expire(
     letters: DataFrame, now: Column, resolved_days: int = 30, pending_days: int = 90
 ) -> DataFrame:
     """Mark old letters expired: resolved ones by their resolution, open ones by their creation."""
+    return transition(letters, is_old(now, resolved_days, pending_days), "expired", now)
 
+
+def is_old(now: Column, resolved_days: int = 30, pending_days: int = 90) -> Column:
     def before(days: int) -> Column:
         return F.timestamp_add("DAY", F.lit(-days), now)
 
     status = F.col("status")
-    old = ((status == "resolved") & (F.col("resolved_at") < before(resolved_days))) | (
+    return ((status == "resolved") & (F.col("resolved_at") < before(resolved_days))) | (
         status.isin("pending", "retrying") & (F.col("created_at") < before(pending_days))
     )
-    return transition(letters, old, "expired", now)

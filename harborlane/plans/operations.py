@@ -11,6 +11,8 @@ from harborlane.operators import changes, deadletter, runs
 from harborlane.functions.times import instant as at
 from harborlane.plans.registry import query
 from harborlane.plans.scheduling import NOW, _DOC, _conf_sql
+from harborlane.session import fresh_dir
+from harborlane.sinks.buckets import BucketedTable
 from harborlane.sources import views
 from harborlane.sources.tables import table
 
@@ -244,6 +246,12 @@ def dlq_rates(spark: SparkSession, folder: str) -> DataFrame:
     return deadletter.rates(_letters(spark, folder), "60 minutes", "1 minute", above=2)
 
 
+def _letter_store(spark: SparkSession, folder: str) -> BucketedTable:
+    store = BucketedTable(spark, fresh_dir(spark, "letters"))
+    store.create(_letters(spark, folder), "dlq_id", buckets=8)
+    return store
+
+
 @query(
     "dlq_resolved",
     views="letters",
@@ -254,9 +262,10 @@ def dlq_rates(spark: SparkSession, folder: str) -> DataFrame:
     from letters""",
 )
 def dlq_resolved(spark: SparkSession, folder: str) -> DataFrame:
-    letters = _letters(spark, folder)
-    ids = letters.where(F.col("error_type") == "KeyError").select("dlq_id")
-    return deadletter.bulk_transition(letters, ids, "resolved", at(LATER), "done").select(
+    store = _letter_store(spark, folder)
+    ids = store.read().where(F.col("error_type") == "KeyError").select("dlq_id")
+    store.change(ids, lambda rows: deadletter.bulk_transition(rows, ids, "resolved", at(LATER), "done"))
+    return store.read().select(
         "dlq_id", "status", "resolution_notes", "resolved_at", "updated_at"
     )
 
@@ -326,18 +335,19 @@ def dlq_replayed_requests(spark: SparkSession, folder: str) -> DataFrame:
     return deadletter.replay_requests(_replayed(spark, folder)[1])
 
 
-@query(
-    "dlq_after_replay",
-    views="letters integrations",
-    sql=_REPLAY_SQL
+_AFTER_REPLAY_SQL = (
+    _REPLAY_SQL
     + f"""select l.dlq_id,
       case outcome when 'failed' then 'pending' when 'resolved' then 'resolved' else l.status end as status,
       case when outcome = 'failed' then l.retry_count + 1 else l.retry_count end as retry_count,
       coalesce(o.error_message, l.error_message) as error_message,
       case when outcome = 'resolved' then timestamp '{LATER}' else l.resolved_at end as resolved_at,
       case when outcome in ('resolved', 'failed') then timestamp '{LATER}' else l.updated_at end as updated_at
-    from letters l join o using (dlq_id)""",
+    from letters l join o using (dlq_id)"""
 )
+
+
+@query("dlq_after_replay", views="letters integrations", sql=_AFTER_REPLAY_SQL)
 def dlq_after_replay(spark: SparkSession, folder: str) -> DataFrame:
     letters, outcomes = _replayed(spark, folder)
     return deadletter.apply_replay(letters, outcomes, at(LATER)).select(
@@ -345,6 +355,18 @@ def dlq_after_replay(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("dlq_stored_replay", views="letters integrations", sql=_AFTER_REPLAY_SQL)
+def dlq_stored_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """The replay's outcome written into a stored table, of which it changes the buckets it names."""
+    store, path = _letter_store(spark, folder), fresh_dir(spark, "outcomes")
+    _replayed(spark, folder)[1].write.parquet(path)
+    outcomes = spark.read.parquet(path)
+    store.change(outcomes, lambda rows: deadletter.apply_replay(rows, outcomes, at(LATER)))
+    return store.read().select(
+        "dlq_id", "status", "retry_count", "error_message", "resolved_at", "updated_at"
+    )
+
+
 @query(
     "dlq_expired",
     views="letters",
@@ -356,9 +378,12 @@ def dlq_after_replay(spark: SparkSession, folder: str) -> DataFrame:
     from letters""",
 )
 def dlq_expired(spark: SparkSession, folder: str) -> DataFrame:
-    return deadletter.expire(
-        _letters(spark, folder), at("2024-02-15 00:00:00"), pending_days=40
-    ).select("dlq_id", "status")
+    now, store = at("2024-02-15 00:00:00"), _letter_store(spark, folder)
+    store.change_where(
+        deadletter.is_old(now, pending_days=40),
+        lambda rows: deadletter.expire(rows, now, pending_days=40),
+    )
+    return store.read().select("dlq_id", "status")
 
 
 @query(

@@ -78,14 +78,35 @@ def stream_change_health(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.health(spark, _change_job(spark, folder), running=False)
 
 
-@query("stream_audit_store", views="stored_audit", sql="select * exclude (copy) from stored_audit")
-def stream_audit_store(spark: SparkSession, folder: str) -> DataFrame:
-    out = fresh_dir(spark, "audit")
+def _audit_job(spark: SparkSession, folder: str, out: str, checkpoint: str, **options) -> None:
     events = views.audit_events_of(views.event_stream(spark, folder))
     jobs.audit_job(
-        events, f"{out}/store", f"{out}/rejects", f"{out}/checkpoint", at(NOW)
+        events, f"{out}/store", f"{out}/{checkpoint}-rejects", f"{out}/{checkpoint}", at(NOW), **options
     ).awaitTermination()
-    return jobs.read_store(spark, f"{out}/store")
+
+
+@query("stream_audit_store", views="stored_audit", sql="select * exclude (copy) from stored_audit")
+def stream_audit_store(spark: SparkSession, folder: str) -> DataFrame:
+    out = fresh_dir(spark, "audit")
+    _audit_job(spark, folder, out, "checkpoint")
+    return jobs.audit_store(spark, f"{out}/store").read()
+
+
+@query(
+    "stream_audit_replayed",
+    views="stored_audit",
+    sql="select * exclude (copy) from stored_audit where customer_guid <> 'cust-1'",
+)
+def stream_audit_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """The topic read by one job, read again from its start by a job with another checkpoint, merged,
+    and a tenant erased."""
+    out = fresh_dir(spark, "audit-again")
+    for checkpoint in ("first", "second"):
+        _audit_job(spark, folder, out, checkpoint, fanout=2)
+    store = jobs.audit_store(spark, f"{out}/store")
+    store.merge(fanout=2)
+    store.erase(customer_guid="cust-1")
+    return store.read()
 
 
 @query(

@@ -11,9 +11,9 @@ from harborlane.functions.times import instant as at
 from harborlane.operators import audit
 from harborlane.plans.registry import query
 from harborlane.session import fresh_dir
-from harborlane.sinks import partitions
 from harborlane.sources import views
 from harborlane.sources.tables import table
+from harborlane.streaming import jobs
 
 NOW = "2024-02-01 00:00:00"
 IN_TWO_YEARS = "2026-01-16 00:00:00"
@@ -151,12 +151,14 @@ def audit_tenants(spark: SparkSession, folder: str) -> DataFrame:
     sql="""select customer_guid, count(*) as n from stored_audit where customer_guid <> 'cust-1' group by 1""",
 )
 def audit_erased(spark: SparkSession, folder: str) -> DataFrame:
-    """A store in folders, from which a tenant's folder is deleted."""
-    path = fresh_dir(spark, "erased")
-    partitions.append_partitioned(_store(spark, folder), path)
-    partitions.erase_tenant(spark, [path], "cust-1")
-    left = spark.read.parquet(path)
-    return left.groupBy("customer_guid").agg(F.count(F.lit(1)).alias("n"))
+    """A store of two segments, from which a tenant is deleted."""
+    store = jobs.audit_store(spark, fresh_dir(spark, "erased"))
+    events = _store(spark, folder)
+    early = F.col("timestamp") < at("2024-01-15 00:00:00")
+    store.write(events.where(early), "b-1")
+    store.write(events.where(~early), "b-2")
+    store.erase(customer_guid="cust-1")
+    return store.read().groupBy("customer_guid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -10,6 +10,7 @@ from harborlane.operators import dispatch, landing
 from harborlane.plans.registry import query
 from harborlane.session import fresh_dir
 from harborlane.sinks import documents as docs
+from harborlane.sinks.buckets import BucketedTable
 from harborlane.sinks.versions import VersionedTable
 from harborlane.sources import files, objects, views
 from harborlane.sources.tables import find, table
@@ -196,22 +197,39 @@ u as (select coalesce(cast(c_custkey as varchar), doc_key) as doc_key, c_name as
 """
 
 
-@query("sink_upsert", sql=_UPSERT_SQL + "select * from u")
-def sink_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    merged = docs.upsert(_stored(spark, folder), _incoming(spark, folder))
-
+def _document_columns(rows: DataFrame, *more: str) -> DataFrame:
     def field(name: str):
         return F.try_element_at("fields", F.lit(name))
 
-    return merged.select(
+    return rows.select(
         "doc_key",
         field("name").cast("string").alias("name"),
         field("last").cast("bigint").alias("last"),
         F.to_json(field("segment")).alias("segment"),
-        "change",
+        *more,
     )
 
 
+def _document_store(spark: SparkSession, folder: str) -> BucketedTable:
+    store = BucketedTable(spark, fresh_dir(spark, "documents"))
+    store.create(_stored(spark, folder), "doc_key", buckets=8)
+    return store
+
+
+@query("sink_upsert", sql=_UPSERT_SQL + "select * from u")
+def sink_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    return _document_columns(docs.upsert(_stored(spark, folder), _incoming(spark, folder)), "change")
+
+
+@query("sink_stored_upsert", sql=_UPSERT_SQL + "select * exclude (change) from u")
+def sink_stored_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The upsert into a stored table, twice: the second finds all as it is to be."""
+    store = _document_store(spark, folder)
+    for _ in range(2):
+        docs.upsert_into(store, _incoming(spark, folder))
+    return _document_columns(store.read())
+
+
 @query("sink_upsert_counts", sql=_UPSERT_SQL + "select change, count(*) as n from u group by 1")
 def sink_upsert_counts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.change_counts(docs.upsert(_stored(spark, folder), _incoming(spark, folder)))
@@ -231,10 +249,10 @@ def sink_keyless(spark: SparkSession, folder: str) -> DataFrame:
       from customer where c_mktsegment = 'BUILDING') then 'yes' end as flag from customer""",
 )
 def sink_update_first(spark: SparkSession, folder: str) -> DataFrame:
-    stored = _stored(spark, folder)
+    store = _document_store(spark, folder)
     match = F.element_at("fields", "segment").cast("string") == "BUILDING"
-    changed = docs.update_first(stored, match, conf.base_conf(flag=F.lit("yes")))
-    return changed.select(
+    docs.update_first_in(store, match, conf.base_conf(flag=F.lit("yes")))
+    return store.read().select(
         "doc_key", F.try_element_at("fields", F.lit("flag")).cast("string").alias("flag")
     )
 
@@ -244,8 +262,10 @@ def sink_update_first(spark: SparkSession, folder: str) -> DataFrame:
     sql="select cast(c_custkey as varchar) as doc_key from customer where c_mktsegment <> 'BUILDING'",
 )
 def sink_delete(spark: SparkSession, folder: str) -> DataFrame:
+    store = _document_store(spark, folder)
     match = F.try_element_at("fields", F.lit("segment")).cast("string") == "BUILDING"
-    return docs.delete_matching(_stored(spark, folder), match).select("doc_key")
+    docs.delete_in(store, match)
+    return store.read().select("doc_key")
 
 
 @query(

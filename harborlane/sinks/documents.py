@@ -2,13 +2,18 @@
 
 A stored document is a map of its top-level fields, so a merge works field by field and a field
 that holds null is told apart from a field that is missing.
+
+``upsert``, ``update_first`` and ``delete_matching`` make a whole new store; ``upsert_into``,
+``update_first_in`` and ``delete_in`` change a table in buckets and write those they touch.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from harborlane import session
 from harborlane.functions import conf
+from harborlane.sinks.buckets import BucketedTable
 
 
 def append(docs: DataFrame, path: str, max_records_per_file: int = 1_000_000) -> int:
@@ -52,7 +57,12 @@ def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
     ``change`` tells inserted from updated from untouched rows.
     """
-    new = fold(incoming).withColumnRenamed("fields", "_new")
+    return merged(stored, fold(incoming))
+
+
+def merged(stored: DataFrame, folded: DataFrame) -> DataFrame:
+    """The same for documents that are folded already, one a key."""
+    new = folded.select("doc_key", F.col("fields").alias("_new"))
     joined = stored.select("doc_key", "fields").join(new, "doc_key", "full_outer")
     change = (
         F.when(F.col("_new").isNull(), "unchanged")
@@ -102,3 +112,49 @@ def delete_matching(
     """
     gone = F.coalesce(match, F.lit(False))
     return _counted(stored, seen, "deleted", gone).where(~gone)
+
+
+def upsert_into(store: BucketedTable, incoming: DataFrame) -> dict[str, int]:
+    """Merge ``incoming`` (doc_key, fields, seq) into a stored (doc_key, fields); the number of
+    ``inserted`` and ``updated`` documents.
+
+    The folded documents are written once: they say which buckets are touched, and are merged.
+    """
+    spark = incoming.sparkSession
+    path = session.fresh_dir(spark, "upsert")
+    folded = fold(incoming)
+    folded.write.parquet(path)
+    new = spark.read.schema(folded.schema).parquet(path)
+    seen = Observation()
+
+    def make(rows: DataFrame) -> DataFrame:
+        counts = [F.count_if(F.col("change") == c).alias(c) for c in ("inserted", "updated")]
+        return merged(rows, new).observe(seen, *counts).drop("change")
+
+    before = store.version()
+    after = store.change(new, make)
+    return dict(seen.get) if after > before else {"inserted": 0, "updated": 0}
+
+
+def update_first_in(store: BucketedTable, match: Column, changes: Column) -> int:
+    """Set fields on the matching document with the smallest key; how many there were, 0 or 1."""
+    first = store.read().where(match).agg(F.min("doc_key").alias("doc_key"))
+    key = first.first()["doc_key"]
+    if key is None:
+        return 0
+    hit = F.col("doc_key") == key
+    store.change(
+        store.spark.createDataFrame([(key,)], "doc_key string"),
+        lambda rows: rows.withColumn(
+            "fields", F.when(hit, conf.merge(F.col("fields"), changes)).otherwise(F.col("fields"))
+        ),
+    )
+    return 1
+
+
+def delete_in(store: BucketedTable, match: Column) -> int:
+    """Delete the matching rows, whatever the table's columns; how many there were."""
+    seen = Observation()
+    before = store.version()
+    after = store.change_where(match, lambda rows: delete_matching(rows, match, seen))
+    return seen.get["deleted"] if after > before else 0

@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: Schemes on which a plain create fails if the file is there, whoever asks first.
+EXCLUSIVE = {"file", "hdfs", "viewfs", "abfs", "abfss", "ofs"}
+#: Schemes with a create that the store itself refuses if the file is there, when asked for.
+CONDITIONAL = {"s3a"}
+_CONDITION = "fs.option.create.conditional.overwrite"
+
+
+class Taken(Exception):
+    """The file is there already."""
+
 
 def _file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -25,12 +36,28 @@ def names(spark: SparkSession, path: str) -> list[str]:
 
 
 def create_new(spark: SparkSession, path: str, text: str = "") -> None:
-    """Create a file with an ASCII text; fails if it is there, which is how two writers notice each
-    other."""
+    """Create a file with an ASCII text; ``Taken`` if it is there, which is how two writers notice each
+    other.
+
+    A store that only looks before it writes would let both through, so schemes not known to refuse
+    the second one are refused here.
+    """
     target, fs = _file_system(spark, path)
-    stream = fs.create(target, False)
-    stream.writeBytes(text)
-    stream.close()
+    scheme = fs.getUri().getScheme()
+    if scheme not in EXCLUSIVE | CONDITIONAL:
+        raise ValueError(f"{scheme} is not known to create a file only if it is not there")
+    try:
+        if scheme in CONDITIONAL:
+            # ``must`` fails where the file system does not know the option.
+            stream = fs.createFile(target).recursive().overwrite(True).must(_CONDITION, True).build()
+        else:
+            stream = fs.create(target, False)
+        stream.writeBytes(text)
+        stream.close()
+    except Py4JJavaError as error:
+        if fs.exists(target):
+            raise Taken(f"{path} already exists") from error
+        raise
 
 
 def content(spark: SparkSession, path: str) -> str:

@@ -1,28 +1,34 @@
 """Structured Streaming jobs over the batch transforms.
 
 Offsets and state are checkpointed, and every write of a micro-batch can be repeated: batch
-outputs replace their own folder, and the audit store only takes events it does not have. So a
-restart neither loses nor repeats a message, and no claim or lease is needed while one is worked
-on. Infrastructure errors fail the batch and Spark runs it again; data errors are rows.
+outputs replace their own folder or segment. So a restart neither loses nor repeats a message, and no
+claim or lease is needed while one is worked on. Infrastructure errors fail the batch and Spark runs it
+again; data errors are rows.
 """
 
 from __future__ import annotations
 
+import json
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from harborlane import schemas, session
 from harborlane.operators import audit, changes, deadletter
-from harborlane.sinks import partitions, storage
+from harborlane.sinks import segments, storage
+from harborlane.sinks.partitions import AUDIT_PARTITIONS
 
 logger = logging.getLogger(__name__)
 
 #: A key is kept for the delay of the watermark and the watermark's own lag, a day in all.
 DEDUP_WINDOW = "12 hours"
+DEDUP_HOURS = 24
+#: An event's own time may be so far ahead of the clock that it arrives by.
+CLOCK_SKEW_HOURS = 1
 RATE_DELAY = "10 minutes"
 
 
@@ -122,9 +128,40 @@ def change_job(
     return start(events.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
+AUDIT_STORE = T.StructType([*schemas.AUDIT_EVENT.fields, T.StructField("event_month", T.StringType())])
+
+
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """The partitioned audit store; the schema is given, so nothing is inferred from files."""
-    return spark.read.schema(f"{schemas.AUDIT_EVENT.toDDL()}, event_month string").parquet(store)
+    """Audit events in folders of their tenant and month; the schema is given, so nothing is inferred."""
+    return spark.read.schema(AUDIT_STORE).parquet(store)
+
+
+def audit_store(spark: SparkSession, root: str) -> segments.SegmentedStore:
+    """The store the audit job writes: a segment a batch, merged as they come to be many."""
+    return segments.SegmentedStore(spark, root, AUDIT_STORE, AUDIT_PARTITIONS)
+
+
+def _since(spark: SparkSession, path: str, filled: Callable[[], bool]) -> tuple[int, bool]:
+    """When a reader with state of its own began, in seconds, and whether the store had rows then;
+    noted once in a file."""
+    if not storage.exists(spark, path):
+        storage.create_new(spark, path, f"{int(time.time())} {int(filled())}")
+    began, had = storage.content(spark, path).split()
+    return int(began), had == "1"
+
+
+def may_be_stored(at: Column, arrived: Column, began: int, filled: bool) -> Column:
+    """Whether an event of the time ``at`` could have been stored by a delivery the state does not know.
+
+    The state knows every delivery since ``began`` of the last ``DEDUP_HOURS``. An event is delivered
+    after its own time, give or take the skew of clocks; so what is younger than that was not delivered
+    before, and if the store was empty at first, nothing was before ``began``.
+    """
+    day, skew = DEDUP_HOURS * 3600, CLOCK_SKEW_HOURS * 3600
+    seconds = F.unix_seconds(arrived)
+    own = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
+    older = F.when(seconds >= began + day, own < seconds - day + skew).otherwise(F.lit(False))
+    return older | (own < began + skew) if filled else older
 
 
 def audit_job(
@@ -134,25 +171,57 @@ def audit_job(
     checkpoint: str,
     now: Column | Callable[[], Column],
     available_now: bool = True,
+    fanout: int = segments.FANOUT,
 ) -> StreamingQuery:
-    """Audit events to the partitioned store; events without a usable tenant to the rejects."""
+    """Audit events to the store, each once; events without a usable tenant to the rejects.
+
+    The ids of the last day are state, by tenant and id, so a batch meets earlier ones without reading
+    the store. Only events that are old when they come, in a replay of old messages or in the first day
+    of a new checkpoint over a store with rows, are looked up in the folders of their tenant and month.
+    A batch is a segment of the store, which a repeated batch replaces; before it writes its own, it
+    merges those of the batches before it where there are ``fanout``.
+    """
+    spark = events.sparkSession
+    session.use_rocksdb(spark)
+    target = audit_store(spark, store)
+    arrived = events.withColumn("_arrived", F.current_timestamp())
+    usable = audit.tenant_error(F.col("customer_guid")).isNull()
+    # No tenant's id holds a slash, so the keys of rejected rows, one each, are no event's.
+    event_key = F.concat_ws("/", "customer_guid", F.coalesce("event_id", F.lit("")))
+    key = F.when(usable, event_key).otherwise(F.uuid())
+    once = (
+        arrived.withColumn("_key", key)
+        .withWatermark("_arrived", DEDUP_WINDOW)
+        .dropDuplicatesWithinWatermark(["_key"])
+        .drop("_key")
+    )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        reader = json.loads(storage.content(spark, f"{checkpoint}/metadata"))["id"]
+        name = f"b-{reader}-{batch_id:010d}"
+        began, filled = _since(
+            spark, f"{store}/_readers/{reader}", lambda: any(n != name for n in target.segments())
+        )
+        target.merge(fanout, open_=name)
         batch = audit.clean(batch, clock(now)).persist()
         try:
-            # The first write fills the cache in one pass over the batch.
-            audit.rejected(batch).write.mode("overwrite").parquet(
+            if batch.isEmpty():  # as in the batch that only moves the watermark on
+                return
+            audit.rejected(batch).drop("_arrived").write.mode("overwrite").parquet(
                 f"{rejects}/batch_id={batch_id}"
             )
-            fresh = audit.unique(audit.accepted(batch))
-            if storage.exists(spark, store):
-                fresh = audit.not_stored(fresh, read_store(spark, store))
-            partitions.append_partitioned(fresh, store)
+            fresh = audit.accepted(batch)
+            doubtful = may_be_stored(F.col("timestamp"), F.col("_arrived"), began, filled)
+            asked = fresh.where(doubtful)
+            if not asked.isEmpty():
+                unknown = audit.not_stored(asked, target.read(without=name))
+                fresh = fresh.where(~doubtful).unionByName(unknown)
+            target.write(fresh, name)
         finally:
             batch.unpersist()
 
-    return start(events.writeStream.foreachBatch(handle), checkpoint, available_now)
+    return start(once.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
 def rate_job(

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from harborlane import schemas
 from harborlane.functions.times import instant
+from harborlane.sinks import segments, storage
 from harborlane.sources import topics
 from harborlane.streaming import jobs
 from tests.test_operations import CREATED, event
@@ -123,7 +125,7 @@ def test_audit_job_stores_each_event_once(spark, work):
         jobs.audit_job(
             stream, f"{work}/store", f"{work}/rejects", f"{work}/checkpoint", instant("2024-02-01 00:00:00")
         ).awaitTermination()
-        return jobs.read_store(spark, f"{work}/store")
+        return jobs.audit_store(spark, f"{work}/store").read()
 
     # A first batch without a single usable event must not break the next one.
     deliver(event(0, customer_guid="unknown"))
@@ -138,6 +140,120 @@ def test_audit_job_stores_each_event_once(spark, work):
     assert sorted(r["reject_reason"] for r in rejects.collect()) == ["invalid tenant", "missing tenant"]
 
 
+def audit_stream(spark, work, checkpoint="checkpoint", **options):
+    stream = spark.readStream.schema(schemas.AUDIT_EVENT).parquet(f"{work}/in")
+    jobs.audit_job(
+        stream, f"{work}/store", f"{work}/rejects", f"{work}/{checkpoint}", instant("2024-02-01 00:00:00"),
+        **options,
+    ).awaitTermination()
+    return jobs.audit_store(spark, f"{work}/store")
+
+
+def deliver(spark, work, *rows):
+    frame = spark.createDataFrame(list(rows), schemas.AUDIT_EVENT)
+    frame.coalesce(1).write.mode("append").parquet(f"{work}/in")
+
+
+def reads_of(monkeypatch):
+    """The segments a job has read to look events up, call by call."""
+    seen, read = [], segments.SegmentedStore.read
+
+    def noted(self, without=None, **values):
+        seen.append([n for n in self.segments() if n != without])
+        return read(self, without, **values)
+
+    monkeypatch.setattr(segments.SegmentedStore, "read", noted)
+    return seen
+
+
+def test_batches_of_a_day_do_not_read_the_store(spark, work, monkeypatch):
+    """Restarts, and repeats within a day: state alone tells them, however much is stored."""
+    seen = reads_of(monkeypatch)
+    for i in range(5):
+        deliver(spark, work, *[event(10 * i + k) for k in range(6)], event(0))
+        store = audit_stream(spark, work)
+    assert seen == []
+    stored = store.read()
+    assert stored.count() == 30 == stored.select("event_id").distinct().count()
+
+
+def test_a_late_replay_by_a_new_checkpoint_stores_nothing_twice(spark, work, monkeypatch):
+    for i in range(3):
+        deliver(spark, work, event(i), event(10 + i, customer_guid="cust-2"))
+        store = audit_stream(spark, work)
+    seen = reads_of(monkeypatch)
+    deliver(spark, work, event(57))
+    store = audit_stream(spark, work, "other")  # reads the whole folder again
+    assert len(seen) == 1
+    assert sorted(r["event_id"] for r in store.read().collect()) == sorted(
+        [f"e{i:03}" for i in (0, 1, 2, 10, 11, 12, 57)]
+    )
+
+
+def test_a_replay_after_a_day_is_looked_up(spark, work, monkeypatch):
+    deliver(spark, work, event(1), event(2))
+    audit_stream(spark, work)
+    monkeypatch.setattr(jobs, "DEDUP_HOURS", -1)  # as if the day were over
+    seen = reads_of(monkeypatch)
+    deliver(spark, work, event(3))
+    store = audit_stream(spark, work)
+    assert len(seen) == 1 and store.read().count() == 3
+
+
+def test_a_repeated_batch_replaces_its_segment(spark, work):
+    deliver(spark, work, event(1), event(2))
+    audit_stream(spark, work)
+    deliver(spark, work, event(2), event(3))
+    store = audit_stream(spark, work)
+    names = store.segments()
+    # Without the commit of the last batch with rows, the restart runs it again.
+    last = max(int(name.rsplit("-", 1)[1]) for name in names)
+    for log, first in (("commits", last), ("offsets", last + 1)):
+        for name in storage.names(spark, f"{work}/checkpoint/{log}"):
+            number = name.lstrip(".").removesuffix(".crc")
+            if number.isdigit() and int(number) >= first:
+                storage.delete(spark, f"{work}/checkpoint/{log}/{name}")
+    store = audit_stream(spark, work)
+    assert store.read().count() == 3 and set(names) <= set(store.segments())
+
+
+def test_segments_are_merged_by_levels(spark, work):
+    for i in range(7):
+        deliver(spark, work, event(i), event(i, customer_guid="cust-2"))
+        store = audit_stream(spark, work, fanout=2)
+    store.merge(fanout=2)
+    names = store.segments()
+    assert len(names) <= 4 and any(n.startswith("m2-") for n in names)
+    assert store.read().count() == 14 and store.read(customer_guid="cust-2").count() == 7
+    # The erased tenant is in no file, listed or not, and the next batches go on.
+    store.erase(customer_guid="cust-2")
+    left = spark.read.parquet(f"{work}/store/data")
+    assert left.where("customer_guid = 'cust-2'").count() == 0
+    assert store.read().count() == 7
+    for bad in ("../..", "", "a/b", "*", None):
+        with pytest.raises(ValueError):
+            store.erase(customer_guid=bad)
+    deliver(spark, work, event(58), event(3))
+    assert audit_stream(spark, work, fanout=2).read().count() == 8
+
+
+def test_a_merge_overtaken_by_an_erasure_has_no_effect(spark, work, monkeypatch):
+    store = jobs.audit_store(spark, f"{work}/store")
+    rows = spark.createDataFrame([event(1), event(2, customer_guid="cust-2")], schemas.AUDIT_EVENT)
+    for i in range(2):
+        store.write(rows.withColumn("event_month", F.lit("2024-01")), f"b-{i}")
+    write = store._write
+
+    def slow(df, name):
+        write(df, name)
+        jobs.audit_store(spark, f"{work}/store").erase(customer_guid="cust-2")
+
+    monkeypatch.setattr(store, "_write", slow)
+    assert store.merge(fanout=2) == []
+    assert [r["customer_guid"] for r in store.read().collect()] == ["cust-1"] * 2
+    assert spark.read.parquet(f"{work}/store/data").where("customer_guid = 'cust-2'").count() == 0
+
+
 def test_rate_job(spark, work):
     start = dt.datetime(2024, 1, 1)
     rows = [(start + dt.timedelta(seconds=10 * i),) for i in range(12)] + [(start + dt.timedelta(hours=1),)]
