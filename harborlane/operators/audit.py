@@ -8,6 +8,7 @@ hot partitions split, and nothing groups a whole tenant into one task.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -103,6 +104,13 @@ def tenant_error(guid: Column) -> Column:
     )
 
 
+def check_tenant(customer_guid: str | None) -> str:
+    """The id of a tenant; an id that could name anything else is refused."""
+    if not re.fullmatch(TENANT_PATTERN.strip("^$"), customer_guid or ""):
+        raise ValueError(f"not a tenant id: {customer_guid!r}")
+    return customer_guid
+
+
 def tenant_store_name(guid: Column) -> Column:
     """The name a tenant's store goes by; null for an id that is not allowed."""
     return F.when(

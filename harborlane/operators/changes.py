@@ -265,6 +265,26 @@ def rejects(events: DataFrame, resolved: DataFrame) -> DataFrame:
     return bad.unionByName(missed.select(*columns))
 
 
+def message_workspace(value: Column) -> Column:
+    """The workspace a message names: top level, else under ``data``, there also as the tenant."""
+    found = [F.get_json_object(value, f"$.{p}") for p in ("workspace_id", "data.workspace_id", "data.tenant_id")]
+    return F.coalesce(*[_truthy(f) for f in found])
+
+
+def tenants(events: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(customer_guid, workspace_id, integration_id) a batch has rows of, each once: as they were found,
+    and, without a customer, as the messages name them."""
+    found = resolved.where(F.col("error").isNull()).select(
+        "customer_guid", "workspace_id", F.col("integration_id").cast("string").alias("integration_id")
+    )
+    named = events.select(
+        F.lit(None).cast("string").alias("customer_guid"),
+        message_workspace(F.col("value")).alias("workspace_id"),
+        message_integration(F.col("value")).alias("integration_id"),
+    )
+    return found.unionByName(named).distinct()
+
+
 def error_type_of(reason: Column) -> Column:
     return (
         F.when(reason == "malformed json", "ValueError")

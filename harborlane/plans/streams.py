@@ -10,11 +10,12 @@ from harborlane.plans.operations import _REQUEST_SQL
 from harborlane.plans.registry import query
 from harborlane.plans.scheduling import NOW
 from harborlane.session import fresh_dir
+from harborlane.sinks import erasure, storage
 from harborlane.sources import views
 from harborlane.streaming import jobs
 
 
-def _change_job(spark: SparkSession, folder: str) -> str:
+def _change_job(spark: SparkSession, folder: str, **options) -> str:
     out = fresh_dir(spark, "changes")
 
     def lookups() -> jobs.Lookups:
@@ -25,7 +26,7 @@ def _change_job(spark: SparkSession, folder: str) -> str:
         )
 
     records = views.change_records_of(views.event_stream(spark, folder))
-    jobs.change_job(records, lookups, out, f"{out}/checkpoint", at(NOW)).awaitTermination()
+    jobs.change_job(records, lookups, out, f"{out}/checkpoint", at(NOW), **options).awaitTermination()
     return out
 
 
@@ -44,6 +45,61 @@ def stream_change_requests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{out}/requests").select(*_STABLE)
 
 
+@query(
+    "stream_tenant_erased",
+    views="resolved",
+    sql=f"""select 'requests' as output, {', '.join(_STABLE)} from ({_REQUEST_SQL}) where customer_guid <> 'cust-1'
+      union all select 'audit', integration_id, null, customer_guid, null, null from ({_REQUEST_SQL})
+        where customer_guid <> 'cust-1'""",
+)
+def stream_tenant_erased(spark: SparkSession, folder: str) -> DataFrame:
+    """What the change job leaves of the requests and audit events, when a tenant is erased after it."""
+    out = _change_job(spark, folder)
+    erasure.erase_outputs(
+        spark, out, "cust-1", views.workspaces(spark, folder), views.integrations(spark, folder)
+    )
+    requests = spark.read.parquet(f"{out}/requests").select(F.lit("requests").alias("output"), *_STABLE)
+    audit = spark.read.parquet(f"{out}/audit").select(
+        F.lit("audit").alias("output"),
+        F.col("resource_id").cast("bigint").alias("integration_id"),
+        "customer_guid",
+    )
+    return requests.unionByName(audit, allowMissingColumns=True)
+
+
+@query(
+    "stream_alerts",
+    views="first_parsed resolved",
+    sql=f"""with bad as (
+      select target, why from first_parsed where route = 'reject'
+      union all select target, 'integration not found' from resolved where workspace_id is null)
+    select coalesce(cast(case when target = 0 then null else target end as varchar), 'unknown') as key,
+      case why when 'malformed json' then 'ValueError' when 'integration not found' then 'LookupError'
+        else 'KeyError' end as error_type,
+      why as error_message, '{NOW.replace(" ", "T")}' as at, '0' as retry_count,
+      'cdc.integration.events' as source_topic, 'cdc-consumer' as consumer_group
+    from bad""",
+)
+def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """The alerts a change job sends, as a topic gets them; sent once, though the job is asked twice."""
+    sent = fresh_dir(spark, "sent")
+
+    def notify(alerts: DataFrame) -> None:
+        alerts.write.mode("append").parquet(sent)
+
+    out = _change_job(spark, folder, notify=notify)
+    for name in storage.names(spark, f"{out}/alerts"):
+        if name.startswith("batch_id="):
+            jobs.deliver(spark, out, int(name.removeprefix("batch_id=")), notify)
+    fields = {
+        "error_type": "error.type", "error_message": "error.message", "at": "error.timestamp",
+        "retry_count": "retry_count", "source_topic": "source_topic", "consumer_group": "consumer_group",
+    }
+    return spark.read.schema("key string, value string").parquet(sent).select(
+        "key", *[F.get_json_object("value", f"$.{path}").alias(name) for name, path in fields.items()]
+    )
+
+
 @query(
     "stream_change_counters",
     views="first_parsed resolved",

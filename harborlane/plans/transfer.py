@@ -12,7 +12,7 @@ from harborlane.session import fresh_dir
 from harborlane.sinks import documents as docs
 from harborlane.sinks.buckets import BucketedTable
 from harborlane.sinks.versions import VersionedTable
-from harborlane.sources import files, objects, views
+from harborlane.sources import delimited, files, objects, views
 from harborlane.sources.tables import find, table
 
 NOW = "2024-02-01 00:00:00"
@@ -545,22 +545,45 @@ def workspace_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "source_csv_records",
-    sql="""select cast(c_custkey as varchar) as c_custkey, c_name,
-      case when c_acctbal >= 0 then c_mktsegment end as c_mktsegment from customer""",
+    sql="""select 'a' as file, cast(c_custkey as varchar) as c_custkey,
+        case when c_custkey % 5 = 0 then c_name || ' "x"' || chr(10) || '5" rod, red' else c_name || ' 5" pipe' end as c_name,
+        case when c_custkey % 3 > 0 then c_mktsegment end as c_mktsegment,
+        case when c_custkey % 3 = 2 then c_custkey || '|' else '' end as extra from customer where c_acctbal >= 0
+      union all select 'b', cast(c_custkey as varchar), c_name, null, '' from customer where c_acctbal < 0""",
 )
 def source_csv_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Files whose headers differ in order and number, by the names of each one's own header."""
+    """Files whose headers differ, with quotes inside fields, line breaks inside quotes and lines of any
+    width, each file cut into many blocks."""
     path = fresh_dir(spark, "csv-records")
     customers = table(spark, folder, "customer")
-    for name, owing, columns in (
-        ("a", False, ["c_custkey", "c_name", "c_mktsegment"]), ("b", True, ["c_name", "c_custkey"])
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    folded = F.concat(F.lit('"'), name, F.lit(' ""x""\n5"" rod, red"'))
+    odd = F.when(F.col("c_custkey") % 5 == 0, folded).otherwise(F.concat(name, F.lit(' 5" pipe')))
+    segment = F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))
+    extra = F.when(F.col("c_custkey") % 3 == 2, F.concat(key, F.lit(",")))
+    for file, owing, header, columns in (
+        ("a", False, "c_custkey,c_name,c_mktsegment", [key, odd, segment, extra]),
+        ("b", True, "c_name,c_custkey", [name, key]),
     ):
-        rows = customers.where((F.col("c_acctbal") < 0) == owing).select(*columns)
-        rows.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
-    record = files.read_csv_records(spark, path).select("record")
-    return record.select(
+        lines = customers.where((F.col("c_acctbal") < 0) == owing).select(
+            F.lit(1).alias("part"), F.concat_ws(",", *columns).alias("line")
+        )
+        first = spark.createDataFrame([(0, header)], "part int, line string")
+        # One file, its header first.
+        first.unionAll(lines).repartition(1).sortWithinPartitions("part").select("line").write.text(
+            f"{path}/{file}"
+        )
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
+    try:
+        rows = delimited.read_csv_records(spark, path, suffix=".txt")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return rows.select(
+        F.regexp_extract("path", "/(.)/[^/]*$", 1).alias("file"),
         *[
             F.try_element_at("record", F.lit(c)).alias(c)
             for c in ("c_custkey", "c_name", "c_mktsegment")
-        ]
+        ],
+        F.array_join("extra", "|").alias("extra"),
     )

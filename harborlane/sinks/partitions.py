@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlane.operators.audit import TENANT_PATTERN
+from harborlane.operators.audit import check_tenant
 from harborlane.sinks import storage
 
 AUDIT_PARTITIONS = ("customer_guid", "event_month")
@@ -28,8 +26,7 @@ def erase_tenant(spark: SparkSession, paths: list[str], customer_guid: str) -> i
 
     An id that could name any other folder is refused before anything is deleted.
     """
-    if not re.fullmatch(TENANT_PATTERN.strip("^$"), customer_guid or ""):
-        raise ValueError(f"not a tenant id: {customer_guid!r}")
+    check_tenant(customer_guid)
     return sum(
         storage.delete(spark, f"{path.rstrip('/')}/customer_guid={customer_guid}") for path in paths
     )

@@ -71,3 +71,12 @@ def content(spark: SparkSession, path: str) -> str:
 def delete(spark: SparkSession, path: str) -> bool:
     target, fs = _file_system(spark, path)
     return fs.exists(target) and fs.delete(target, True)
+
+
+def replace(spark: SparkSession, path: str, by: str) -> None:
+    """Put the folder ``by`` in the place of ``path``."""
+    target, fs = _file_system(spark, path)
+    source, _ = _file_system(spark, by)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{by} could not be renamed to {path}")

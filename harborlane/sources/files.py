@@ -6,10 +6,11 @@ the landing job rejects without touching the others.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from harborlane.sources import delimited
+from harborlane.sources.paths import plain_path
+
 CORRUPT = "_corrupt"
 
 # What Spark's decoder knows.
@@ -26,12 +27,6 @@ def whole_text(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     )
 
 
-def plain_path(path: Column) -> Column:
-    """A file's path as listings have it; Spark's metadata percent-encodes it."""
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, "^file:///", "file:/")
-
-
 def read_json_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """Whole-file JSON: ``document`` is null where the file does not parse."""
     return whole_text(spark, path, suffix).withColumn("document", F.try_parse_json("content"))
@@ -63,11 +58,16 @@ def read_csv(
 ) -> DataFrame:
     """Untyped CSV: named string columns with a header, one array column without.
 
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    With a header the files have one shape; ``delimited.read_csv_records`` reads files of any. There
+    ``multiline`` allows line breaks inside quotes, at the price of one task per file. Without a header
+    rows are as wide as they are, and an empty line has no fields.
     """
+    if not has_header:
+        rows = delimited.read_csv_lists(spark, path, delimiter, suffix)
+        return rows.select(F.col("values").alias("row"))
     reader = (
         spark.read.option("sep", delimiter)
-        .option("header", has_header)
+        .option("header", True)
         .option("inferSchema", False)
         .option("quote", '"')
         .option("escape", '"')
@@ -76,55 +76,7 @@ def read_csv(
     )
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    df = reader.csv(path)
-    return df if has_header else df.select(F.array(*[F.col(c) for c in df.columns]).alias("row"))
-
-
-def read_csv_records(
-    spark: SparkSession, path: str, delimiter: str = ",", suffix: str = ".csv"
-) -> DataFrame:
-    """CSV files whose headers may differ: path, number, record and extra of every line.
-
-    ``record`` maps the names of the file's own header to text, null where the line is too short;
-    ``extra`` holds the fields beyond the header. Quoted fields may hold delimiters, doubled quotes
-    and line breaks; an empty field is empty text. Empty lines are skipped, and of repeated names
-    the last counts. A file is read as a whole.
-    """
-    sep = re.escape(delimiter)
-    # Possessive groups, so that long fields need no deep stack.
-    lines = F.regexp_extract_all("content", F.lit(r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"?)++'), F.lit(0))
-    field = rf'(?:^|{sep})(?:"(?:[^"]++|"")*+"?|[^{sep}]*+)'
-
-    def fields(line: Column) -> Column:
-        raw = F.regexp_extract_all(line, F.lit(field), F.lit(0))
-        bare = F.transform(
-            raw, lambda f, i: F.when(i == 0, f).otherwise(F.substr(f, F.lit(len(delimiter) + 1)))
-        )
-        # A line that begins with a delimiter begins with an empty field.
-        bare = F.when(line.startswith(delimiter), F.concat(F.array(F.lit("")), F.transform(
-            raw, lambda f: F.substr(f, F.lit(len(delimiter) + 1))
-        ))).otherwise(bare)
-        return F.transform(bare, lambda f: F.when(
-            f.startswith('"'), F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"'))
-        ).otherwise(f))
-
-    rows = whole_text(spark, path, suffix).withColumn("lines", lines)
-    rows = rows.where(F.size("lines") > 1).withColumn("header", fields(F.col("lines")[0]))
-    rows = rows.select(
-        "path", "header", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("_at", "_line")
-    ).withColumn("values", fields(F.col("_line")))
-    n = F.size("header")
-    pairs = F.zip_with("header", F.slice("values", F.lit(1), n), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    # A name that stands twice keeps its last place.
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice("header", i + 2, n), lambda later: later == p.getField("k")
-    ))
-    return rows.select(
-        "path",
-        (F.col("_at") + 1).alias("number"),
-        F.map_from_entries(last).alias("record"),
-        F.slice("values", n + 1, F.size("values")).alias("extra"),
-    )
+    return reader.csv(path)
 
 
 def read_bytes(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:

@@ -1,7 +1,9 @@
-"""Topic readers for the change stream and the audit stream."""
+"""Topics: readers for the change stream and the audit stream, and a writer for alerts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from harborlane import schemas
@@ -42,3 +44,16 @@ def file_topic(spark: SparkSession, path: str, files_per_trigger: int = 1000) ->
 
 def without_tombstones(records: DataFrame) -> DataFrame:
     return records.where(F.col("value").isNotNull())
+
+
+def sender(servers: str, topic: str, **options: str) -> Callable[[DataFrame], None]:
+    """Writes rows of key and value to a topic, acknowledged by all its replicas."""
+
+    def send(messages: DataFrame) -> None:
+        (
+            messages.select("key", "value").write.format("kafka")
+            .option("kafka.bootstrap.servers", servers).option("topic", topic)
+            .option("kafka.acks", "all").options(**options).save()
+        )
+
+    return send

@@ -80,9 +80,13 @@ def change_job(
 
     ``lookups`` is called for each batch, so a batch sees the tables as they are then. A handler
     gets the classified events of a batch and returns the ones to go on with. ``notify`` gets the
-    dead letters as key and JSON value, for an alert topic; the table is written before, and a
-    failing alert is logged and does not hold up the batch. ``now`` may be a function, which is
-    asked once a batch.
+    dead letters as key and JSON value, for an alert topic (``topics.sender``); the table is written
+    before, and a failing alert is logged, does not hold up the batch, and is sent with a later one. A
+    batch that is run again sends nothing a second time. ``now`` may be a function, which is asked once
+    a batch.
+
+    ``tenants`` of each batch are written too, so what a tenant left is found without reading the rest
+    (``sinks.erasure``).
     """
     session.use_rocksdb(records.sparkSession)
     events = deduplicate(changes.parse(records))
@@ -105,29 +109,55 @@ def change_job(
         stored, workspaces, auths = changes.narrow(
             wanted, tables.integrations, tables.workspaces, tables.auths
         )
-        resolved = changes.resolve(wanted, stored, workspaces, auths, time).persist()
-        try:
-            requests = changes.requests(resolved)
-            rejected = changes.rejects(wanted, resolved)
-            letters = changes.dead_letters(rejected, consumer_group, time)
-            write("requests", requests)
-            write("audit", changes.trigger_audit(requests, time))
-            write("dead_letters", letters)
-            alerts = write("alerts", changes.alert_messages(letters))
-            write("counters", changes.route_counts(wanted))
-            write("metrics", changes.metrics(wanted, rejected))
-            if notify:
-                try:
-                    notify(spark.read.schema("key string, value string").parquet(alerts))
-                except Exception:
-                    logger.exception("alerts of batch %s were not delivered", batch_id)
-        finally:
-            resolved.unpersist()
-            stored.unpersist()
+        # Written once and read back: the tables may change while the outputs are written, and a lost
+        # executor must not have some of them made from other rows.
+        fresh = changes.resolve(wanted, stored, workspaces, auths, time)
+        at = write("resolved", fresh)
+        stored.unpersist()
+        resolved = spark.read.schema(fresh.schema).parquet(at)
+        requests = changes.requests(resolved)
+        rejected = changes.rejects(wanted, resolved)
+        letters = changes.dead_letters(rejected, consumer_group, time)
+        write("requests", requests)
+        write("audit", changes.trigger_audit(requests, time))
+        write("dead_letters", letters)
+        write("alerts", changes.alert_messages(letters))
+        write("counters", changes.route_counts(wanted))
+        write("metrics", changes.metrics(wanted, rejected))
+        write("tenants", changes.tenants(wanted, resolved))
+        storage.delete(spark, at)  # it holds credentials, and the outputs are there
+        if notify:
+            deliver(spark, out, batch_id, notify)
 
     return start(events.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
+def deliver(
+    spark: SparkSession, out: str, batch_id: int, notify: Callable[[DataFrame], None]
+) -> list[int]:
+    """Send the alerts of a batch, and of earlier ones that could not be sent; the batches sent now.
+
+    A batch is marked as sent right after, and as waiting if sending fails. Only a process that dies
+    between sending and marking sends again.
+    """
+    waiting = [int(n) for n in storage.names(spark, f"{out}/alerts_waiting") if n.isdigit()]
+    sent = []
+    for number in sorted({*waiting, batch_id}):
+        if storage.exists(spark, f"{out}/alerts_sent/{number}"):
+            continue
+        try:
+            notify(spark.read.schema("key string, value string").parquet(f"{out}/alerts/batch_id={number}"))
+        except Exception:
+            logger.exception("alerts of batch %s were not delivered", number)
+            if number not in waiting:
+                storage.create_new(spark, f"{out}/alerts_waiting/{number}")
+            continue
+        storage.create_new(spark, f"{out}/alerts_sent/{number}")
+        storage.delete(spark, f"{out}/alerts_waiting/{number}")
+        sent.append(number)
+    return sent
+
+
 AUDIT_STORE = T.StructType([*schemas.AUDIT_EVENT.fields, T.StructField("event_month", T.StringType())])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from harborlane import schemas
 from harborlane.functions.times import instant
-from harborlane.sinks import segments, storage
+from harborlane.sinks import erasure, segments, storage
 from harborlane.sources import topics
 from harborlane.streaming import jobs
 from tests.test_operations import CREATED, event
@@ -91,6 +91,66 @@ def test_a_failing_alert_does_not_stop_the_batch(spark, work):
     assert spark.read.parquet(f"{work}/out/dead_letters").count() == 2
 
 
+def test_alerts_are_sent_once_and_later_if_they_failed(spark, work):
+    sent, down = [], [True]
+
+    def notify(alerts):
+        if down[0]:
+            raise OSError("broker is down")
+        sent.extend(r["key"] for r in alerts.collect())
+
+    put(spark, f"{work}/in", CREATED | {"integration_id": 9})
+    run_changes(spark, work, notify=notify)
+    assert sent == [] and storage.names(spark, f"{work}/out/alerts_waiting")
+    down[0] = False
+    put(spark, f"{work}/in", CREATED | {"integration_id": 8, "__source_ts_ms": 2}, first=10)
+    run_changes(spark, work, notify=notify)
+    assert sorted(sent) == ["8", "9"]
+    # The last batch once more, as after a restart before its commit.
+    for name in storage.names(spark, f"{work}/checkpoint/commits"):
+        storage.delete(spark, f"{work}/checkpoint/commits/{name}")
+    run_changes(spark, work, notify=notify)
+    assert sorted(sent) == ["8", "9"]
+
+
+def test_erasure_and_retention_of_the_outputs(spark, work):
+    other = CREATED | {"integration_id": 124, "workspace_id": "ws-2", "__source_ts_ms": 7}
+    put(spark, f"{work}/in", CREATED, other, "{bad")
+    two = jobs.Lookups(
+        table(spark, integration(123, json_data='{"s3_bucket":"b"}'), integration(124, workspace_id="ws-2")),
+        spark.createDataFrame([("ws-1", "cust-1"), ("ws-2", "cust-2")], schemas.WORKSPACES),
+        spark.createDataFrame([], schemas.AUTHS),
+    )
+    run = lambda: jobs.change_job(
+        topics.file_topic(spark, f"{work}/in"), lambda: two, f"{work}/out", f"{work}/checkpoint",
+        instant("2024-02-01 00:00:00"),
+    ).awaitTermination()
+    run()
+    put(spark, f"{work}/in", other | {"__source_ts_ms": 8}, first=50)
+    put(spark, f"{work}/in", CREATED | {"__op": "x", "workspace_id": "ws-1", "integration_id": None}, first=70)
+    run()
+    assert not any(n.startswith("batch_id") for n in storage.names(spark, f"{work}/out/resolved"))
+    done = erasure.erase_outputs(spark, f"{work}/out", "cust-1", two.workspaces, two.integrations)
+    assert done["requests"] >= 1
+    text = ""
+    for name in erasure.OUTPUTS:
+        rows = spark.read.parquet(f"{work}/out/{name}").collect()
+        text += "".join(map(str, rows))
+        assert rows or name in ("alerts",)
+    for trace in ("cust-1", "ws-1", "123"):
+        assert trace not in text.replace("17112345", "").replace("1711234567890", ""), trace
+    assert "ws-2" in text and "{bad" in text
+    again = erasure.erase_outputs(spark, f"{work}/out", "cust-1", two.workspaces, two.integrations)
+    assert set(again.values()) == {0}
+    with pytest.raises(ValueError):
+        erasure.erase_outputs(spark, f"{work}/out", "../x", two.workspaces, two.integrations)
+    early = erasure.drop_old_batches(spark, f"{work}/out", dt.datetime(2024, 1, 9))
+    assert early["events"] and early["audit"] and not early["dead_letters"]
+    late = erasure.drop_old_batches(spark, f"{work}/out", dt.datetime(2024, 3, 1))
+    assert late["dead_letters"] and not late["events"]
+    assert jobs.health(spark, f"{work}/out", running=False).first()["messages"] >= 4
+
+
 def test_the_clock_is_asked_once_a_batch(spark, work):
     hours = iter(range(1, 10))
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import Observation, functions as F
@@ -12,7 +15,7 @@ from harborlane.operators import landing, runs
 from harborlane.sinks import documents as docs
 from harborlane.sinks import partitions, storage
 from harborlane.sinks.versions import VersionedTable
-from harborlane.sources import files, objects as store
+from harborlane.sources import delimited, files, objects as store
 from harborlane.sources.tables import find, page
 
 
@@ -286,17 +289,78 @@ def test_csv_records(spark, tmp_path):
     (tmp_path / "b.csv").write_text("y,x\r\n20,10\r\n")
     (tmp_path / "c.csv").write_text("")
     (tmp_path / "d.csv").write_text("x,y\n")
-    rows = files.read_csv_records(spark, str(tmp_path)).collect()
-    got = [(r["path"][-5:], r["number"], r["record"], r["extra"]) for r in rows]
+    rows = delimited.read_csv_records(spark, str(tmp_path)).collect()
+    got = [(r["path"][-5:], r["line"], r["record"], r["extra"]) for r in rows]
     assert sorted(got, key=lambda g: g[:2]) == [
-        ("a.csv", 1, {"x": "1", "y": "2"}, []),
-        ("a.csv", 2, {"x": "3", "y": 'a "b",\nc'}, ["5", "6"]),
-        ("a.csv", 3, {"x": "4", "y": None}, []),
-        ("a.csv", 4, {"x": "", "y": ""}, []),
-        ("b.csv", 1, {"x": "10", "y": "20"}, []),
+        ("a.csv", 2, {"x": "1", "y": "2"}, []),
+        ("a.csv", 3, {"x": "3", "y": 'a "b",\nc'}, ["5", "6"]),
+        ("a.csv", 6, {"x": "4", "y": None}, []),
+        ("a.csv", 7, {"x": "", "y": ""}, []),
+        ("b.csv", 2, {"x": "10", "y": "20"}, []),
     ]
 
 
+@pytest.mark.parametrize("block, files_", [("13b", 5), ("100b", 12), ("64m", 40)])
+def test_csv_as_a_standard_parser_reads_it(spark, tmp_path, block, files_):
+    """Files of random quotes, delimiters and line ends, cut into blocks of any size."""
+    rng = random.Random(files_)
+    pieces = ['"', '"', '""', "a", "bc", "d e", ";", ";", "\n", "\r\n", '"\n', ';"', '";', "\u00fc", "\U0001f600"]
+    expected, listed = {}, {}
+    for i in range(files_):
+        quoted = i % 4 > 0  # every fourth file has no line break inside quotes
+        body = "".join(rng.choices(pieces if quoted else [p for p in pieces if '"' not in p], k=rng.randrange(1, 60)))
+        text = rng.choice(["x;y;z\n", 'x;"y ""1"" z";x\n', '"x\n1";y\n', "\n"]) + body.rstrip("\r\n") + ";e"
+        (tmp_path / f"{i:02}.csv").write_bytes(text.encode())
+        listed[i] = [row for row in csv.reader(io.StringIO(text), delimiter=";")]
+        expected[i] = [
+            ({k: v for k, v in row.items() if k is not None}, row.get(None, []))
+            for row in csv.DictReader(io.StringIO(text), delimiter=";")
+        ]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        records = delimited.read_csv_records(spark, str(tmp_path), ";")
+        rows = delimited.read_csv_lists(spark, str(tmp_path), ";")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    got, lists = {i: [] for i in expected}, {i: [] for i in expected}
+    for r in records.orderBy("path", "line").collect():
+        got[int(r.path[-6:-4])].append((r.record, r.extra))
+    for r in rows.orderBy("path", "line").collect():
+        lists[int(r.path[-6:-4])].append(r["values"])
+    assert got == expected
+    assert lists == listed
+
+
+def test_one_large_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    lines = [f'{i},"text {i}",5" pipe' for i in range(20_000)]
+    lines[7000] = '7000,"over\n' + "many lines\n" * 3000 + '",end'
+    (tmp_path / "large.csv").write_text("n,t,u\n" + "\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        read = spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions()
+        rows = delimited.read_csv_records(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    found = {int(r.record["n"]): r for r in rows.collect()}
+    assert read > 10 and len(found) == 20_000 and found[19_999].line == 20_001 + 3001
+    assert found[5].record == {"n": "5", "t": "text 5", "u": '5" pipe'}
+    assert found[7000].record["t"].count("\n") == 3001 and found[7000].record["u"] == "end"
+
+
+@pytest.mark.parametrize("delimiter", ["||", "", '"', "\n"])
+def test_a_delimiter_is_one_character(spark, tmp_path, delimiter):
+    with pytest.raises(ValueError):
+        delimited.read_csv_lists(spark, str(tmp_path), delimiter)
+
+
+def test_csv_fields_of_very_many_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('t,u\n"' + 'x""' * 200_000 + '",2\n' + '"a",' * 30_000 + '\n')
+    first, second = delimited.read_csv_records(spark, str(tmp_path)).orderBy("line").collect()
+    assert first.record == {"t": 'x"' * 200_000, "u": "2"} and len(second.extra) == 29_999
+
+
 def test_every_object_is_listed_and_read(spark, tmp_path):
     contents = {
         "_a.json": b"{}", ".b.json": b"[]", "empty.json": b"", "my file+%41.json": b'{"x":1}', "n\u00e4me.json": b"\xe4",
