@@ -1,17 +1,21 @@
 """Removal of lines that many documents share, with levelled sorted runs of line hashes.
 
 A line's key is the line without surrounding ASCII white space, A-Z in lower case. Keys are held as
-128-bit hashes. A run is a table of (key, documents), hash-bucketed and sorted by key; batches of
-documents come in one after the other:
+128-bit hashes. A run is a table of (key, documents, texts) in hash buckets, each one file sorted by key;
+batches of documents come in one after the other:
 
 * the keys of a batch are counted, each once per document;
-* keys that an earlier run alone shows to be frequent are settled: the batch is anti-joined with the
-  runs, so a line that a third of all documents share costs later batches nothing;
+* keys that an earlier run alone shows to be frequent are settled: the batch is merge-joined with the
+  runs, which are read in their order without being sorted or dealt out again, and loses those keys; so
+  a line that a third of all documents share costs later batches nothing;
 * what is left becomes a run of level 0, and when a level has ``fanout`` runs, they are merged into
-  one run of the next level, counts added.
+  one run of the next level, counts added, and their tables and files dropped. The last ones go when
+  the frequent keys are written.
 
 A key's total is the sum over the runs, which is below the true count only for settled keys. The
-documents then drop the lines of all keys with a total of ``min_docs`` or more.
+documents then drop the lines of all keys with a total of ``min_docs`` or more. The lines meet the
+keys in a join, but for those of the most common keys, at most ``COMMON`` by count, which are sent to
+all tasks: a key with so many lines would meet them in one.
 
 Equal texts are handled once: the lines of a text, not of a document, meet the runs, and the number
 of documents with that text is carried as a weight. No step needs an id of the rows, so null and
@@ -23,14 +27,21 @@ by ``drop_lines`` whatever they are called.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from harborlane import session
 from harborlane.llm.common import ASCII_SPACE, LOWER, UPPER, stored
+from harborlane.sinks import storage
 
 MIN_DOCS, MIN_CHARS = 10, 1
 BATCHES, FANOUT = 4, 3
+#: A key that holds this part of all lines is common; there are no more of them than this.
+COMMON = 1000
+#: Buckets of one file count as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -41,6 +52,16 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+@contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED, "false")
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
+
+
 class LineRuns:
     """The runs, each a bucketed and sorted table in the shared folder."""
 
@@ -48,46 +69,72 @@ class LineRuns:
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[str]] = []
 
     def add(self, counts: DataFrame, min_docs: int) -> None:
         """Take in the (key, documents) of a batch, without the keys that are settled."""
-        for run in self.runs():
-            counts = counts.join(run.where(F.col("documents") >= min_docs), "key", "left_anti")
-        self._put(counts, 0)
+        # Only here: sorted tables one after the other, as a merge reads them, are not sorted.
+        with ordered_buckets(self.spark):
+            for run in self.runs():
+                settled = run.where(F.col("documents") >= min_docs)
+                counts = counts.join(settled.hint("merge"), "key", "left_anti")
+            name = self._written(counts)
+        self._put(name, 0)
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def totals(self) -> DataFrame:
-        """(key, documents) over all runs."""
-        return _merged(self.runs())
+        """(key, documents, texts) over all runs."""
+        return self._merged([name for level in self.levels for name in level])
 
-    def _put(self, counts: DataFrame, level: int) -> None:
+    def drop(self) -> None:
+        """Drop all runs; what was read from them and not written is gone."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
+
+    def _put(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self._written(counts))
+        self.levels[level].append(name)
         if len(self.levels[level]) == self.fanout:
-            merged, self.levels[level] = _merged(self.levels[level]), []
-            self._put(merged, level + 1)
-
-    def _written(self, counts: DataFrame) -> DataFrame:
+            old, self.levels[level] = self.levels[level], []
+            self._put(self._written(self._merged(old)), level + 1)
+            self._drop(old)
+
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The sums by key of several runs. They are read as plain files: a union of bucketed tables
+        passes for bucketed itself, but has a partition for each bucket of each table, so equal keys
+        would not meet."""
+        runs = [
+            self.spark.read.schema(self.spark.table(name).schema).parquet(f"{self._folder()}/{name}")
+            for name in names
+        ]
+        union = runs[0]
+        for run in runs[1:]:
+            union = union.unionByName(run)
+        counts = [name for name in union.columns if name != "key"]
+        return union.groupBy("key").agg(*[F.sum(name).alias(name) for name in counts])
+
+    def _written(self, counts: DataFrame) -> str:
         name = f"harborlane_run_{uuid.uuid4().hex}"
         (
             counts.repartition(self.buckets, "key")
             .write.bucketBy(self.buckets, "key")
             .sortBy("key")
-            .option("path", session.fresh_dir(self.spark, "llm-line-run"))
+            .option("path", f"{self._folder()}/{name}")
             .saveAsTable(name)
         )
-        return self.spark.table(name)
+        return name
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"drop table {name}")
+            storage.delete(self.spark, f"{self._folder()}/{name}")
 
-def _merged(runs: list[DataFrame]) -> DataFrame:
-    union = runs[0]
-    for run in runs[1:]:
-        union = union.unionAll(run)
-    return union.groupBy("key").agg(F.sum("documents").alias("documents"))
+    def _folder(self) -> str:
+        return f"{session.work_dir(self.spark)}/harborlane/llm-line-runs"
 
 
 def text_lines(docs: DataFrame, text: str, min_chars: int, batches: int) -> DataFrame:
@@ -127,17 +174,28 @@ def dropped_positions(
             .select("copies", F.explode(F.array_distinct("keys")).alias("key"))
             .where(F.col("key").isNotNull())
             .groupBy("key")
-            .agg(F.sum("copies").alias("documents")),
+            .agg(F.sum("copies").alias("documents"), F.count(F.lit(1)).alias("texts")),
             min_docs,
         )
-    frequent = runs.totals().where(F.col("documents") >= min_docs).select("key")
-    return (
-        texts.select("text_id", F.posexplode("keys").alias("position", "key"))
-        .where(F.col("key").isNotNull())
-        .join(frequent, "key")
-        .groupBy("text_id")
-        .agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    frequent = stored(runs.totals().where(F.col("documents") >= min_docs), "frequent-lines")
+    runs.drop()
+    return _positions(texts, frequent)
+
+
+def _positions(texts: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(text_id, positions) of the lines with a key in ``frequent``, those of common keys apart."""
+    lines = texts.agg(F.sum(F.size("keys"))).first()[0] or 0
+    # Each common key stands in so many different texts that there are at most COMMON of them.
+    common = frequent.where(F.col("texts") * COMMON >= lines).select("key")
+    rare = frequent.where(F.col("texts") * COMMON < lines).select("key")
+    placed = texts.select("text_id", F.posexplode("keys").alias("position", "key")).where(
+        F.col("key").isNotNull()
+    )
+    marked = placed.join(F.broadcast(common.withColumn("common", F.lit(True))), "key", "left")
+    found = marked.where("common").select("text_id", "position").unionAll(
+        marked.where(F.col("common").isNull()).join(rare.hint("merge"), "key").select("text_id", "position")
     )
+    return found.groupBy("text_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
 def drop_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:

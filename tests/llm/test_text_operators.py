@@ -14,8 +14,10 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from harborlane import session
 from harborlane.llm import bpe, language, line_dedup, mixing, queries, simhash, toxicity
 from harborlane.llm.common import held_out, table
+from harborlane.sinks import storage
 from tests.compare import connect, differences
 from tests.llm.conftest import LONG
 
@@ -69,6 +71,48 @@ def test_runs_leave_settled_keys_out(spark):
     assert {bytes(r.key): r.documents for r in runs.totals().collect()} == {b"a": 5, b"b": 3}
 
 
+def test_counts_of_several_runs_are_added(spark):
+    """A key that no run alone shows to be frequent, in runs of two levels."""
+    runs = line_dedup.LineRuns(spark, buckets=2, fanout=2)
+    for documents in (3, 1, 2):
+        runs.add(spark.createDataFrame([(b"a", documents)], "key binary, documents bigint"), 99)
+    assert [len(level) for level in runs.levels] == [1, 1]
+    assert [tuple(r) for r in runs.totals().collect()] == [(b"a", 6)]
+    runs.drop()
+
+
+def test_runs_are_read_in_their_order(spark):
+    """No exchange and no sort above a run; a run is a bucket a file."""
+    runs = line_dedup.LineRuns(spark, buckets=3, fanout=9)
+    one = spark.createDataFrame([(bytes([65 + i]), 5) for i in range(20)], "key binary, documents bigint")
+    runs.add(one, 4)
+    with line_dedup.ordered_buckets(spark):
+        first, batch = runs.runs()[0], runs.runs()[0]
+        joined = batch.join(first.where("documents >= 4").hint("merge"), "key", "left_anti")
+        plan = spark._jvm.PythonSQLUtils.explainString(joined._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert joined.count() == 0
+
+
+def test_no_runs_are_left(spark, odd):
+    folder = f"{session.work_dir(spark)}/harborlane/llm-line-runs"
+
+    def there():
+        tables = {t.name for t in spark.catalog.listTables() if t.name.startswith("harborlane_run_")}
+        return tables, set(storage.names(spark, folder))
+
+    before = there()
+    found = line_dedup.drop_lines(odd, min_docs=3, batches=7, fanout=2)
+    assert there() == before and found.count() == odd.count()
+
+
+@pytest.mark.parametrize("common", [1, 3, 10**6])
+def test_common_keys_apart(odd, common, monkeypatch):
+    expected = sorted(line_dedup.drop_lines(odd, min_docs=2).select("kept").collect())
+    monkeypatch.setattr(line_dedup, "COMMON", common)
+    assert sorted(line_dedup.drop_lines(odd, min_docs=2).select("kept").collect()) == expected
+
+
 def test_no_lines(none):
     assert line_dedup.drop_lines(none).count() == 0
 
