@@ -47,7 +47,7 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     archives = session.fresh_dir(spark, "llm-warc")
     warc.write_archives(table(spark, folder, "pages"), archives)
     return (
-        warc.read_archives(spark, archives)
+        warc.read_archives(spark, archives, payload=False)
         .where(F.col("gap").isNull())
         .select(
             warc.page_of(F.col("record_id")).alias("page_id"),

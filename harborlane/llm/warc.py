@@ -2,9 +2,11 @@
 
 ``write_archives`` makes one record per page, each a gzip member of its own. Of the pages with one
 payload of at least ``min_revisit`` bytes, the one with the largest id is written as a response, the
-others as revisits of it, which hold the HTTP header only. Archives are written by Spark's text
-sink, with an empty gzip member in the place of the line end, so any file system will do; an
-archive holds at most ``per_archive`` records.
+others as revisits of it, which hold the HTTP header only. Payloads meet the ids of their responses in
+a join on their hash; those of the largest groups of copies, at most ``COMMON``, are sent to all tasks,
+so no group meets in one. Archives are written by Spark's text sink, with an empty gzip member in the
+place of the line end, so any file system will do; an archive has about ``archive_bytes`` bytes, or one
+record that is larger.
 
 ``read_archives`` reads compressed and plain archives, with any number of records in a gzip member. A
 record counts if its version line, header and length are right, and its digests fit. After a failed
@@ -32,8 +34,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from harborlane.llm.common import stored
+
 MIN_REVISIT = 1000
-PER_ARCHIVE = 4000
+ARCHIVE_BYTES, BUNDLE_BYTES = 1 << 25, 1 << 19
+#: A payload that this part of all pages has is common; there are no more of them than this.
+COMMON = 1000
 DATE = "2024-01-01T00:00:00Z"
 RECORD_ID = "urn:harborlane:page:"
 #: A gzip member of no bytes, as text in ISO-8859-1.
@@ -85,47 +91,59 @@ def with_response(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     do not meet in one task.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    key = F.when(F.octet_length("payload") >= min_revisit, F.sha2("payload", 256)).otherwise(
-        F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))
-    )
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))
+    key = F.when(F.octet_length("payload") >= min_revisit, F.sha2("payload", 256)).otherwise(alone)
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("key", key)
-    shared = (
+    shared = stored(
         rows.where(F.octet_length("payload") >= min_revisit)
         .groupBy("key")
         .agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("pages"))
-        .where(F.col("pages") > 1)
-        .select("key", "holder")
+        .where(F.col("pages") > 1),
+        "warc-shared",
     )
-    refers_to = F.when(~F.col("holder").eqNullSafe(F.col("page_id")), F.col("holder"))
-    return rows.join(shared, "key", "left").select(
+    copies = shared.agg(F.sum("pages")).first()[0] or 0
+    # Each has so many of the pages that there are at most COMMON of them.
+    common = shared.where(F.col("pages") * COMMON >= copies)
+    rare = shared.where(F.col("pages") * COMMON < copies)
+    placed = rows.join(
+        F.broadcast(common.select("key", F.col("holder").alias("_holder"), F.lit(True).alias("_found"))),
+        "key", "left",
+    ).withColumn("key", F.when(F.col("_found"), alone).otherwise(F.col("key")))
+    holder = F.coalesce("_holder", "holder")
+    refers_to = F.when(~holder.eqNullSafe(F.col("page_id")), holder)
+    return placed.join(rare.select("key", "holder").hint("merge"), "key", "left").select(
         "page_id", "url", "payload", refers_to.alias("refers_to")
     )
 
 
 def write_archives(
-    pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, per_archive: int = PER_ARCHIVE
+    pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES
 ) -> None:
     """Write ``page_id``, ``url``, ``html`` as archives into a new folder."""
+    bundle = min(BUNDLE_BYTES, archive_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members, about as many to a row as make a bundle."""
+        held, size = [], 0
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                rows = batch.slice(first, 256).to_pylist()
-                members = [
-                    gzip.compress(
-                        record(r["page_id"], r["url"], r["payload"], r["refers_to"]), 6, mtime=0
-                    )
-                    for r in rows
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["member"])
+            for first in range(0, len(batch), 64):
+                for r in batch.slice(first, 64).to_pylist():
+                    made = record(r["page_id"], r["url"], r["payload"], r["refers_to"])
+                    held.append(gzip.compress(made, 6, mtime=0))
+                    size += len(held[-1])
+                    if size >= bundle:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["members"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["members"])
 
     (
         with_response(pages, min_revisit)
-        .mapInArrow(run, "member binary")
-        .select(F.col("member").cast("string").alias("value"))
+        .mapInArrow(run, "members binary")
+        .select(F.col("members").cast("string").alias("value"))
         .write.option("lineSep", EMPTY_MEMBER)
         .option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", per_archive)
+        .option("maxRecordsPerFile", max(1, archive_bytes // bundle))
         .text(folder)
     )
 
@@ -305,8 +323,8 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield gap_row(len(data))
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """All records and gaps of the archives in a folder.
+def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+    """All records and gaps of the archives in a folder; without the ``payload`` if it is not asked for.
 
     A row is a record (``gap`` null) or a gap (``gap`` says which check failed first); ``offset`` and
     ``size`` say where it, or its gzip member, is in the archive, ``inner`` and ``inner_size`` where it
@@ -327,6 +345,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 rows, held = [], 0
                 for row in salvage(content.as_py()):
+                    if not payload:
+                        row.pop("payload", None)
                     rows.append({"archive": path.as_py(), **row})
                     held += len(row.get("payload") or b"")
                     if held > 1 << 22 or len(rows) == 2000:
@@ -334,7 +354,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, FOUND)
+    found = spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, FOUND)
+    return found if payload else found.drop("payload")
 
 
 def page_of(record_id):
