@@ -15,7 +15,8 @@ prior for the listed names, which also stands if no page can teach.
 ``max_pages`` bounds the pages trained on (the ones with the smallest hash); below it, all are.
 
 Character references are decoded, white space within a block becomes one blank, blocks of main text
-are joined by a line feed. Scripts, styles, comments and markup are no text. Tags may be unclosed.
+are joined by a line feed. Scripts, styles, comments and markup are no text, nor is what an element hides
+(``hidden``, ``aria-hidden="true"``, ``display: none``, ``visibility: hidden``). Tags may be unclosed.
 Null and empty pages, and pages without main text, have an empty text. Repeated pages are extracted
 each. Pages are read whole. Extra columns may have any name.
 """
@@ -69,10 +70,10 @@ CONTENT_WORDS = {"article", "main", "content", "post", "entry", "story"}
 OTHER_WORDS = set(
     "ad ads advert advertisement adverts alert author banner bar breadcrumb breadcrumbs byline"
     " comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer"
-    " disqus footer form gdpr header hidden legal links login masthead menu meta modal nav navbar"
+    " discussion disqus feedback footer form gdpr header hidden legal links login masthead menu meta modal nav navbar"
     " navigation newsletter notice notices notification pager pagination paging popup promo promoted"
     " recommended related replies reply respond search share sharing sidebar signup skip social"
-    " sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking warning widget"
+    " sponsor sponsored subscribe subscription tags teaser thread toolbar topbar tracking warning widget"
     .split()
 )
 #: What stays other text whatever is nested in it, but for ``main``, by family.
@@ -80,7 +81,7 @@ ASIDES = {
     name: family
     for family, names in {
         "aside": "aside complementary sidebar",
-        "comments": "comment comments disqus replies reply respond",
+        "comments": "comment comments discussion disqus feedback replies reply respond thread",
         "menu": "breadcrumb breadcrumbs menu nav navbar navigation pagination",
         "footer": "footer contentinfo",
         "teaser": "promoted recommended related teaser",
@@ -89,11 +90,19 @@ ASIDES = {
     }.items()
     for name in names.split()
 }
+#: The family of what is not shown, which nothing inside it can leave.
+HIDDEN = "not shown"
 #: A class that begins so tells what a page or post has or is about, not what the element is.
 ABOUT = {"has", "with", "no", "without", "tag", "category", "is", "not"}
 #: Containers of anything; their tags say nothing.
 PLAIN = {"html", "body", "div", "section"}
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+HIDING = re.compile(
+    r"""(?:^|\s)(?:aria-hidden\s*=\s*["']?true\b|style\s*=\s*(?:"[^"]*|'[^']*)"""
+    r"""(?:display\s*:\s*none|visibility\s*:\s*hidden))""",
+    re.I,
+)
 SPACE = re.compile(r"\s+")
 CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -109,6 +118,13 @@ def attribute_words(attributes: str) -> list[list[str]]:
     return names
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element with these attributes is not shown."""
+    if HIDING.search(attributes):
+        return True
+    return "hidden" in QUOTED.sub("", attributes).lower().replace("=", " ").split()
+
+
 def region(tag: str, names: list[list[str]]) -> tuple[str, str] | None:
     """(kind, name) if an element marks a region: its tag, else ``other`` words, else ``main`` ones."""
     if tag in CONTENT_TAGS:
@@ -141,9 +157,11 @@ class Around:
         if tag != "html" and tag != "body":
             own += [f"word {w}" for words in names for w in words]
         mark = region(tag, names)
-        if not (own or mark):
+        if not (own or mark or hides(attributes)):
             return self
         kind, marker, family = self.kind, self.marker, self.family
+        if family == HIDDEN or hides(attributes):
+            return Around("other", "hidden", HIDDEN, ("marker hidden",))
         if tag == "main":
             family = None
         if mark and not family:
@@ -483,7 +501,7 @@ def train(pages: DataFrame, column: str = "html", max_pages: int = MAX_PAGES) ->
 def main_text(page: str | None, field: Field) -> str:
     blocks = leaf_blocks(page or "")
     labels = field.decode(page_features(blocks))
-    return "\n".join(b.text for b, label in zip(blocks, labels) if label)
+    return "\n".join(b.text for b, label in zip(blocks, labels) if label and b.around.family != HIDDEN)
 
 
 def extract(pages: DataFrame, field: Field, column: str = "html") -> DataFrame:
