@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from harborlane.llm.common import stored
 from harborlane.llm.vectors import build, meet, parts_of, usable

@@ -216,7 +216,7 @@ def test_archives(spark, work):
         (8, "g", "WARC/1.1\r\n\r\n" * 300),
     ]
     pages = spark.createDataFrame([(*r, "x") for r in rows], PAGES)
-    warc.write_archives(pages, work, per_archive=2)
+    warc.write_archives(pages, work, archive_bytes=600)
     found = warc.read_archives(spark, work).collect()
     assert [r for r in found if r.gap] == [] and len(found) == len(rows)
     by_id = {warc_id(r.record_id): r for r in found}
@@ -231,6 +231,41 @@ def test_archives(spark, work):
     assert by_id[6].payload_bytes == 0
 
 
+@pytest.mark.parametrize("attributes, hidden", [
+    ("hidden", True), ("class=x hidden=''", True), ('style="color: red; display:none"', True),
+    ("style='visibility : hidden'", True), ('aria-hidden="true"', True), ('title="the hidden truth"', False),
+    ('style="display: block"', False), ('aria-hidden="false"', False), ("data-hidden=1", False), ("", False),
+])
+def test_what_an_element_hides_is_no_text(attributes, hidden):
+    page = f"<main><p>Shown first.</p><div {attributes}><main><p>Between.</p></main></div><p>Shown last.</p></main>"
+    text = html_blocks.main_text(page, html_blocks.Field())
+    assert text.split("\n") == ["Shown first.", *([] if hidden else ["Between."]), "Shown last."]
+
+
+@pytest.mark.parametrize("mark", ["class=discussion-thread", "class='feedback'", "id=thread", "class=commentList"])
+def test_comments_by_other_names(mark):
+    page = f"<article><p>The text.</p></article><section {mark}><article><p>A reader.</p></article></section>"
+    assert html_blocks.main_text(page, html_blocks.Field()) == "The text."
+
+
+@pytest.mark.parametrize("common", [1, 4, 1000])
+def test_groups_of_copies_and_archives_by_bytes(spark, work, common, monkeypatch):
+    monkeypatch.setattr(warc, "COMMON", common)
+    body = lambda k: f"<p>{k}</p>" * 300
+    rows = [(i, f"u{i}", body(0 if i < 60 else i % 7)) for i in range(100)] + [(100 + i, "v", "x") for i in range(9)]
+    pages = spark.createDataFrame([(*r, "") for r in rows], PAGES)
+    warc.write_archives(pages, work, archive_bytes=4000)
+    found = warc.read_archives(spark, work, payload=False)
+    assert "payload" not in found.columns
+    last = {}
+    for i, _, html in rows:
+        last[html] = max(i, last.get(html, 0))
+    expected = {i: last[html] if len(html) >= 1000 and last[html] != i else None for i, _, html in rows}
+    assert {warc_id(r.record_id): warc_id(r.refers_to) for r in found.collect()} == expected
+    sizes = [r.length for r in spark.read.format("binaryFile").load(work).select("length").collect()]
+    assert len(sizes) > 3 and max(sizes) < 6000
+
+
 def warc_id(record_id):
     digits = (record_id or "").removeprefix(warc.RECORD_ID)
     return int(digits) if digits else None

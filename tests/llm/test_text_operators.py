@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -272,6 +273,67 @@ def test_word_hashes_do_not_depend_on_place():
     assert rows.tolist() == [0, 0, 1, 1] and hashes[0] == hashes[2] and len(set(hashes.tolist())) == 3
 
 
+def plain_features(text):
+    """The different features of a text as strings."""
+    words = re.findall(rb"[0-9'a-z\x80-\xff]+", text.encode().translate(bytes.maketrans(
+        b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
+    return set(words) | {("pair", *p) for p in zip(words, words[1:])} | {("skip", *p) for p in zip(words, words[2:])}
+
+
+def plain_ftrl(shards, rounds, passes):
+    """Weights by feature: a dictionary for each number, one row and one feature after the other."""
+    state = {}
+    for _ in range(rounds):
+        made = []
+        for rows in shards:
+            z, n = ({f: v[i] for f, v in state.items()} for i in (0, 1))
+            for _ in range(passes):
+                for found, label in rows:
+                    weight = {f: plain_weight(f, z.get(f, 0.0), n.get(f, 0.0)) for f in found}
+                    p = 1 / (1 + math.exp(-max(-35, min(35, sum(weight.values())))))
+                    for f, w in weight.items():
+                        old, g = n.get(f, 0.0), p - label
+                        sigma = (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.ALPHA
+                        z[f], n[f] = z.get(f, 0.0) + g - sigma * w, old + g * g
+            made.append((z, n))
+        every = {f for z, _ in made for f in z}
+        state = {f: tuple(sum(m[i].get(f, 0.0) for m in made) / len(shards) for i in (0, 1)) for f in every}
+    return {f: w for f, (z, n) in state.items() if (w := plain_weight(f, z, n))}
+
+
+def plain_weight(feature, z, n):
+    l1 = 0.0 if feature == "intercept" else toxicity.L1
+    if abs(z) <= l1:
+        return 0.0
+    return (math.copysign(l1, z) - z) / ((toxicity.BETA + math.sqrt(n)) / toxicity.ALPHA + toxicity.L2)
+
+
+@pytest.mark.parametrize("rows_per_shard", [1000, 30])
+def test_toxicity_against_plain_ftrl(spark, rows_per_shard, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS_PER_SHARD", rows_per_shard)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["Bad", "\u00fcbel", "it's"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 25))) for _ in range(120)]
+    marks = [int("Bad" in t or rng.random() < 0.05) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id bigint, toxic int")
+    got = toxicity.train(docs, labels)
+    shards = -(-120 // rows_per_shard)
+    keys = {r.id: r.key for r in spark.range(120).select("id", F.xxhash64("id", F.lit("toxic")).alias("key")).collect()}
+    parts = [[] for _ in range(shards)]
+    for i in sorted(keys, key=lambda i: (keys[i], marks[i])):
+        if keys[i] % (1 << 20) < 1 << 20:
+            parts[(keys[i] >> 20) % shards].append((plain_features(texts[i]) | {"intercept"}, marks[i]))
+    expected = plain_ftrl(parts, toxicity.ROUNDS, toxicity.PASSES)
+    assert len(expected) > 3 and any(abs(w) > 1 for w in expected.values())
+    assert got[toxicity.INTERCEPT] == pytest.approx(expected["intercept"])
+    assert sorted(got.values()) == pytest.approx(sorted(expected.values()))
+    scores = {r.row.doc_id: r.score for r in toxicity.score(docs, got).collect()}
+    for i, text in enumerate(texts):
+        total = sum(expected.get(f, 0.0) for f in plain_features(text) | {"intercept"})
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame(
         [(1, 0), (2, 1), (2, 0), (6, 0), (7, None), (None, 1), (9, 5)], "doc_id bigint, toxic int"
