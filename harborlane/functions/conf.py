@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from harborlane.functions.times import compact_text
 
 VARIANT_MAP = "map<string,variant>"
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def json_map(text: Column) -> Column:
-    """Top-level keys of a JSON object; null for null, empty, malformed or non-object text."""
+    """Top-level keys of a JSON object; null for null, empty, malformed or non-object text.
+
+    Of a repeated key the last counts. Spark takes that from a setting when it plans the expression,
+    so the session is given it here, whoever made it.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set(REPEATED_KEYS, "true")
     return F.try_parse_json(text).try_cast(VARIANT_MAP)
 
 
+def ignored(text: Column, document: Column) -> Column:
+    """Whether there is text that is no document."""
+    return has_text(text) & document.isNull()
+
+
 def has_text(text: Column) -> Column:
     return F.coalesce(text != "", F.lit(False))
 

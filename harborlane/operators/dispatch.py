@@ -47,6 +47,14 @@ def credentials(auths: DataFrame) -> DataFrame:
     )
 
 
+def ignored_credentials(auths: DataFrame) -> DataFrame:
+    """(workspace_id, auth_id, warning) of the rows ``credentials`` can make nothing of."""
+    document = conf.json_map(F.col("json_data"))
+    return auths.where(conf.ignored(F.col("json_data"), document)).select(
+        "workspace_id", "auth_id", F.lit("credentials ignored").alias("warning")
+    )
+
+
 def with_tenant(integrations: DataFrame, workspaces: DataFrame, how: str = "inner") -> DataFrame:
     """Add ``customer_guid``; with ``left``, rows without a workspace get "unknown"."""
     joined = integrations.join(
@@ -111,8 +119,7 @@ def due_requests(
         F.col("utc_next_run").alias("due_run"),
         F.col("advanced_run").alias("utc_next_run"),
         F.when(
-            conf.has_text(F.col("json_data")) & F.col("_document").isNull(),
-            F.lit("json_data ignored"),
+            conf.ignored(F.col("json_data"), F.col("_document")), F.lit("json_data ignored")
         ).alias("warning"),
     )
 
@@ -157,4 +164,12 @@ def manual_request(
         ).alias("dag_run_id"),
         F.when(found, conf.conf_text(F.col("_conf"))).alias("conf"),
         F.when(~found, F.lit("integration not found")).alias("error"),
+        F.nullif(
+            F.concat_ws(
+                ", ",
+                F.when(conf.ignored(F.col("json_data"), F.col("_document")), F.lit("json_data ignored")),
+                F.when(conf.ignored(F.col("run_config"), F.col("_override")), F.lit("run_config ignored")),
+            ),
+            F.lit(""),
+        ).alias("warning"),
     )

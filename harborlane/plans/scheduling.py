@@ -315,18 +315,21 @@ def dispatch_advanced(spark: SparkSession, folder: str) -> DataFrame:
     views="integrations creds",
     sql=f"""select integration_id, workflow || '_ondemand' as dag_id,
       workspace_id || '_' || workflow || '_ondemand_manual_20240115_000000_0_' || integration_id as dag_run_id,
-      {_conf_sql("'override-' || integration_id", _DOC['collection'], _DOC['prefix'], None, None,
-                 'integration_id')} as conf,
-      cast(null as varchar) as error
+      {_conf_sql(f"case when integration_id % 7 = 0 then {_DOC['bucket']} else 'override-' || integration_id end",
+                 _DOC['collection'], _DOC['prefix'], None, None, 'integration_id')} as conf,
+      cast(null as varchar) as error,
+      nullif(concat_ws(', ', case when json_data is not null and not has_doc then 'json_data ignored' end,
+        case when integration_id % 7 = 0 then 'run_config ignored' end), '') as warning
     from integrations left join creds using (workspace_id)""",
 )
 def manual_requests(spark: SparkSession, folder: str) -> DataFrame:
     table = views.integrations(spark, folder)
     overrides = table.select(
         "integration_id",
-        F.concat(
-            F.lit('{"s3_bucket":"override-'), F.col("integration_id").cast("string"), F.lit('"}')
-        ).alias("run_config"),
+        # The first of a repeated key does not count; every seventh override is no document.
+        F.when(F.col("integration_id") % 7 == 0, "{bad").otherwise(F.concat(
+            F.lit('{"s3_bucket":"first","s3_bucket":"override-'), F.col("integration_id").cast("string"), F.lit('"}')
+        )).alias("run_config"),
     )
     return dispatch.manual_request(table, views.auths(spark, folder), overrides, at(NOW))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from harborlane.sources import delimited
+from harborlane.sources import delimited, objects
 from harborlane.sources.paths import plain_path
 
 CORRUPT = "_corrupt"
@@ -27,9 +27,19 @@ def whole_text(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     )
 
 
-def read_json_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """Whole-file JSON: ``document`` is null where the file does not parse."""
-    return whole_text(spark, path, suffix).withColumn("document", F.try_parse_json("content"))
+def read_json_files(
+    spark: SparkSession, path: str, suffix: str = ".json", complete: bool = False
+) -> DataFrame:
+    """Whole-file JSON: ``document`` is null where the file does not parse.
+
+    ``complete`` reads every object, also those Spark's sources leave out: empty ones, and names that
+    begin with ``_`` or ``.``.
+    """
+    if complete:
+        found = objects.read_all_text(list_and_filter(spark, path, suffix, complete=True))
+    else:
+        found = whole_text(spark, path, suffix)
+    return found.withColumn("document", F.try_parse_json("content"))
 
 
 def read_json_lines(
@@ -106,21 +116,25 @@ def read_text(
     return read_bytes(spark, path, suffix).select("path", decoded.alias("content"))
 
 
-def list_objects(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+def list_objects(
+    spark: SparkSession, path: str, limit: int = 0, complete: bool = False
+) -> DataFrame:
     """Listing without reading content; all objects unless a limit is asked for.
 
-    Names that begin with ``_`` or ``.`` and empty objects are not in it; ``objects.list_all`` has
-    them.
+    Names that begin with ``_`` or ``.`` and empty objects are only in it if it is to be ``complete``.
     """
-    listing = read_bytes(spark, path).select("path", "length", "modificationTime")
+    if complete:
+        listing = objects.list_all(spark, path)
+    else:
+        listing = read_bytes(spark, path).select("path", "length", "modificationTime")
     return listing.orderBy("path").limit(limit) if limit else listing
 
 
 def list_and_filter(
-    spark: SparkSession, path: str, suffix: str = "", limit: int = 0
+    spark: SparkSession, path: str, suffix: str = "", limit: int = 0, complete: bool = False
 ) -> DataFrame:
     """Keys that end with the suffix. As in a paged listing, the limit applies before the filter."""
-    listing = list_objects(spark, path, limit).select("path")
+    listing = list_objects(spark, path, limit, complete).select("path")
     return listing.where(F.col("path").endswith(suffix)) if suffix else listing
 
 

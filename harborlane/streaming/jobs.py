@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from harborlane import schemas, session
+from harborlane.functions.times import instant, seconds_between
 from harborlane.operators import audit, changes, deadletter
 from harborlane.sinks import segments, storage
 from harborlane.sinks.partitions import AUDIT_PARTITIONS
@@ -189,7 +190,7 @@ def may_be_stored(at: Column, arrived: Column, began: int, filled: bool) -> Colu
     """
     day, skew = DEDUP_HOURS * 3600, CLOCK_SKEW_HOURS * 3600
     seconds = F.unix_seconds(arrived)
-    own = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
+    own = seconds_between(instant("1970-01-01 00:00:00"), at)
     older = F.when(seconds >= began + day, own < seconds - day + skew).otherwise(F.lit(False))
     return older | (own < began + skew) if filled else older
 

@@ -184,6 +184,20 @@ def test_override_precedence(spark):
     rows = dispatch.manual_request(df, auths, overrides, instant("2026-01-01 00:00:00")).orderBy("integration_id").collect()
     assert '"a":1,"auth_id":1,"b":2,"c":3,"d":null' in rows[0]["conf"]
     assert rows[1]["error"] == "integration not found" and rows[1]["conf"] is None
+    bad = spark.createDataFrame([(1, "ws-1", "key", "{bad"), (2, "ws-1", "key", ""), (3, "ws-2", "key", '{"a":1}')], schemas.AUTHS)
+    assert [tuple(r) for r in dispatch.ignored_credentials(bad).collect()] == [("ws-1", 1, "credentials ignored")]
+
+
+def test_repeated_keys_in_any_session(spark):
+    other = spark.newSession()
+    other.conf.set(conf.REPEATED_KEYS, "false")
+    text = other.createDataFrame([('{"a":1,"a":2}',)], "t string")
+    jvm = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    jvm.setActiveSession(other._jsparkSession)
+    try:
+        assert text.select(conf.conf_text(conf.json_map(F.col("t")))).first()[0] == '{"a":2}'
+    finally:
+        jvm.setActiveSession(spark._jsparkSession)
 
 
 def test_merge_and_names(spark):

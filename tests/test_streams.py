@@ -260,6 +260,26 @@ def test_a_replay_after_a_day_is_looked_up(spark, work, monkeypatch):
     assert len(seen) == 1 and store.read().count() == 3
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_what_may_be_stored_already(spark, zone):
+    arrived = dt.datetime(2024, 7, 2, 12, tzinfo=dt.timezone.utc)
+    began = int(arrived.timestamp())
+    hours = [1, 0, -0.5, -2, -22, -24, -2000]
+    rows = [(dt.datetime(2024, 7, 2, 12) + dt.timedelta(hours=h), arrived) for h in hours]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame(rows, "at timestamp_ntz, arrived timestamp")
+        test = lambda start, filled: [r[0] for r in frame.select(
+            jobs.may_be_stored(F.col("at"), F.col("arrived"), start, filled)).collect()]
+        # A new checkpoint over an empty store; over one with rows; one that has run for long.
+        assert test(began, False) == [False] * 7
+        assert test(began, True) == [False] + [True] * 6
+        assert test(began - 100 * 3600, False) == [False] * 5 + [True] * 2
+        assert test(began - 100 * 3600, True) == [False] * 5 + [True] * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_a_repeated_batch_replaces_its_segment(spark, work):
     deliver(spark, work, event(1), event(2))
     audit_stream(spark, work)

@@ -385,6 +385,10 @@ def test_every_object_is_listed_and_read(spark, tmp_path):
     assert text("windows-1252")["n\u00e4me.json"] == "\u00e4"
     with pytest.raises(LookupError):
         store.read_all_text(listing, "no such set")
+    documents = files.read_json_files(spark, f"{tmp_path}/in", complete=True).collect()
+    assert len(documents) == 7 and sum(r["document"] is not None for r in documents) == 5
+    assert files.list_objects(spark, f"{tmp_path}/in", complete=True).count() == 7
+    assert files.list_and_filter(spark, f"{tmp_path}/in", "c.json", complete=True).count() == 1
     # Both listings call a visible object the same.
     usual = {r["path"] for r in files.whole_text(spark, f"{tmp_path}/in", ".json").collect()}
     assert usual < set(read)
