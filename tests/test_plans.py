@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from harborlane import schemas
 from harborlane.functions.times import instant
-from harborlane.operators import audit, changes, dispatch, forecast, runs
-from harborlane.plans import catalog
-from harborlane.sinks import partitions
+from harborlane.operators import audit, changes, deadletter, dispatch, forecast, runs
+from harborlane.plans import catalog, operations, transfer
+from harborlane.sinks import documents, partitions
 from harborlane.sources import views
 from harborlane.streaming import jobs
 
@@ -26,10 +26,10 @@ def plan_of(df) -> str:
 BATCH = sorted(name for name in catalog.queries() if not name.startswith(("stream_", "source_", "sink_versions")))
 
 
-# The schedule counts, the hours of a forecast and the one chosen key.
+# The schedule counts and the hours of a forecast.
 HINTED = {
     "forecast_hourly", "forecast_hotspots", "forecast_statistics", "forecast_summary",
-    "forecast_imminent", "backfill_jitter_by_load", "sink_update_first",
+    "forecast_imminent", "backfill_jitter_by_load",
 }
 
 
@@ -45,6 +45,27 @@ def test_no_pairing_joins_no_python_and_only_bounded_hints(spark, name):
     assert ("BroadcastExchange" in plan) == (name in HINTED)
 
 
+def test_changes_of_stores_pair_nothing(spark):
+    """What is made of the rows of some buckets; the queries return the stored result."""
+    letters = operations._letters(spark, FOLDER)
+    ids, now = letters.select("dlq_id").limit(5), instant("2024-02-01 00:00:00")
+    stored = transfer._stored(spark, FOLDER)
+    match = F.try_element_at("fields", F.lit("segment")).cast("string") == "BUILDING"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (
+            deadletter.bulk_transition(letters, ids, "resolved", now),
+            deadletter.expire(letters, now),
+            documents.delete_matching(stored, match),
+            documents.merged(stored, documents.fold(transfer._incoming(spark, FOLDER))),
+        ):
+            plan = plan_of(df)
+            for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "BroadcastExchange"):
+                assert operator not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_small_batch_does_not_shuffle_the_tables(spark, work):
     path = f"{work}/integrations"
     views.integrations(spark, FOLDER).write.parquet(path)
