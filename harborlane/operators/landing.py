@@ -59,6 +59,7 @@ def parse_objects(objects: DataFrame, suffix: str = SUFFIX) -> DataFrame:
     objects_only = F.forall("records", lambda r: r.try_cast(conf.VARIANT_MAP).isNotNull())
     parsed = parsed.withColumn("records", records).withColumn("_objects_only", objects_only)
     scalar = (head != "{") & (F.size(one) == 1)
+    # Messages users see.
     error = (
         F.when(F.col("skipped").isNotNull(), F.lit(None))
         .when(F.col("_objects_only"), F.lit(None))

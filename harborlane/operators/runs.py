@@ -47,6 +47,7 @@ def prepare_errors(requests: DataFrame) -> DataFrame:
     problem = F.when(missing(bucket), F.lit("s3_bucket")).when(
         missing(collection), F.lit("mongo_collection")
     )
+    # Code and message users see.
     return requests.where(problem.isNotNull()).select(
         "run_id",
         F.lit("prepare").alias("task_id"),
@@ -85,6 +86,7 @@ def state_errors(states: DataFrame, pushed: DataFrame) -> DataFrame:
     failed = states.where(
         F.col("task_id").isin(schemas.RUN_TASKS) & F.col("state").isin(FAILED_STATES)
     )
+    # Codes and messages users see.
     return failed.join(covered, ["run_id", "task_id"], "left_anti").select(
         "run_id",
         "task_id",
