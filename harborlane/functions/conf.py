@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession, functions as F
 
 from harborlane.functions.times import compact_text
@@ -10,6 +12,15 @@ VARIANT_MAP = "map<string,variant>"
 REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once a row, however often ``then`` uses it.
+
+    A filter over a computed column is moved below it, into a join's condition too, and has the whole
+    expression in every place where it names the column; a lambda's variable stays a variable.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
 def json_map(text: Column) -> Column:
     """Top-level keys of a JSON object; null for null, empty, malformed or non-object text.
 
@@ -42,26 +53,32 @@ def base_conf(**columns: Column) -> Column:
 
 
 def merge(first: Column, *overrides: Column) -> Column:
-    """Merge maps; the value of the last map that has the key wins, null maps add nothing.
-
-    Pass plain columns: an override is looked at once per key, so parse it in a projection before.
-    """
+    """Merge maps; the value of the last map that has the key wins, null maps add nothing."""
     empty = F.expr("cast(map() as map<string,variant>)")
     merged = F.coalesce(first, empty)
     for override in overrides:
-        over = F.coalesce(override, empty)
-        merged = F.map_concat(_without_keys_of(merged, over), over)
+        merged = _merged(merged, F.coalesce(override, empty))
     return merged
 
 
+def _merged(fields: Column, override: Column) -> Column:
+    return once(override, lambda over: F.map_concat(_without_keys_of(fields, over), over))
+
+
 def _without_keys_of(fields: Column, over: Column) -> Column:
     return F.map_filter(fields, lambda k, v: ~F.map_contains_key(over, k))
 
 
 def conf_text(conf: Column) -> Column:
     """JSON text with sorted keys, so equal documents are equal text."""
-    keys = F.array_sort(F.map_keys(conf))
-    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(conf, k))))
+
+    def by_key(fields: Column) -> Column:
+        return once(
+            F.sort_array(F.map_keys(fields)),
+            lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(fields, k))),
+        )
+
+    return F.to_json(once(conf, by_key))
 
 
 def workflow_name(integration_type: Column) -> Column:

@@ -90,10 +90,16 @@ def due_requests(
     integration_type: str | None = None,
     frozen_offset: bool = False,
 ) -> DataFrame:
-    """Run requests: conf, run id and the schedule's next time, one row per due integration."""
+    """Run requests: conf, run id and the schedule's next time, one row per due integration.
+
+    The rows are dealt out by integration before their conf is made: the join leaves them by
+    workspace, or all in the few tasks of the workspaces when Spark broadcasts the integrations.
+    """
     due = integrations.where(is_due(now, integration_type))
-    rows = due.join(tenancy(workspaces, auths), "workspace_id").where(
-        F.col("customer_guid").isNotNull()
+    rows = (
+        due.join(tenancy(workspaces, auths), "workspace_id")
+        .where(F.col("customer_guid").isNotNull())
+        .repartition("integration_id")
     )
     target = conf.workflow_run_target(F.col("integration_type"))
     parent = trace.traceparent_or_new(

@@ -37,23 +37,26 @@ def open_runs(requests: DataFrame, now: Column, first_id: int = 1, run: str = "d
 
 
 def prepare_errors(requests: DataFrame) -> DataFrame:
-    """The first missing setting of each run's conf (JSON text), as a pushed error."""
-    bucket = F.get_json_object("conf", "$.s3_bucket")
-    collection = F.get_json_object("conf", "$.mongo_collection")
+    """The first missing setting of each run's conf (JSON text), as a pushed error.
 
-    def missing(value: Column) -> Column:
-        return F.coalesce(value, F.lit("")) == ""
+    The problem is a generated column, so the filter on it stays above the conf, which is made once a
+    row; a filter on a plain column would be moved down to the joins, with all that makes the conf.
+    """
+
+    def missing(name: str) -> Column:
+        return F.coalesce(F.get_json_object("conf", f"$.{name}"), F.lit("")) == ""
 
-    problem = F.when(missing(bucket), F.lit("s3_bucket")).when(
-        missing(collection), F.lit("mongo_collection")
+    problem = F.when(missing("s3_bucket"), F.lit("s3_bucket")).when(
+        missing("mongo_collection"), F.lit("mongo_collection")
     )
+    found = requests.select("run_id", F.explode(F.array(problem)).alias("_problem"))
     # Code and message users see.
-    return requests.where(problem.isNotNull()).select(
+    return found.where(F.col("_problem").isNotNull()).select(
         "run_id",
         F.lit("prepare").alias("task_id"),
         F.lit("PREPARE_ERROR").alias("error_code"),
         F.concat(
-            F.lit("Prepare failed: "), problem, F.lit(" is required in configuration")
+            F.lit("Prepare failed: "), F.col("_problem"), F.lit(" is required in configuration")
         ).alias("message"),
         F.lit(1).alias("seq"),
     )

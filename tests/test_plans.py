@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborlane import schemas
+from harborlane.functions import conf
 from harborlane.functions.times import instant
 from harborlane.operators import audit, changes, deadletter, dispatch, forecast, runs
 from harborlane.plans import catalog, operations, transfer
@@ -45,6 +46,39 @@ def test_no_pairing_joins_no_python_and_only_bounded_hints(spark, name):
     assert ("BroadcastExchange" in plan) == (name in HINTED)
 
 
+def test_a_filter_on_confs_makes_each_once_and_not_in_the_join(spark):
+    integrations = spark.createDataFrame(
+        [
+            (1, "ws-1", 7, 1, 3, "S3ToMongo", "0 5 * * *", "active", "UTC", dt.datetime(2024, 1, 1), "daily", '{"s3_bucket":"b","mongo_collection":"c"}'),
+            (2, "ws-1", 7, 1, 3, "S3ToMongo", "0 5 * * *", "active", "UTC", dt.datetime(2024, 1, 1), "daily", "{bad"),
+            (3, "ws-2", 7, 1, 3, "S3ToMongo", "0 5 * * *", "active", "UTC", dt.datetime(2024, 1, 1), "daily", '{"s3_bucket":"b"}'),
+        ],
+        "integration_id long, workspace_id string, auth_id int, source_access_pt_id int, dest_access_pt_id int,"
+        " integration_type string, usr_sch_cron string, usr_sch_status string, usr_timezone string,"
+        " utc_next_run timestamp_ntz, schedule_type string, json_data string",
+    )
+    workspaces = spark.createDataFrame([("ws-1", "cust-1"), ("ws-2", "cust-2")], "workspace_id string, customer_guid string")
+    auths = spark.createDataFrame([(7, "ws-2", '{"mongo_collection":""}')], "auth_id long, workspace_id string, json_data string")
+    requests = dispatch.due_requests(integrations, workspaces, auths, instant("2024-01-15 00:00:00"))
+    errors = runs.prepare_errors(requests.withColumn("run_id", F.col("integration_id")))
+    assert {r["run_id"]: r["message"].split()[2] for r in errors.collect()} == {2: "s3_bucket", 3: "mongo_collection"}
+    plan = errors._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    assert plan.count("StructsToJsonEvaluator") == 1, plan
+    assert not any("map_concat" in line for line in lines if "Join" in line), plan
+    # Made of rows dealt out by integration, whatever the join leaves in a task.
+    at = {x: next(i for i, line in enumerate(lines) if x in line) for x in ("StructsToJson", "RepartitionByExpression", "Join")}
+    assert at["StructsToJson"] < at["RepartitionByExpression"] < at["Join"], plan
+
+
+def test_a_filter_on_a_conf_parses_its_documents_once(spark):
+    df = spark.createDataFrame([('{"a":1,"x":2}',), ('{"x":1}',)], "j string")
+    merged = conf.conf_text(conf.merge(conf.base_conf(x=F.lit(1)), conf.json_map(F.col("j"))))
+    found = df.where(merged == '{"a":1,"x":2}')
+    assert found.count() == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_changes_of_stores_pair_nothing(spark):
     """What is made of the rows of some buckets; the queries return the stored result."""
     letters = operations._letters(spark, FOLDER)
