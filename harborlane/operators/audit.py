@@ -24,6 +24,7 @@ HOT_DAYS = 90
 WARM_YEARS = 2
 MAX_PAGE = 500
 STATE_COLUMNS = ["before_state", "after_state", "metadata_json"]
+STORED_KEY = ["customer_guid", "event_month", "event_id"]
 EMPTY_WHEN_MISSING = [
     "event_id", "event_type", "actor_id", "actor_type", "resource_type", "resource_id",
     "action", "outcome",
@@ -118,6 +119,21 @@ def tenant_store_name(guid: Column) -> Column:
     )
 
 
+def keyed(events: DataFrame, now: Column) -> DataFrame:
+    """Events with what decides where they are stored: a time, an id, ``reject_reason`` and the month.
+
+    Cheap beside ``clean``, which leaves these as they are, so events can be told apart before it.
+    """
+    filled = events.withColumns(
+        {
+            "event_id": F.coalesce(F.col("event_id"), F.lit("")),
+            "timestamp": F.coalesce(F.col("timestamp"), now),
+            "reject_reason": tenant_error(F.col("customer_guid")),
+        }
+    )
+    return filled.withColumn("event_month", month_text(F.col("timestamp")))
+
+
 def clean(events: DataFrame, now: Column) -> DataFrame:
     """Mask and truncate states, fill missing fields, and add ``reject_reason`` and the month.
 
@@ -129,11 +145,9 @@ def clean(events: DataFrame, now: Column) -> DataFrame:
         {
             **{c: text.truncate_text(F.col(c)) for c in STATE_COLUMNS},
             **{c: F.coalesce(F.col(c), F.lit("")) for c in EMPTY_WHEN_MISSING},
-            "timestamp": F.coalesce(F.col("timestamp"), now),
-            "reject_reason": tenant_error(F.col("customer_guid")),
         }
     )
-    return cleaned.withColumn("event_month", month_text(F.col("timestamp")))
+    return keyed(cleaned, now)
 
 
 def accepted(cleaned: DataFrame) -> DataFrame:
@@ -160,7 +174,13 @@ def not_stored(batch: DataFrame, store: DataFrame) -> DataFrame:
     known = store.select("customer_guid", "event_month", "event_id").join(
         touched, ["customer_guid", "event_month"], "left_semi"
     )
-    return batch.join(known, ["customer_guid", "event_month", "event_id"], "left_anti")
+    return batch.join(known, STORED_KEY, "left_anti")
+
+
+def of_keys(events: DataFrame, keys: DataFrame) -> DataFrame:
+    """The events whose stored key is among the keys."""
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"k.{c}")) for c in STORED_KEY]
+    return events.alias("e").join(keys.alias("k"), reduce(lambda a, b: a & b, same), "left_semi")
 
 
 def new_tenants(batch: DataFrame, known: DataFrame) -> DataFrame:

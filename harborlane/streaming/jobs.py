@@ -235,22 +235,30 @@ def audit_job(
             spark, f"{store}/_readers/{reader}", lambda: any(n != name for n in target.segments())
         )
         target.merge(fanout, open_=name)
-        batch = audit.clean(batch, clock(now)).persist()
+        at = clock(now)
+        batch = audit.keyed(batch, at).persist()
+        unknown = None
         try:
             if batch.isEmpty():  # as in the batch that only moves the watermark on
                 return
-            audit.rejected(batch).drop("_arrived").write.mode("overwrite").parquet(
+            audit.clean(audit.rejected(batch), at).drop("_arrived").write.mode("overwrite").parquet(
                 f"{rejects}/batch_id={batch_id}"
             )
-            fresh = audit.accepted(batch)
+            fresh = batch.where(F.col("reject_reason").isNull())
             doubtful = may_be_stored(F.col("timestamp"), F.col("_arrived"), began, filled)
             asked = fresh.where(doubtful)
             if not asked.isEmpty():
-                unknown = audit.not_stored(asked, target.read(without=name))
-                fresh = fresh.where(~doubtful).unionByName(unknown)
-            target.write(fresh, name)
+                # By keys alone, and before they are cleaned: of a replay most are stored already.
+                keys = asked.select(*audit.STORED_KEY)
+                unknown = audit.not_stored(keys, target.read(without=name)).persist()
+                fresh = fresh.where(~doubtful)
+                if not unknown.isEmpty():
+                    fresh = fresh.unionByName(audit.of_keys(asked, unknown))
+            target.write(audit.accepted(audit.clean(fresh, at)), name)
         finally:
             batch.unpersist()
+            if unknown is not None:
+                unknown.unpersist()
 
     return start(once.writeStream.foreachBatch(handle), checkpoint, available_now)
 

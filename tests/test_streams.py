@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from harborlane import schemas
 from harborlane.functions.times import instant
+from harborlane.operators import audit
 from harborlane.sinks import erasure, segments, storage
 from harborlane.sources import topics
 from harborlane.streaming import jobs
@@ -250,6 +251,29 @@ def test_a_late_replay_by_a_new_checkpoint_stores_nothing_twice(spark, work, mon
     )
 
 
+def test_a_replay_is_looked_up_by_keys_before_it_is_cleaned(spark, work, monkeypatch):
+    deliver(spark, work, event(1), event(2), event(2, customer_guid="cust-2"))
+    audit_stream(spark, work)
+    seen, not_stored = [], audit.not_stored
+
+    def noted(batch, store):
+        seen.append(batch.columns)
+        return not_stored(batch, store)
+
+    monkeypatch.setattr(audit, "not_stored", noted)
+    secret = {"before_state": '{"password":"x"}'}
+    deliver(spark, work, event(1), event(3, **secret), event(1, customer_guid="cust-2", **secret), event(4, customer_guid=""))
+    store = audit_stream(spark, work, "other")
+    assert seen == [["customer_guid", "event_month", "event_id"]]
+    rows = {(r["customer_guid"], r["event_id"]): r["before_state"] for r in store.read().collect()}
+    assert store.read().count() == len(rows) == 5
+    assert rows["cust-1", "e003"] == rows["cust-2", "e001"] == '{"password":"[REDACTED]"}'
+    assert spark.read.parquet(f"{work}/rejects").count() == 1
+    audit_stream(spark, work, "third")  # a replay with nothing new
+    assert store.read().count() == 5
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
+
+
 def test_a_replay_after_a_day_is_looked_up(spark, work, monkeypatch):
     deliver(spark, work, event(1), event(2))
     audit_stream(spark, work)
