@@ -163,16 +163,23 @@ def unique(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["customer_guid", "event_id"])
 
 
-def not_stored(batch: DataFrame, store: DataFrame) -> DataFrame:
+def touched(batch: DataFrame) -> DataFrame:
+    """The tenants and months in the batch."""
+    return batch.select("customer_guid", "event_month").distinct()
+
+
+def not_stored(batch: DataFrame, store: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """Events of the batch that the store does not have yet.
 
     Only the tenants and months in the batch are read: the semi join on the partition columns
     prunes the store's folders at run time. A redelivered event has the same time, so the same
-    month.
+    month. ``folders`` is ``touched`` of the batch; a caller whose plans are not adaptive, as in a
+    stream, passes it materialised, so that Spark knows its size when it plans the semi join.
     """
-    touched = batch.select("customer_guid", "event_month").distinct()
+    if folders is None:
+        folders = touched(batch)
     known = store.select("customer_guid", "event_month", "event_id").join(
-        touched, ["customer_guid", "event_month"], "left_semi"
+        folders, ["customer_guid", "event_month"], "left_semi"
     )
     return batch.join(known, STORED_KEY, "left_anti")
 

@@ -237,7 +237,7 @@ def audit_job(
         target.merge(fanout, open_=name)
         at = clock(now)
         batch = audit.keyed(batch, at).persist()
-        unknown = None
+        held = [batch]
         try:
             if batch.isEmpty():  # as in the batch that only moves the watermark on
                 return
@@ -247,18 +247,19 @@ def audit_job(
             fresh = batch.where(F.col("reject_reason").isNull())
             doubtful = may_be_stored(F.col("timestamp"), F.col("_arrived"), began, filled)
             asked = fresh.where(doubtful)
-            if not asked.isEmpty():
+            held.append(folders := audit.touched(asked).persist())
+            if not folders.isEmpty():
                 # By keys alone, and before they are cleaned: of a replay most are stored already.
                 keys = asked.select(*audit.STORED_KEY)
-                unknown = audit.not_stored(keys, target.read(without=name)).persist()
+                unknown = audit.not_stored(keys, target.read(without=name), folders).persist()
+                held.append(unknown)
                 fresh = fresh.where(~doubtful)
                 if not unknown.isEmpty():
                     fresh = fresh.unionByName(audit.of_keys(asked, unknown))
             target.write(audit.accepted(audit.clean(fresh, at)), name)
         finally:
-            batch.unpersist()
-            if unknown is not None:
-                unknown.unpersist()
+            for frame in held:
+                frame.unpersist()
 
     return start(once.writeStream.foreachBatch(handle), checkpoint, available_now)
 

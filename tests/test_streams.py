@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,9 +257,14 @@ def test_a_replay_is_looked_up_by_keys_before_it_is_cleaned(spark, work, monkeyp
     audit_stream(spark, work)
     seen, not_stored = [], audit.not_stored
 
-    def noted(batch, store):
+    def noted(batch, store, folders=None):
         seen.append(batch.columns)
-        return not_stored(batch, store)
+        found = not_stored(batch, store, folders)
+        # The folders' size is known, so the stored keys are not shuffled by folder, a task each.
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [customer_guid" in plan and "hashpartitioning(customer_guid#" in plan, plan
+        assert not re.search(r"hashpartitioning\(customer_guid#\d+, event_month#\d+, \d+\), ENSURE", plan.split("InMemoryRelation")[0]), plan
+        return found
 
     monkeypatch.setattr(audit, "not_stored", noted)
     secret = {"before_state": '{"password":"x"}'}
